@@ -7,6 +7,7 @@ from importlib import import_module
 #: query name -> module of this subpackage that holds the function of that name and, where SQL can express it, SQL.
 MODULES = {
     "op1_mix_sources": "mixing",
+    "op2_shard_documents": "sharding",
 }
 
 
