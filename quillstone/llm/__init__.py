@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_mix_sources": "mixing",
     "op2_shard_documents": "sharding",
+    "op7_format_chat": "chat",
 }
 
 
