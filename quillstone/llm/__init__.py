@@ -9,6 +9,7 @@ MODULES = {
     "op1_mix_sources": "mixing",
     "op2_shard_documents": "sharding",
     "op7_format_chat": "chat",
+    "op6_scan_secrets": "secrets",
 }
 
 
