@@ -10,6 +10,7 @@ MODULES = {
     "op2_shard_documents": "sharding",
     "op7_format_chat": "chat",
     "op6_scan_secrets": "secrets",
+    "op9_token_blocks": "tokens",
 }
 
 
