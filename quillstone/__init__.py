@@ -1 +1,8 @@
 """quillstone: evidence-checked text and usage analytics as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions of this package travel to executors by value, so that executors need not have it installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
