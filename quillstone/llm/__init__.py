@@ -11,6 +11,7 @@ MODULES = {
     "op7_format_chat": "chat",
     "op6_scan_secrets": "secrets",
     "op9_token_blocks": "tokens",
+    "op4_decontaminate": "decontaminate",
 }
 
 

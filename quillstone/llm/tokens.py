@@ -30,12 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstone.llm.text import text_slices
 from quillstone.session import shared_path
 
 BLOCK = 1024
 SEGMENT = 1 << 16
 PERCENTILE = 0.9
-SLICE_BYTES = 4_000_000
 CACHE_WORDS = 150_000
 HEAD = "<IHBH"
 
@@ -133,17 +133,6 @@ class WordEncoder:
         return values[where], np.diff(upto[last], prepend=0)
 
 
-def slices(batches, column: str, most: int = SLICE_BYTES):
-    """Record batches cut so that the text column of each holds about most bytes."""
-    for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        group = np.cumsum(size) // most
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if b > a:
-                yield batch.slice(a, b - a)
-
-
 def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, partitions: int | None = None) -> None:
     """Writes the ids of all texts in ascending doc_id order as a table of segments at path."""
     spark = docs.sparkSession
@@ -177,7 +166,7 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types, strict=True)], names=names)
 
         id_type, size = None, 0
-        for batch in slices(batches, "text"):
+        for batch in text_slices(batches):
             id_type = batch.column("doc_id").type
             ids, counts = encoder.texts(batch.column("text"))
             keys, at = batch.column("doc_id").to_pylist(), 0
