@@ -12,6 +12,7 @@ MODULES = {
     "op6_scan_secrets": "secrets",
     "op9_token_blocks": "tokens",
     "op4_decontaminate": "decontaminate",
+    "op8_exact_top_k": "topk",
 }
 
 
