@@ -13,6 +13,7 @@ MODULES = {
     "op9_token_blocks": "tokens",
     "op4_decontaminate": "decontaminate",
     "op8_exact_top_k": "topk",
+    "op10_near_duplicates": "neardup",
 }
 
 
