@@ -36,7 +36,8 @@ from quillstone.session import shared_path
 BLOCK = 1024
 SEGMENT = 1 << 16
 PERCENTILE = 0.9
-CACHE_WORDS = 150_000
+RUN = 256
+TEXT_BYTES = 8_000_000
 HEAD = "<IHBH"
 
 
@@ -93,7 +94,11 @@ def decode_blocks(payload: bytes, block_starts: bytes) -> np.ndarray:
 
 
 class WordEncoder:
-    """Ids of whole texts, each distinct word encoded once a slice; a bounded cache keeps words for later slices."""
+    """Ids of whole texts, each distinct word of a slice encoded once.
+
+    Words are encoded RUN at a time, parted by a special token of the tokenizer: it is cut out before anything else is
+    done, so the words around it do not see each other, and its id marks where a word ends.
+    """
 
     def __init__(self, tokenizer_json: str, end_id: int):
         import os
@@ -101,34 +106,50 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id, self.known = Tokenizer.from_str(tokenizer_json), end_id, {}
-
-    def words(self, words: list[str]) -> list[list[int]]:
-        known = self.known
-        new = [w for w in words if w not in known]
-        if new:
-            fresh = {w: e.ids for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-            if len(known) + len(fresh) <= CACHE_WORDS:
-                known.update(fresh)
-                return [known[w] for w in words]
-            return [known[w] if w in known else fresh[w] for w in words]
-        return [known[w] for w in words]
+        self.tokenizer, self.end_id = Tokenizer.from_str(tokenizer_json), end_id
+        marks = self.tokenizer.get_added_tokens_decoder()
+        self.mark = next(((i, t.content) for i, t in marks.items() if t.special and not (t.lstrip or t.rstrip)), None)
+
+    def encoded(self, texts: list[str]) -> np.ndarray:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in found)])
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each word, and the ids of all words one after another."""
+        mark, text = self.mark or (0, "")
+        plain = [not text or text in w for w in words]  # such words go alone
+        alone = {i: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32) for i, w in enumerate(words) if plain[i]}
+        rest = [w for w, p in zip(words, plain, strict=True) if not p]
+        ids = self.encoded([text.join(rest[i : i + RUN]) + text for i in range(0, len(rest), RUN)])
+        is_mark = ids == mark
+        ends = np.flatnonzero(is_mark)
+        lengths, values = np.diff(ends, prepend=-1) - 1, ids[~is_mark]
+        if alone:
+            places, all_lengths = np.cumsum(lengths), np.zeros(len(words), np.int64)
+            all_lengths[~np.array(plain)] = lengths
+            for i in sorted(alone, reverse=True):  # from the back, so that places before stay
+                all_lengths[i] = len(alone[i])
+                before = i - sum(plain[:i])
+                values = np.insert(values, places[before - 1] if before else 0, alone[i])
+            lengths = all_lengths
+        return lengths, values
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, an end id after each, and the number of ids of each."""
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         per_text = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        ids = [*self.words(coded.dictionary.to_pylist()), [self.end_id]]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        values = np.fromiter((i for w in ids for i in w), np.uint32, int(lengths.sum()))
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        lengths, values = self.words(coded.dictionary.to_pylist())
+        n_words = len(lengths)
+        lengths, values = np.append(lengths, 1), np.append(values, np.uint32(self.end_id))
         firsts = np.cumsum(lengths) - lengths
         ends = np.cumsum(per_text)
-        codes = np.insert(codes, ends, len(ids) - 1)  # the end id after the last word of each text
+        codes = np.insert(codes, ends, n_words)  # the end id after the last word of each text
         each = lengths[codes]
         upto = np.cumsum(each)
-        where = np.arange(int(each.sum()), dtype=np.int64) + np.repeat(firsts[codes] - (upto - each), each)
+        where = np.repeat(firsts[codes] - (upto - each), each)
+        where += np.arange(len(where))
         last = ends + np.arange(len(ends))  # the place of each text's end code
         return values[where], np.diff(upto[last], prepend=0)
 
@@ -166,7 +187,7 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types, strict=True)], names=names)
 
         id_type, size = None, 0
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, "text", TEXT_BYTES):
             id_type = batch.column("doc_id").type
             ids, counts = encoder.texts(batch.column("text"))
             keys, at = batch.column("doc_id").to_pylist(), 0
