@@ -37,6 +37,7 @@ BLOCK = 1024
 SEGMENT = 1 << 16
 PERCENTILE = 0.9
 RUN = 256
+KEPT_WORDS = 400_000
 TEXT_BYTES = 8_000_000
 HEAD = "<IHBH"
 
@@ -94,10 +95,11 @@ def decode_blocks(payload: bytes, block_starts: bytes) -> np.ndarray:
 
 
 class WordEncoder:
-    """Ids of whole texts, each distinct word of a slice encoded once.
+    """Ids of whole texts, each distinct word encoded once; about KEPT_WORDS words are kept from slice to slice.
 
-    Words are encoded RUN at a time, parted by a special token of the tokenizer: it is cut out before anything else is
-    done, so the words around it do not see each other, and its id marks where a word ends.
+    Words are encoded RUN at a time. Words of letters only are parted by spaces: each is one pre-token, so it ends with
+    the vocabulary's mark of a word's end. Others are parted by a special token of the tokenizer: it is cut out before
+    anything else is done, so the words around it do not see each other, and its id shows where a word ends.
     """
 
     def __init__(self, tokenizer_json: str, end_id: int):
@@ -108,41 +110,70 @@ class WordEncoder:
 
         self.tokenizer, self.end_id = Tokenizer.from_str(tokenizer_json), end_id
         marks = self.tokenizer.get_added_tokens_decoder()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.kept: dict[str, int] = {}  # word -> its place in lengths; values holds the ids of all kept words
+        self.lengths, self.values = np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.mark = next(((i, t.content) for i, t in marks.items() if t.special and not (t.lstrip or t.rstrip)), None)
 
-    def encoded(self, texts: list[str]) -> np.ndarray:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in found)])
-
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The number of ids of each word, and the ids of all words one after another."""
+    def words(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in another order, the number of ids of each, and the ids of all one after another."""
         mark, text = self.mark or (0, "")
-        plain = [not text or text in w for w in words]  # such words go alone
-        alone = {i: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32) for i, w in enumerate(words) if plain[i]}
-        rest = [w for w, p in zip(words, plain, strict=True) if not p]
-        ids = self.encoded([text.join(rest[i : i + RUN]) + text for i in range(0, len(rest), RUN)])
-        is_mark = ids == mark
-        ends = np.flatnonzero(is_mark)
-        lengths, values = np.diff(ends, prepend=-1) - 1, ids[~is_mark]
-        if alone:
-            places, all_lengths = np.cumsum(lengths), np.zeros(len(words), np.int64)
-            all_lengths[~np.array(plain)] = lengths
-            for i in sorted(alone, reverse=True):  # from the back, so that places before stay
-                all_lengths[i] = len(alone[i])
-                before = i - sum(plain[:i])
-                values = np.insert(values, places[before - 1] if before else 0, alone[i])
-            lengths = all_lengths
-        return lengths, values
+        order, lengths, values = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+
+        def alone(some: list[str]) -> None:
+            for w in some:
+                values.append(np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32))
+                lengths.append(np.array([len(values[-1])], np.int64))
+                order.append(w)
+
+        def runs(some: list[str], between: str, is_end, with_end: int) -> list[str]:
+            """Encodes words in runs; the words of runs that do not come apart as they should are returned."""
+            cut = [some[i : i + RUN] for i in range(0, len(some), RUN)]
+            found = self.tokenizer.encode_batch_fast([between.join([*c, ""]) for c in cut], add_special_tokens=False)
+            bad = []
+            for c, e in zip(cut, found, strict=True):
+                ids = np.array(e.ids, np.uint32)
+                end = is_end(ids)
+                ends = np.flatnonzero(end)
+                if len(ends) != len(c):
+                    bad += c
+                    continue
+                order.extend(c)
+                lengths.append(np.diff(ends, prepend=-1) - 1 + with_end)
+                values.append(ids if with_end else ids[~end])
+            return bad
+
+        letters, others, odd = [], [], []
+        for w in words:
+            (letters if w.isalpha() and (w.isascii() or w.lower().isalpha()) else odd if not text or text in w else others).append(w)
+        others += runs(letters, " ", lambda ids: self.ends_word[ids], 1)
+        odd += runs(others, text, lambda ids: ids == mark, 0) if text else others
+        alone(odd)
+        return order, np.concatenate(lengths), np.concatenate(values)
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Where the words are among the kept ones, after encoding those that are not."""
+        kept = self.kept
+        if len(kept) > KEPT_WORDS:
+            kept.clear()
+            self.lengths, self.values = self.lengths[:0], self.values[:0]
+        new = [w for w in words if w not in kept]
+        if new:
+            order, lengths, values = self.words(new)
+            kept.update(zip(order, range(len(self.lengths), len(self.lengths) + len(new)), strict=True))
+            self.lengths, self.values = np.append(self.lengths, lengths), np.append(self.values, values)
+        return np.fromiter(map(kept.__getitem__, words), np.int64, len(words))
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, an end id after each, and the number of ids of each."""
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         per_text = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        lengths, values = self.words(coded.dictionary.to_pylist())
-        n_words = len(lengths)
-        lengths, values = np.append(lengths, 1), np.append(values, np.uint32(self.end_id))
+        codes = self.places(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+        n_words = len(self.lengths)
+        lengths, values = np.append(self.lengths, 1), np.append(self.values, np.uint32(self.end_id))
         firsts = np.cumsum(lengths) - lengths
         ends = np.cumsum(per_text)
         codes = np.insert(codes, ends, n_words)  # the end id after the last word of each text
