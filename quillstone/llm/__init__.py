@@ -14,6 +14,7 @@ MODULES = {
     "op4_decontaminate": "decontaminate",
     "op8_exact_top_k": "topk",
     "op10_near_duplicates": "neardup",
+    "op3_toxicity": "toxicity",
 }
 
 

@@ -11,10 +11,13 @@ documents share (a common passage) are hardly ever posted. Skip merging: the rem
 their lists; a candidate pair's signatures are compared directly and pairs below MATCHES go. What stays is confirmed on
 the full shingle sets, with the length bound first.
 
-Only components are asked for, so a list of L near copies need not become L * L / 2 pairs: in each round every list's
-members are checked against HUBS members drawn by a hash, confirmed links join components, and lists within one
-component are done. When the pairs that are left between different components of a list are few in proportion to the
-postings (or after ROUNDS rounds), all of them are checked. So no link between different components is left out.
+Only components are asked for, so a list of L near copies need not become L * L / 2 pairs. First every list's members
+are checked against HUBS members drawn by a hash; confirmed links join components, and a list within one component is
+done. What is left is every member outside of a list's largest component against the whole list. Lists in which these
+are few pairs give them as pairs. The others (groups of near copies in which many are not similar enough to join) are
+checked by counting: blocks of at most GROUP_BLOCK sets from either side meet in a task, an index from shingle to set
+gives all intersection sizes of a set at once, and one link for each component that it touches comes out. So no
+link between different components is left out, and no list's pairs are written down.
 
 Components grow by star contraction with aggregations and joins only. Tables between steps go to the shared folder.
 
@@ -41,9 +44,9 @@ from quillstone.session import shared_dir, written
 COORDINATES = 32
 MATCHES = 11
 HUBS = 4
-ROUNDS = 10
-#: Remaining pairs a posting at which they are all checked.
-PAIRS_PER_POSTING = 4
+#: A list with more pairs to check than this is checked by counting, in blocks of so many sets.
+HEAVY = 20_000
+GROUP_BLOCK = 4_096
 MIX = 0x9E3779B97F4A7C15
 
 
@@ -175,40 +178,65 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def counted(outside: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links a, b of group's outside ids (group, id, comp) with its members, one for each component that an id touches."""
+    sized = lambda d, n: d.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).cast("int").alias(n))
+    blocks = sized(outside, "n_x").join(sized(members, "n_y"), "group")
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    with_sets = lambda d: d.join(blocks, "group").join(sets, "id")
+    x = with_sets(outside).select("group", "id", "comp", "shingles", F.lit(True).alias("is_x"), deal("n_x").alias("bx"), every("n_y").alias("by"))
+    y = with_sets(members).select("group", "id", "comp", "shingles", F.lit(False).alias("is_x"), every("n_x").alias("bx"), deal("n_y").alias("by"))
+    key = outside.schema["id"].dataType.simpleString()
+
+    def check(table: pa.Table) -> pa.Table:
+        is_x = table.column("is_x").to_numpy().astype(bool)
+        ids, comps = table.column("id").to_numpy(), table.column("comp").to_numpy()
+        raw = [np.frombuffer(v, np.uint64) for v in table.column("shingles").to_pylist()]
+        xs, ys = np.flatnonzero(is_x), np.flatnonzero(~is_x)
+        sizes = np.array([len(raw[i]) for i in ys], np.int64)
+        values = np.concatenate([np.zeros(0, np.uint64), *(raw[i] for i in ys)])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], np.repeat(np.arange(len(ys)), sizes)[order]
+        links: list[tuple] = []
+        for i in xs.tolist():
+            left, right = np.searchsorted(values, raw[i], "left"), np.searchsorted(values, raw[i], "right")
+            each = right - left
+            where = np.repeat(left - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+            both = np.bincount(owner[where], minlength=len(ys))
+            near = np.flatnonzero((100 * both >= percent * (sizes + len(raw[i]) - both)) & (comps[ys] != comps[i]))
+            _, one = np.unique(comps[ys[near]], return_index=True)
+            links += [(ids[i], ids[ys[j]]) for j in near[one]]
+        kind = table.schema.field("id").type
+        return pa.table({"a": pa.array([a for a, _ in links], kind), "b": pa.array([b for _, b in links], kind)})
+
+    return x.unionByName(y).groupBy("group", "bx", "by").applyInArrow(check, f"a {key}, b {key}")
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """id, label of the classes that are linked with another one."""
     posted = written(postings(classes), "postings")
-    wanted = classes.join(posted.select("id").distinct(), "id", "left_semi")
-    sets = written(full_sets(docs, wanted, words).join(wanted.select("id", "digest"), ["id", "digest"], "left_semi").select("id", "shingles").dropDuplicates(["id"]), "shingles")
-    n_posted = posted.count()
-    labelled = posted.withColumn("comp", F.col("id"))
-    labels = None
-    for turn in range(ROUNDS + 1):
-        # lists that still hold several components, and how many pairs lie between these
-        by_comp = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
-        lists = by_comp.groupBy("token").agg(
-            F.count(F.lit(1)).alias("n_comps"), F.max_by("comp", "n").alias("main"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")
-        ).where("n_comps > 1")
-        lists = written(lists, "lists")
-        left = lists.agg(F.sum("pairs")).first()[0] or 0
-        if not left:
-            break
-        open_ = labelled.join(lists.select("token", "main"), "token")
-        last = turn == ROUNDS or left <= PAIRS_PER_POSTING * n_posted
-        if last:  # everything outside of a list's main component against the whole list
-            some = open_.where(F.col("comp") != F.col("main"))
-        else:
-            draw = Window.partitionBy("token").orderBy(F.xxhash64(F.lit(turn), "id"), "id")
-            some = open_.withColumn("_n", F.row_number().over(draw)).where(F.col("_n") <= HUBS)
-        some = some.select("token", F.col("id").alias("x"), F.col("comp").alias("x_comp"))
-        pairs = some.join(labelled, "token").where("x_comp <> comp").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-        links = confirmed(pairs, classes, sets, percent)
-        labels = components(links if labels is None else links.unionByName(labels.select(F.col("id").alias("a"), F.col("label").alias("b"))))
-        if last:
-            break
-        renamed = posted.join(labels, "id", "left").select("token", "id", F.coalesce("label", "id").alias("comp"))
-        labelled = written(renamed, "labelled")
-    return labels
+    wanted = posted.select("id").distinct()
+    found = full_sets(docs, wanted, words).join(classes.select("id", "digest"), ["id", "digest"], "left_semi")
+    sets = written(found.select("id", "shingles").dropDuplicates(["id"]), "shingles")
+
+    draw = Window.partitionBy("token").orderBy(F.xxhash64(F.lit(1), "id"), "id")
+    hubs = posted.withColumn("_n", F.row_number().over(draw)).where(F.col("_n") <= HUBS).select("token", F.col("id").alias("x"))
+    pairs = hubs.join(posted, "token").where("x <> id").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    labels = components(confirmed(pairs, classes, sets, percent))
+    labelled = written(posted.join(labels, "id", "left").select("token", "id", F.coalesce("label", "id").alias("comp")), "labelled")
+
+    by_comp = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
+    lists = by_comp.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main"))
+    # up to HUBS + 1 members all pairs have been checked
+    lists = written(lists.where(f"n > n_main AND n > {HUBS + 1}").withColumn("heavy", F.expr(f"(n - n_main) * n > {HEAVY}")), "lists")
+    open_ = labelled.join(lists.select("token", "main", "heavy"), "token")
+    light = open_.where("NOT heavy").where("comp <> main").select("token", F.col("id").alias("x"), F.col("comp").alias("x_comp"))
+    pairs = light.join(labelled, "token").where("x_comp <> comp").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    links = confirmed(pairs, classes, sets, percent)
+    heavy = open_.where("heavy").select(F.col("main").alias("group"), "id", "comp").distinct()
+    links = links.unionByName(counted(heavy.where("comp <> group"), heavy, sets, percent))
+    return components(links.unionByName(labels.select(F.col("id").alias("a"), F.col("label").alias("b"))))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -222,7 +250,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
     classes = written(classes, "classes")
     labels = link_classes(docs, classes, words, percent)
-    named = classes.select("digest", "id", "n_docs", F.col("id").alias("label")) if labels is None else classes.join(labels, "id", "left").select("digest", "id", "n_docs", F.coalesce("label", "id").alias("label"))
+    named = classes.join(labels, "id", "left").select("digest", "id", "n_docs", F.coalesce("label", "id").alias("label"))
     moved = named.where("n_docs > 1 OR label <> id").select("digest", "label")
     whole = base.select("doc_id", "n_shingles", "digest").join(moved, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
