@@ -153,27 +153,31 @@ class WordEncoder:
         alone(odd)
         return order, np.concatenate(lengths), np.concatenate(values)
 
-    def places(self, words: list[str]) -> np.ndarray:
-        """Where the words are among the kept ones, after encoding those that are not."""
-        kept = self.kept
-        if len(kept) > KEPT_WORDS:
-            kept.clear()
-            self.lengths, self.values = self.lengths[:0], self.values[:0]
+    def places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the words are in the returned lengths and ids: kept words first, then those encoded for now."""
+        kept, lengths, values = self.kept, self.lengths, self.values
         new = [w for w in words if w not in kept]
         if new:
-            order, lengths, values = self.words(new)
-            kept.update(zip(order, range(len(self.lengths), len(self.lengths) + len(new)), strict=True))
-            self.lengths, self.values = np.append(self.lengths, lengths), np.append(self.values, values)
-        return np.fromiter(map(kept.__getitem__, words), np.int64, len(words))
+            order, more, ids = self.words(new)
+            lengths, values = np.append(lengths, more), np.append(values, ids)
+            fresh = dict(zip(order, range(len(self.lengths), len(lengths)), strict=True))
+            if len(kept) < KEPT_WORDS:  # the words of the first texts, frequent ones among them
+                kept.update(fresh)
+                self.lengths, self.values = lengths, values
+            else:
+                where = [kept.get(w, -1) for w in words]
+                return np.array([fresh[w] if i < 0 else i for w, i in zip(words, where, strict=True)], np.int64), lengths, values
+        return np.fromiter(map(kept.__getitem__, words), np.int64, len(words)), lengths, values
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, an end id after each, and the number of ids of each."""
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         per_text = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        codes = self.places(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
-        n_words = len(self.lengths)
-        lengths, values = np.append(self.lengths, 1), np.append(self.values, np.uint32(self.end_id))
+        where, lengths, values = self.places(coded.dictionary.to_pylist())
+        codes = where[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+        n_words = len(lengths)
+        lengths, values = np.append(lengths, 1), np.append(values, np.uint32(self.end_id))
         firsts = np.cumsum(lengths) - lengths
         ends = np.cumsum(per_text)
         codes = np.insert(codes, ends, n_words)  # the end id after the last word of each text
@@ -189,7 +193,7 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id:
     """Writes the ids of all texts in ascending doc_id order as a table of segments at path."""
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
-        model = spark.sparkContext.broadcast(f.read())  # the vocabulary file, a fixed size
+        model = spark.sparkContext.broadcast({"file": f.read()})  # the vocabulary file, a fixed size
     key = docs.schema["doc_id"].dataType
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
@@ -199,7 +203,9 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id:
     def segments(batches):
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), WordEncoder(model.value, end_id)
+        part, state = TaskContext.get().partitionId(), model.value
+        # a worker keeps a broadcast's value, so its later tasks find the encoder and the words it knows
+        encoder = state.get("encoder") or state.setdefault("encoder", WordEncoder(state["file"], end_id))
         seg = start = 0
         doc_ids, lengths, held = [], [], []
 
