@@ -1,6 +1,7 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and word beginnings of PREFIX characters. Which terms count is learnt from at most SAMPLE labelled
+Terms are words and word beginnings of 4 to 7 characters, each also as "at least 2 times", "at least 3 times" in the
+text, since a beginning that chance gives once is telling when it returns. Which terms count is learnt from at most SAMPLE labelled
 rows (the bound on what is fitted): those that toxic examples hold significantly more often, by the log-likelihood
 ratio. Document frequencies for the IDF cover all documents. Each document becomes a short vector over these terms.
 
@@ -36,7 +37,8 @@ from quillstone.session import shared_dir, written
 SAMPLE = 50_000
 EXAMPLES = 20_000
 TERMS = 1_000
-PREFIX = 4
+PREFIXES = (4, 5, 7)
+TIMES = 3
 #: Least number of toxic examples of a term. Its log-likelihood ratio must reach 2 ln(tests), so that about one of all
 #: tested terms passes by chance.
 LEAST_TOXIC = 3
@@ -47,18 +49,22 @@ PRIOR = 0.05
 THRESHOLD = 0.7
 
 
-def text_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(text, term) of every term occurrence, and the terms' names."""
+def text_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(text, term, count) of every term of every text, ordered by text and term, and the terms' names."""
     counts, words = split_words(texts, WORD_BYTES)
     coded = words.dictionary_encode()
     whole = pc.utf8_lower(coded.dictionary)
-    start = pc.binary_join_element_wise(pc.utf8_slice_codeunits(whole, 0, PREFIX), pa.scalar("*", whole.type), pa.scalar("", whole.type))
-    names = pa.concat_arrays([whole, start]).dictionary_encode()
+    if not len(whole):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), whole
+    star, none = pa.scalar("*", whole.type), pa.scalar("", whole.type)
+    starts = [pc.binary_join_element_wise(pc.utf8_slice_codeunits(whole, 0, n), star, none) for n in PREFIXES]
+    names = pa.concat_arrays([whole, *starts]).dictionary_encode()
     codes = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     where = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     owner = np.repeat(np.arange(len(counts)), counts)
-    n = len(whole)
-    return np.concatenate([owner, owner]), np.concatenate([codes[where], codes[where + n]]) if n else np.zeros(0, np.int64), names.dictionary
+    n = len(names.dictionary)
+    pairs, times = np.unique(np.concatenate([owner * n + codes[where + len(whole) * k] for k in range(len(PREFIXES) + 1)]), return_counts=True)
+    return pairs // n, pairs % n, times, names.dictionary
 
 
 def labelled_sample(labels: DataFrame, learn: Column) -> DataFrame:
@@ -68,25 +74,27 @@ def labelled_sample(labels: DataFrame, learn: Column) -> DataFrame:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
 
 
-def choose_terms(docs: DataFrame, sample: DataFrame) -> list[str]:
-    """The terms that toxic examples hold significantly more often than others, at most TERMS."""
+def choose_terms(docs: DataFrame, sample: DataFrame) -> list[tuple[str, int]]:
+    """(term, least times) that toxic examples hold significantly more often than others, at most TERMS."""
 
     def count(batches):
         for batch in text_slices(batches):
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
-            owner, term, names = text_terms(batch.column("text"))
-            pairs = np.unique(term * np.int64(len(toxic)) + owner)
-            term, owner = pairs // len(toxic), pairs % len(toxic)
-            all_, bad = np.bincount(term, minlength=len(names)), np.bincount(term[toxic[owner]], minlength=len(names))
-            yield pa.RecordBatch.from_arrays([names.cast(pa.string()), pa.array(bad), pa.array(all_)], names=["term", "bad", "n"])
+            owner, term, times, names = text_terms(batch.column("text"))
+            for least in range(1, TIMES + 1):
+                held = term[times >= least]
+                all_, bad = np.bincount(held, minlength=len(names)), np.bincount(term[(times >= least) & toxic[owner]], minlength=len(names))
+                some = np.flatnonzero(all_)
+                cells = [names.take(pa.array(some)).cast(pa.string()), pa.array(np.full(len(some), least, np.int32)), pa.array(bad[some]), pa.array(all_[some])]
+                yield pa.RecordBatch.from_arrays(cells, names=["term", "times", "bad", "n"])
 
     sizes = sample.groupBy("toxic").count().collect()  # two rows
     n_bad = sum(r["count"] for r in sizes if r["toxic"] == 1)
     n_all = sum(r["count"] for r in sizes)
     if not 0 < n_bad < n_all:
         return []
-    counts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic").mapInArrow(count, "term string, bad long, n long")
-    counts = written(counts.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_TOXIC), "terms")
+    counts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic").mapInArrow(count, "term string, times int, bad long, n long")
+    counts = written(counts.groupBy("term", "times").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_TOXIC), "terms")
     least = 2 * float(np.log(max(2, counts.count())))
     share = n_bad / n_all
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
@@ -95,25 +103,30 @@ def choose_terms(docs: DataFrame, sample: DataFrame) -> list[str]:
         part(b, F.col("n") * share) + part(g, F.col("n") * (1 - share)) + part(n_bad - b, (n_all - F.col("n")) * share) + part(n_all - n_bad - g, (n_all - F.col("n")) * (1 - share))
     )
     best = counts.where((b >= LEAST_TOXIC) & (b > F.col("n") * share)).withColumn("ratio", ratio).where(F.col("ratio") >= least)
-    return [r[0] for r in best.orderBy(F.col("ratio").desc(), "term").limit(TERMS).select("term").collect()]
+    return [(r[0], r[1]) for r in best.orderBy(F.col("ratio").desc(), "term", "times").limit(TERMS).select("term", "times").collect()]
 
 
-def term_vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
+def term_vectors(docs: DataFrame, terms: list[tuple[str, int]]) -> DataFrame:
     """docs without text, with terms and counts (arrays of int) of each document, in order of the terms."""
-
     names = [c for c in docs.columns if c != "text"]
+    number = {t: i for i, t in enumerate(terms)}
+    known = sorted({t for t, _ in terms})
+    slots = np.array([[number.get((t, k + 1), -1) for k in range(TIMES)] for t in known], np.int64).reshape(-1, TIMES)
 
     def vectors(batches):
-        wanted = pa.array(terms, pa.string())
+        wanted = pa.array(known, pa.string())
         for batch in text_slices(batches):
-            owner, term, found = text_terms(batch.column("text"))
+            owner, term, times, found = text_terms(batch.column("text"))
             as_ours = pc.fill_null(pc.index_in(found.cast(pa.string()), value_set=wanted), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             ours = as_ours[term] if len(term) else term
             keep = ours >= 0
-            pairs, counts = np.unique(owner[keep] * max(1, len(terms)) + ours[keep], return_counts=True)
-            owner, ours = pairs // max(1, len(terms)), pairs % max(1, len(terms))
+            owner, ours, times = owner[keep], ours[keep], times[keep]
+            cells = [(owner[ok], s[ok], times[ok]) for k in range(TIMES) for s in [slots[ours, k]] for ok in [(s >= 0) & (times > k)]]
+            owner, ours, times = (np.concatenate(c) for c in zip(*cells, strict=True))
+            order = np.lexsort((ours, owner))
+            owner, ours, times = owner[order], ours[order], times[order]
             offsets = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (ours, counts)]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (ours, times)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *lists], names=[*names, "terms", "counts"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
