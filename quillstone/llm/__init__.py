@@ -15,6 +15,7 @@ MODULES = {
     "op8_exact_top_k": "topk",
     "op10_near_duplicates": "neardup",
     "op3_toxicity": "toxicity",
+    "op5_lm_score": "ppm",
 }
 
 
