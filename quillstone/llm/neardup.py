@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.text import split_words, text_slices
+from quillstone.llm.text import split_words, text_slices, without_ids
 from quillstone.session import shared_dir, written
 
 COORDINATES = 32
@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def remove_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component of near duplicates."""
     gone = near_duplicates(docs, words, percent).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without_ids(docs, gone.distinct())
 
 
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:

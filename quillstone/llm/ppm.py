@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from quillstone.llm.text import LOWER, split_words, text_slices, translated
 from quillstone.session import shared_dir, written
 
-ORDER = 4
-BLOCK = 4_000_000
+ORDER = 5
+BLOCK = 2_000_000
 COUNT_BYTES = 6_000_000
 FREQUENT = 200_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)

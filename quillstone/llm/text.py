@@ -5,6 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillstone.session import written
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SLICE_BYTES = 4_000_000
@@ -39,3 +43,14 @@ def text_slices(batches, column: str = "text", most: int = SLICE_BYTES):
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
+
+
+#: Ids of up to so many rows are broadcast (some 20 MB); more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in gone (one column, doc_id); texts are shuffled only if gone is large."""
+    gone = written(gone, "gone")
+    small = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)

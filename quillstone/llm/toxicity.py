@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.decontaminate import WORD_BYTES
-from quillstone.llm.text import split_words, text_slices
+from quillstone.llm.text import split_words, text_slices, without_ids
 from quillstone.session import shared_dir, written
 
 SAMPLE = 50_000
@@ -260,7 +260,7 @@ def remove_toxic(docs: DataFrame, labels: DataFrame, learn: Column | None = None
     """The documents that are not predicted toxic."""
     found = score_toxicity(docs.select("doc_id", "text"), labels, learn)
     bad = found.where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return without_ids(docs, bad)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
