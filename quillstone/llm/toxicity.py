@@ -116,17 +116,25 @@ def term_vectors(docs: DataFrame, terms: list[tuple[str, int]]) -> DataFrame:
     def vectors(batches):
         wanted = pa.array(known, pa.string())
         for batch in text_slices(batches):
-            owner, term, times, found = text_terms(batch.column("text"))
-            as_ours = pc.fill_null(pc.index_in(found.cast(pa.string()), value_set=wanted), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            ours = as_ours[term] if len(term) else term
-            keep = ours >= 0
-            owner, ours, times = owner[keep], ours[keep], times[keep]
-            cells = [(owner[ok], s[ok], times[ok]) for k in range(TIMES) for s in [slots[ours, k]] for ok in [(s >= 0) & (times > k)]]
-            owner, ours, times = (np.concatenate(c) for c in zip(*cells, strict=True))
-            order = np.lexsort((ours, owner))
-            owner, ours, times = owner[order], ours[order], times[order]
+            counts, words = split_words(batch.column("text"), WORD_BYTES)
+            coded = words.dictionary_encode()
+            whole = pc.utf8_lower(coded.dictionary).cast(pa.string())
+            # for each different word the terms that it is or begins with; most have none and go at once
+            forms = [whole, *(pc.binary_join_element_wise(pc.utf8_slice_codeunits(whole, 0, n), "*", "") for n in PREFIXES)]
+            ours = np.stack([pc.fill_null(pc.index_in(f, value_set=wanted), -1).to_numpy(zero_copy_only=False) for f in forms])
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            hit = np.flatnonzero((ours >= 0).any(0)[codes]) if len(codes) else np.zeros(0, np.int64)
+            owner = np.searchsorted(np.cumsum(counts), hit, "right")
+            held = ours[:, codes[hit]].astype(np.int64) if len(hit) else np.zeros((len(forms), 0), np.int64)
+            size = max(1, len(known))
+            pairs, times = np.unique((owner * size + held)[held >= 0], return_counts=True)
+            owner, term = pairs // size, pairs % size
+            cells = [(owner[ok], s[ok], times[ok]) for k in range(TIMES) for s in [slots[term, k]] for ok in [(s >= 0) & (times > k)]]
+            owner, term, times = (np.concatenate(c) for c in zip(*cells, strict=True))
+            order = np.lexsort((term, owner))
+            owner, term, times = owner[order], term[order], times[order]
             offsets = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (ours, times)]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (term, times)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *lists], names=[*names, "terms", "counts"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
