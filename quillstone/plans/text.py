@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.operators import grounding
+from quillstone.operators import coverage, grounding, shield
 from quillstone.plans.registry import query
 from quillstone.session import table
+from quillstone.streaming import scanner
 
 
 def docs(spark, sf_dir: str, *more: str) -> DataFrame:
@@ -152,3 +153,41 @@ def planted_fakes(spark, sf_dir: str) -> DataFrame:
     d, q = docs(spark, sf_dir), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
     held = grounding.ground_across(d, "doc_id", q, "item_id").where("start IS NOT NULL").select("doc_id", "item_id").join(q, "item_id").join(d, "doc_id")
     return grounding.catch_rates(held)
+
+
+@query()
+def document_sentences(spark, sf_dir: str) -> DataFrame:
+    """Sentences of every document with their offsets."""
+    return coverage.split_sentences(docs(spark, sf_dir), "doc_id").select("doc_id", "pos", "start", "end")
+
+
+@query()
+def instruction_coverage(spark, sf_dir: str) -> DataFrame:
+    """Instructions of every document and how many a grounded benchmark quote covers."""
+    s = coverage.split_sentences(docs(spark, sf_dir), "doc_id").withColumn("reason", coverage.instruction_reason(F.col("sentence"))).where("reason IS NOT NULL")
+    return coverage.coverage_ratio(coverage.coverage(s, grounded_spans(spark, sf_dir), "doc_id"), "doc_id")
+
+
+@query()
+def shielded_turns(spark, sf_dir: str) -> DataFrame:
+    """Conversations with identifiers hidden, learnt and spread inside each conversation."""
+    turns = table(spark, sf_dir, "conversations").withColumn("text", F.concat("text", F.lit(" MRN: A"), (F.col("conv_id") + 100000).cast("string")))
+    s = shield.shield(turns, "conv_id", "turn")
+    return s.select("conv_id", "turn", "redacted", F.size("segments").alias("n_hidden"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS n_email, len(regexp_extract_all(text, '\\b\\d{3}-\\d{2}-\\d{4}\\b')) AS n_ssn FROM documents")
+def identifier_counts(spark, sf_dir: str) -> DataFrame:
+    """E-mail addresses and social security numbers by document."""
+    n = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).cast("long")
+    return docs(spark, sf_dir).select("doc_id", n("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}").alias("n_email"), n("\\b\\d{3}-\\d{2}-\\d{4}\\b").alias("n_ssn"))
+
+
+@query("SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS pos FROM conversations")
+def scanned_items(spark, sf_dir: str) -> DataFrame:
+    """Objects of a JSON array that arrives in chunks of 37 characters, each as soon as it is complete."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("items"))
+    whole = F.to_json(F.struct(F.lit("a \"[{").alias("note"), F.col("items")))
+    chunks = turns.select("conv_id", F.posexplode(F.regexp_extract_all(whole, F.lit("(?s).{1,37}"), F.lit(0))).alias("seq", "chunk"))
+    found = scanner.scanned(chunks, "conv_id", "seq")
+    return found.select("conv_id", F.get_json_object("item", "$.turn").cast("long").alias("turn"), "pos")
