@@ -49,8 +49,8 @@ def text_slices(batches, column: str = "text", most: int = SLICE_BYTES):
 BROADCAST_IDS = 2_000_000
 
 
-def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not in gone (one column, doc_id); texts are shuffled only if gone is large."""
+def without_ids(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose key is not in gone (one column, key); texts are shuffled only if gone is large."""
     gone = written(gone, "gone")
     small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(gone) if small else gone, key, "left_anti").select(*docs.columns)

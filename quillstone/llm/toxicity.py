@@ -158,7 +158,7 @@ class BlockMaxIndex:
         self.starts = np.searchsorted(keys, np.arange(len(idf) * self.n_blocks + 1))
         self.top = np.zeros(len(idf) * self.n_blocks)
         np.maximum.at(self.top, keys, self.weight)
-        self.top = self.top.reshape(len(idf), -1)
+        self.top = self.top.reshape(len(idf), self.n_blocks)
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.idf[terms]
@@ -265,10 +265,11 @@ def remainder(n: int) -> Column:
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> DataFrame:
-    """The documents that are not predicted toxic."""
-    found = score_toxicity(docs.select("doc_id", "text"), labels, learn)
-    bad = found.where("predicted = 1").select("doc_id").distinct()
-    return without_ids(docs, bad)
+    """The documents that are not predicted toxic; rows go by id and text, so a null or repeated id drops no other text."""
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
+    found = score_toxicity(docs.select("doc_id", "text", key.alias("_key")), labels, learn)
+    bad = found.where("predicted = 1").select("_key").distinct()
+    return without_ids(docs.withColumn("_key", key), bad, "_key").select(*docs.columns)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
