@@ -35,7 +35,7 @@ from quillstone.llm.text import split_words, text_slices, without_ids
 from quillstone.session import shared_dir, written
 
 SAMPLE = 50_000
-EXAMPLES = 20_000
+EXAMPLES = 6_000
 TERMS = 1_000
 PREFIXES = (4, 5, 7)
 TIMES = 3
@@ -105,7 +105,12 @@ def choose_terms(docs: DataFrame, sample: DataFrame) -> list[tuple[str, int]]:
         part(b, F.col("n") * share) + part(g, F.col("n") * (1 - share)) + part(n_bad - b, (n_all - F.col("n")) * share) + part(n_all - n_bad - g, (n_all - F.col("n")) * (1 - share))
     )
     best = counts.where((b >= LEAST_TOXIC) & (b > F.col("n") * share)).withColumn("ratio", ratio).where(F.col("ratio") >= least)
-    return [(r[0], r[1]) for r in best.orderBy(F.col("ratio").desc(), "term", "times").limit(TERMS).select("term", "times").collect()]
+    rows = best.orderBy(F.col("ratio").desc(), "term", "times").limit(TERMS).select("term", "times", "bad", "n").collect()
+    # a word and its beginnings often stand in the very same texts: one of them is enough
+    first: dict[tuple, tuple[str, int]] = {}
+    for r in rows:
+        first.setdefault((r["term"][: min(PREFIXES)], r["times"], r["bad"], r["n"]), (r["term"], r["times"]))
+    return list(first.values())
 
 
 def term_vectors(docs: DataFrame, terms: list[tuple[str, int]]) -> DataFrame:
