@@ -21,6 +21,8 @@ Defined results
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -168,7 +170,8 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     out = ["n_words", "hits", "leaked_items"]
     docs = docs.drop(*out)
     found = docs.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<array<int>>"), "leaked_items": F.array().cast("array<string>")})
-    for held in [*item_blocks(items)] or [[]]:
+    blocks = item_blocks(items)
+    for held in chain([next(blocks, [])], blocks):  # one block of items at a time is on the driver
         own = Block([i for i, _ in held], [t for _, t in held])
         plain = spark.sparkContext.broadcast(dict(vars(own)))
         own.choose(shingle_frequencies(docs, plain, len(own.shingles)) if own.shingles else np.zeros(0, np.int64))
