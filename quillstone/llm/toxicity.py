@@ -35,7 +35,7 @@ from quillstone.llm.text import split_words, text_slices, without_ids
 from quillstone.session import shared_dir, written
 
 SAMPLE = 50_000
-EXAMPLES = 6_000
+EXAMPLES = 20_000
 TERMS = 1_000
 PREFIXES = (4, 5, 7)
 TIMES = 3
@@ -174,12 +174,17 @@ class BlockMaxIndex:
         w = (1 + np.log(counts)) * self.idf[terms]
         return terms, w / np.linalg.norm(w)
 
-    def evaluated(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """The cosines of the blocks' examples, 0 elsewhere."""
+    def evaluated(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray, hidden: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The examples of the blocks and their cosines, 0 for hidden ones; the work grows with the blocks alone."""
         keys = (terms[:, None] * self.n_blocks + blocks[None, :]).ravel()
         first, each = self.starts[keys], self.starts[keys + 1] - self.starts[keys]
         where = np.repeat(first - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-        return np.bincount(self.example[where], np.repeat(np.repeat(weights, len(blocks)), each) * self.weight[where], minlength=len(self.ids))
+        rank = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(terms)), each)
+        cosines = np.bincount(rank + self.example[where] % BLOCK, np.repeat(np.repeat(weights, len(blocks)), each) * self.weight[where], minlength=len(blocks) * BLOCK)
+        examples = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        if hidden:
+            cosines[np.isin(examples, hidden)] = 0
+        return examples, cosines
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, without=None, k: int = K) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest, ties to the earlier example; without: an id that is left out."""
@@ -188,21 +193,18 @@ class BlockMaxIndex:
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
         hidden = self.places.get(without, []) if without is not None else []
-        cosines = self.evaluated(terms, weights, order[:FIRST_BLOCKS])
-        cosines[hidden] = 0
-        kth = np.partition(cosines, len(cosines) - k)[len(cosines) - k] if len(cosines) > k else 0.0
+        kth_of = lambda c: np.partition(c, len(c) - k)[len(c) - k] if len(c) > k else 0.0
+        examples, cosines = self.evaluated(terms, weights, order[:FIRST_BLOCKS], hidden)
         # the k-th cosine found rules out the blocks whose bound is below it
         rest = order[FIRST_BLOCKS:]
-        rest = rest[bounds[rest] + 1e-9 >= kth]
+        rest = rest[bounds[rest] + 1e-9 >= kth_of(cosines)]
         if len(rest):
-            cosines += self.evaluated(terms, weights, rest)
-            cosines[hidden] = 0
+            more = self.evaluated(terms, weights, rest, hidden)
+            examples, cosines = np.append(examples, more[0]), np.append(cosines, more[1])
         cosines = np.round(cosines, 12)
-        if len(cosines) > k:
-            kth = np.partition(cosines, len(cosines) - k)[len(cosines) - k]
-        some = np.flatnonzero((cosines > 0) & (cosines >= (kth if len(cosines) > k else 0)))
-        some = some[np.argsort(-cosines[some], kind="stable")][:k]
-        return [(float(cosines[i]), int(i)) for i in some]
+        some = np.flatnonzero((cosines > 0) & (cosines >= kth_of(cosines)))
+        some = some[np.lexsort((examples[some], -cosines[some]))][:k]
+        return list(zip(cosines[some].tolist(), examples[some].tolist(), strict=True))
 
     def vote(self, neighbours: list[tuple[float, int]], prior: float) -> float:
         weights = np.array([c * c for c, _ in neighbours])
@@ -268,13 +270,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     def score(batches):
         index = opened(sent.value)
         for batch in batches:
-            scores, evidence = [], []
+            scores, evidence, seen = [], [], {}
             for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                near = index.nearest(*as_vector(t, c)) if t and len(index.ids) else []
-                # documents whose terms no example shares are as those without a term
-                vote = float(points[1][min(np.searchsorted(points[0], index.vote(near, prior) - 1e-6), len(points[0]) - 1)]) if near else without_term
-                scores.append(min(1.0, max(0.0, vote)))
-                evidence.append([{"doc_id": index.ids[i], "cosine": s, "toxic": int(index.toxic[i])} for s, i in near])
+                key = (tuple(t), tuple(c))
+                if key not in seen:  # equal vectors of a batch, copies among them, are looked up once
+                    near = index.nearest(*as_vector(t, c)) if t and len(index.ids) else []
+                    # documents whose terms no example shares are as those without a term
+                    vote = float(points[1][min(np.searchsorted(points[0], index.vote(near, prior) - 1e-6), len(points[0]) - 1)]) if near else without_term
+                    seen[key] = min(1.0, max(0.0, vote)), [{"doc_id": index.ids[i], "cosine": s, "toxic": int(index.toxic[i])} for s, i in near]
+                scores.append(seen[key][0])
+                evidence.append(seen[key][1])
             kind = pa.list_(pa.struct([("doc_id", batch.column("doc_id").type), ("cosine", pa.float64()), ("toxic", pa.int32())]))
             cells = [*(batch.column(n) for n in names), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(evidence, kind)]
             yield pa.RecordBatch.from_arrays(cells, names=[*names, "score", "predicted", "evidence"])
