@@ -3,7 +3,7 @@
 Terms are words and word beginnings of 4 to 7 characters, each also as "at least 2 times", "at least 3 times" in the
 text, since a beginning that chance gives once is telling when it returns. Which terms count is learnt from at most SAMPLE labelled
 rows (the bound on what is fitted): those that toxic examples hold significantly more often, by the log-likelihood
-ratio. Document frequencies for the IDF cover all documents. Each document becomes a short vector over these terms.
+ratio, and LIFT times as often at least. Document frequencies for the IDF cover all documents. Each document becomes a short vector over these terms.
 
 The labelled examples with a term (at most EXAMPLES) make an inverted index whose postings are cut into blocks of
 BLOCK examples, each with the greatest weight that a term has there. For a document the block maxima bound the cosine
@@ -42,6 +42,9 @@ TIMES = 3
 #: Least number of toxic examples of a term. Its log-likelihood ratio must reach 2 ln(tests), so that about one of all
 #: tested terms passes by chance.
 LEAST_TOXIC = 3
+#: Least lift of a term: how much likelier a document that holds it is toxic than any. The likelihood ratio alone lets
+#: through ever weaker terms, in the end the commonest words, as labels grow.
+LIFT = 2
 K = 16
 BLOCK = 64
 #: Blocks that are evaluated before their cosines bound the rest.
@@ -104,7 +107,7 @@ def choose_terms(docs: DataFrame, sample: DataFrame) -> list[tuple[str, int]]:
     ratio = 2 * (
         part(b, F.col("n") * share) + part(g, F.col("n") * (1 - share)) + part(n_bad - b, (n_all - F.col("n")) * share) + part(n_all - n_bad - g, (n_all - F.col("n")) * (1 - share))
     )
-    best = counts.where((b >= LEAST_TOXIC) & (b > F.col("n") * share)).withColumn("ratio", ratio).where(F.col("ratio") >= least)
+    best = counts.where((b >= LEAST_TOXIC) & (b >= F.col("n") * share * LIFT)).withColumn("ratio", ratio).where(F.col("ratio") >= least)
     rows = best.orderBy(F.col("ratio").desc(), "term", "times").limit(TERMS).select("term", "times", "bad", "n").collect()
     # a word and its beginnings often stand in the very same texts: one of them is enough
     first: dict[tuple, tuple[str, int]] = {}
