@@ -141,7 +141,7 @@ SPANS = "SELECT user_id, (epoch_ms(ts) // 60000)::BIGINT AS s, (epoch_ms(ts) //
 
 def spans(spark, sf_dir: str) -> DataFrame:
     minute = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) div 60000000")
-    return table(spark, sf_dir, "events").select("user_id", "event_id", minute.alias("start"), (minute + F.rint("value").cast("int") * 10).alias("end"))
+    return table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", minute.alias("start"), (minute + F.rint("value").cast("int") * 10).alias("end"))
 
 
 @query(f"""WITH s AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM ({SPANS})),
@@ -152,11 +152,11 @@ def merged_intervals(spark, sf_dir: str) -> DataFrame:
     return intervals.merged(spans(spark, sf_dir).select("user_id", "start", "end"), "user_id")
 
 
-@query(f"""SELECT a.user_id, count(*) AS n FROM ({SPANS}) a JOIN (SELECT * FROM ({SPANS}) WHERE user_id % 3 = 0) b ON a.user_id = b.user_id AND a.s < b.e AND a.e > b.s GROUP BY a.user_id""")
+@query(f"""SELECT a.user_id, count(*) AS n FROM ({SPANS}) a JOIN ({SPANS} WHERE event_type = 'purchase') b ON a.user_id = b.user_id AND a.s < b.e AND a.e > b.s GROUP BY a.user_id""")
 def overlapping_intervals(spark, sf_dir: str) -> DataFrame:
     """Interval-overlap join inside a key."""
-    left = spans(spark, sf_dir).drop("event_id")
-    right = left.where("user_id % 3 = 0").select("user_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    left = spans(spark, sf_dir).drop("event_id", "event_type")
+    right = spans(spark, sf_dir).where("event_type = 'purchase'").select("user_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     return intervals.overlapping(left, right, "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
