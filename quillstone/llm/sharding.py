@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.mixing import hashed_uniform
-from quillstone.session import shared_dir
+from quillstone.session import shared_dir, shared_path
 
 
 def let(value: Column, body) -> Column:
@@ -174,11 +174,20 @@ def shard_uniform(docs: DataFrame, shards: int = 8, blocks: int = 64, lanes: int
 
 
 def op2_shard_documents(spark, sf_dir: str) -> DataFrame:
-    """All documents into shards 0 to 7, counts at most one apart; the operator carries digests instead of texts."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    """All documents into shards 0 to 7, counts at most one apart; the digests are taken from the written shards.
+
+    The whole rows go through both exchanges into a table of shards. It is written before the digests are computed,
+    since Spark would else drop the columns that they do not need ahead of the exchanges.
+    """
+    path = shared_path(spark, "sharded")
+    sharded = shard_uniform(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    sharded.write.option("compression", "zstd").parquet(path)  # beside two exchanges of the texts disk is scarce
+    return spark.read.schema(sharded.schema).parquet(path).select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
     )
-    sharded = shard_uniform(docs)
-    return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -83,6 +83,22 @@ def test_sharding_odd_rows(odd):
     assert sorted(r.slot for r in sharding.shard_uniform(odd, shards=2, blocks=4, lanes=2).collect()) == [0, 0, 1, 1, 2, 2]
 
 
+def test_sharded_digests_are_of_the_moved_documents(spark, monkeypatch):
+    sf, shard = "/root/testdata/sf0.001", sharding.shard_uniform
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    seen = []
+
+    def marked(df, *args, **kwargs):
+        seen.append(df.columns)
+        return shard(df, *args, **kwargs).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("!")))
+
+    monkeypatch.setattr(sharding, "shard_uniform", marked)
+    rows = sharding.op2_shard_documents(spark, sf).collect()
+    texts = [(r.doc_id, ((r.text or "") + "!").encode()) for r in docs.collect()]
+    assert seen == [docs.columns]
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in rows) == sorted((i, len(t) + 1, zlib.crc32(t)) for i, t in texts)
+
+
 def brute_hits(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
     w, hit, held = words(text), set(), set()
