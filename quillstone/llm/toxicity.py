@@ -3,12 +3,14 @@
 Terms are words and word beginnings of 4 to 7 characters, each also as "at least 2 times", "at least 3 times" in the
 text, since a beginning that chance gives once is telling when it returns. Which terms count is learnt from at most SAMPLE labelled
 rows (the bound on what is fitted): those that toxic examples hold significantly more often, by the log-likelihood
-ratio, and LIFT times as often at least. Document frequencies for the IDF cover all documents. Each document becomes a short vector over these terms.
-
-The labelled examples with a term (at most EXAMPLES) make an inverted index whose postings are cut into blocks of
-BLOCK examples, each with the greatest weight that a term has there. For a document the block maxima bound the cosine
-of every block; the blocks with the highest bounds are evaluated first, then those whose bound is not below the K-th
-cosine found, so the neighbours are exact. Neighbours vote with the square of their cosine, and the vote is calibrated by isotonic
+ratio, the TERMS most significant ones. Document frequencies for the IDF cover all documents. Each document becomes a
+vector over these terms.
+
+The different vectors of the labelled examples with a term (at most EXAMPLES) are cut into blocks of BLOCK, each with
+the greatest weight that a term has there. For a document the block maxima bound the cosine of every block; blocks
+whose bound is below the K-th cosine found are passed over. The others are multiplied in single precision, many
+documents at once, and what may be among the K nearest is computed again in double precision, so the neighbours are
+exact and the work for a document is at most TERMS x EXAMPLES products. Neighbours vote with the square of their cosine, and the vote is calibrated by isotonic
 regression on the examples, each left out of its own vote. Documents without a term get the smoothed share of toxic
 ones among the labelled documents without a term. The neighbours are returned as evidence.
 
@@ -42,13 +44,12 @@ TIMES = 3
 #: Least number of toxic examples of a term. Its log-likelihood ratio must reach 2 ln(tests), so that about one of all
 #: tested terms passes by chance.
 LEAST_TOXIC = 3
-#: Least lift of a term: how much likelier a document that holds it is toxic than any. The likelihood ratio alone lets
-#: through ever weaker terms, in the end the commonest words, as labels grow.
-LIFT = 2
 K = 16
-BLOCK = 64
-#: Blocks that are evaluated before their cosines bound the rest.
-FIRST_BLOCKS = 8
+BLOCK = 512
+#: Documents that are searched together.
+TOGETHER = 512
+#: More than the error of a cosine of unit vectors in single precision; what it leaves open is computed in double.
+SINGLE = 1e-4
 #: Weight of the prior in a vote.
 PRIOR = 0.05
 THRESHOLD = 0.7
@@ -107,7 +108,7 @@ def choose_terms(docs: DataFrame, sample: DataFrame) -> list[tuple[str, int]]:
     ratio = 2 * (
         part(b, F.col("n") * share) + part(g, F.col("n") * (1 - share)) + part(n_bad - b, (n_all - F.col("n")) * share) + part(n_all - n_bad - g, (n_all - F.col("n")) * (1 - share))
     )
-    best = counts.where((b >= LEAST_TOXIC) & (b >= F.col("n") * share * LIFT)).withColumn("ratio", ratio).where(F.col("ratio") >= least)
+    best = counts.where((b >= LEAST_TOXIC) & (b > F.col("n") * share)).withColumn("ratio", ratio).where(F.col("ratio") >= least)
     rows = best.orderBy(F.col("ratio").desc(), "term", "times").limit(TERMS).select("term", "times", "bad", "n").collect()
     # a word and its beginnings often stand in the very same texts: one of them is enough
     first: dict[tuple, tuple[str, int]] = {}
@@ -152,7 +153,7 @@ def term_vectors(docs: DataFrame, terms: list[tuple[str, int]]) -> DataFrame:
 
 
 class BlockMaxIndex:
-    """Unit vectors of the examples by term, with block maxima."""
+    """Unit vectors of the examples, equal ones once, with block maxima."""
 
     def __init__(self, ids: list, toxic: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray):
         order = sorted(range(len(ids)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1] * idf[vectors[i][0]])]), ids[i]))
@@ -160,54 +161,86 @@ class BlockMaxIndex:
         self.places: dict = {}
         for i, name in enumerate(self.ids):
             self.places.setdefault(name, []).append(i)
-        rows = [self.unit(*vectors[i]) for i in order]
-        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in rows)]).astype(np.int64)
-        example = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
-        weight = np.concatenate([np.zeros(0), *(w for _, w in rows)])
-        self.n_blocks = -(-len(rows) // BLOCK)
-        by_term = np.lexsort((example, term))
-        self.example, self.weight = example[by_term], weight[by_term]
-        keys = term[by_term] * max(1, self.n_blocks) + self.example // BLOCK
-        self.starts = np.searchsorted(keys, np.arange(len(idf) * self.n_blocks + 1))
-        self.top = np.zeros(len(idf) * self.n_blocks)
-        np.maximum.at(self.top, keys, self.weight)
-        self.top = self.top.reshape(len(idf), self.n_blocks)
+        #: The examples of each different vector, in order.
+        self.members: list[list[int]] = []
+        number: dict[tuple, int] = {}
+        rows = []
+        for i, o in enumerate(order):
+            t, w = self.unit(*vectors[o])
+            n = number.setdefault((t.tobytes(), w.tobytes()), len(rows))
+            if n == len(rows):
+                rows.append((t, w))
+                self.members.append([])
+            self.members[n].append(i)
+        self.starts = np.cumsum([0, *(len(t) for t, _ in rows)])
+        self.term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in rows)]).astype(np.int64)
+        self.weight = np.concatenate([np.zeros(0), *(w for _, w in rows)])
+        self.vector = np.repeat(np.arange(len(rows)), np.diff(self.starts))
+        self.top = np.zeros((-(-len(rows) // BLOCK), len(idf)), np.float32)
+        np.maximum.at(self.top, (self.vector // BLOCK, self.term), self.weight.astype(np.float32))
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.idf[terms]
         return terms, w / np.linalg.norm(w)
 
-    def evaluated(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray, hidden: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """The examples of the blocks and their cosines, 0 for hidden ones; the work grows with the blocks alone."""
-        keys = (terms[:, None] * self.n_blocks + blocks[None, :]).ravel()
-        first, each = self.starts[keys], self.starts[keys + 1] - self.starts[keys]
-        where = np.repeat(first - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-        rank = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(terms)), each)
-        cosines = np.bincount(rank + self.example[where] % BLOCK, np.repeat(np.repeat(weights, len(blocks)), each) * self.weight[where], minlength=len(blocks) * BLOCK)
-        examples = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        if hidden:
-            cosines[np.isin(examples, hidden)] = 0
-        return examples, cosines
+    def candidates(self, dense: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row of dense, vector) of all that can be among the k nearest vectors of a row, k-th ones and ties included."""
+        n, single = len(self.members), dense.astype(np.float32)
+        bounds = single @ self.top.T
+        best = np.zeros((len(dense), k), np.float32)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        for block in np.argsort(-bounds.sum(0), kind="stable"):
+            # the k-th cosine found rules out the blocks whose bound is below it
+            rows = np.flatnonzero((bounds[:, block] > 0) & (bounds[:, block] + SINGLE >= best[:, 0]))
+            if not len(rows):
+                continue
+            a, b = block * BLOCK, min(n, (block + 1) * BLOCK)
+            part = slice(self.starts[a], self.starts[b])
+            tile = np.zeros((b - a, len(self.idf)), np.float32)
+            tile[self.vector[part] - a, self.term[part]] = self.weight[part]
+            cosines = single[rows] @ tile.T
+            near = np.partition(cosines, b - a - k, axis=1)[:, -k:] if b - a > k else cosines
+            both = np.concatenate([best[rows], near], axis=1)
+            kept = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]  # the k-th one comes first
+            best[rows] = kept
+            i, j = np.nonzero((cosines > 0) & (cosines >= kept[:, :1] - SINGLE))
+            found.append((rows[i], j + a, cosines[i, j]))
+        row, vector, cosine = (np.concatenate(c) for c in zip(*found, strict=True))
+        some = cosine >= best[row, 0] - SINGLE
+        return row[some], vector[some]
+
+    def nearest_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list | None = None, k: int = K) -> list[list[tuple[float, int]]]:
+        """For each vector (cosine, example) of the k nearest, ties to the earlier example; without: ids that are left out."""
+        out: list[list[tuple[float, int]]] = []
+        for at in range(0, len(vectors), TOGETHER):
+            group = vectors[at : at + TOGETHER]
+            hidden = [set(self.places.get(i, [])) if i is not None else set() for i in (without or [None] * len(vectors))[at : at + TOGETHER]]
+            dense = np.zeros((len(group), len(self.idf)))
+            for i, v in enumerate(group):
+                terms, weights = self.unit(*v)
+                dense[i, terms] = weights
+            # hidden examples take at most as many vectors away as they are
+            row, vector = self.candidates(dense, k + max(map(len, hidden)))
+            each = self.starts[vector + 1] - self.starts[vector]
+            where = np.repeat(self.starts[vector] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+            pair = np.repeat(np.arange(len(row)), each)
+            cosines = np.round(np.bincount(pair, dense[row[pair], self.term[where]] * self.weight[where], minlength=len(row)), 12)
+            order = np.lexsort((-cosines, row))
+            ends = np.searchsorted(row[order], np.arange(len(group) + 1))
+            for i, gone in enumerate(hidden):
+                near: list[tuple[float, int]] = []
+                for p in order[ends[i] : ends[i + 1]]:
+                    if len(near) >= k and cosines[p] < near[k - 1][0]:
+                        break
+                    shown = (e for e in self.members[vector[p]] if e not in gone)
+                    near += [(float(cosines[p]), e) for e, _ in zip(shown, range(k), strict=False)]
+                    near.sort(key=lambda x: (-x[0], x[1]))
+                out.append(near[:k])
+        return out
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, without=None, k: int = K) -> list[tuple[float, int]]:
-        """(cosine, example) of the k nearest, ties to the earlier example; without: an id that is left out."""
-        terms, weights = self.unit(terms, counts)
-        bounds = weights @ self.top[terms]
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        hidden = self.places.get(without, []) if without is not None else []
-        kth_of = lambda c: np.partition(c, len(c) - k)[len(c) - k] if len(c) > k else 0.0
-        examples, cosines = self.evaluated(terms, weights, order[:FIRST_BLOCKS], hidden)
-        # the k-th cosine found rules out the blocks whose bound is below it
-        rest = order[FIRST_BLOCKS:]
-        rest = rest[bounds[rest] + 1e-9 >= kth_of(cosines)]
-        if len(rest):
-            more = self.evaluated(terms, weights, rest, hidden)
-            examples, cosines = np.append(examples, more[0]), np.append(cosines, more[1])
-        cosines = np.round(cosines, 12)
-        some = np.flatnonzero((cosines > 0) & (cosines >= kth_of(cosines)))
-        some = some[np.lexsort((examples[some], -cosines[some]))][:k]
-        return list(zip(cosines[some].tolist(), examples[some].tolist(), strict=True))
+        """nearest_all of one vector."""
+        return self.nearest_all([(terms, counts)], [without], k)[0]
 
     def vote(self, neighbours: list[tuple[float, int]], prior: float) -> float:
         weights = np.array([c * c for c, _ in neighbours])
@@ -239,8 +272,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     vectors = written(term_vectors(docs, terms), "vectors")
     total = vectors.count()
     idf = np.zeros(len(terms))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # at most TERMS rows
-        idf[r["t"]] = np.log(1 + total / r["count"])
+
+    def held(batches):
+        for batch in batches:
+            n = np.bincount(batch.column("terms").flatten().to_numpy(zero_copy_only=False), minlength=len(terms))
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some].astype(np.int64))], names=["t", "n"])
+
+    for r in vectors.select("terms").mapInArrow(held, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():  # at most TERMS rows
+        idf[r["t"]] = np.log(1 + total / r["n"])
     known = vectors.join(F.broadcast(sample), "doc_id")
     shares = {r["toxic"]: r["count"] for r in known.where(F.size("terms") == 0).groupBy("toxic").count().collect()}  # two rows
     overall = sample.agg(F.avg("toxic")).first()[0]
@@ -260,7 +300,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     def leave_out(batches):
         index = opened(sent.value)
         for batch in batches:
-            votes = [index.vote(index.nearest(*as_vector(t, c), without=i), prior) for i, t, c in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "terms", "counts")), strict=True)]
+            ids, terms, counts = (batch.column(n).to_pylist() for n in ("doc_id", "terms", "counts"))
+            near = index.nearest_all([as_vector(t, c) for t, c in zip(terms, counts, strict=True)], ids)
+            votes = [index.vote(n, prior) for n in near]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column("toxic")], names=["vote", "toxic"])
 
     points = (np.zeros(0), np.zeros(0))
@@ -273,16 +315,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     def score(batches):
         index = opened(sent.value)
         for batch in batches:
-            scores, evidence, seen = [], [], {}
-            for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                key = (tuple(t), tuple(c))
-                if key not in seen:  # equal vectors of a batch, copies among them, are looked up once
-                    near = index.nearest(*as_vector(t, c)) if t and len(index.ids) else []
-                    # documents whose terms no example shares are as those without a term
-                    vote = float(points[1][min(np.searchsorted(points[0], index.vote(near, prior) - 1e-6), len(points[0]) - 1)]) if near else without_term
-                    seen[key] = min(1.0, max(0.0, vote)), [{"doc_id": index.ids[i], "cosine": s, "toxic": int(index.toxic[i])} for s, i in near]
-                scores.append(seen[key][0])
-                evidence.append(seen[key][1])
+            keys = [(tuple(t), tuple(c)) for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
+            # equal vectors of a batch, copies among them, are looked up once
+            asked = [key for key in dict.fromkeys(keys) if key[0] and index.ids]
+            found = dict(zip(asked, index.nearest_all([as_vector(*key) for key in asked]), strict=True))
+            seen = {}
+            for key in dict.fromkeys(keys):
+                near = found.get(key, [])
+                # documents whose terms no example shares are as those without a term
+                vote = float(points[1][min(np.searchsorted(points[0], index.vote(near, prior) - 1e-6), len(points[0]) - 1)]) if near else without_term
+                seen[key] = min(1.0, max(0.0, vote)), [{"doc_id": index.ids[i], "cosine": s, "toxic": int(index.toxic[i])} for s, i in near]
+            scores, evidence = [seen[key][0] for key in keys], [seen[key][1] for key in keys]
             kind = pa.list_(pa.struct([("doc_id", batch.column("doc_id").type), ("cosine", pa.float64()), ("toxic", pa.int32())]))
             cells = [*(batch.column(n) for n in names), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(evidence, kind)]
             yield pa.RecordBatch.from_arrays(cells, names=[*names, "score", "predicted", "evidence"])

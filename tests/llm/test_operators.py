@@ -238,6 +238,42 @@ def test_toxicity_learns_and_is_calibrated(spark):
     assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_learns_from_mostly_toxic_labels(spark):
+    clean = "the river runs past a quiet mill and the garden".split()
+    rows = [(i, " ".join(clean[(i + j) % len(clean)] for j in range(12)) + (" vilefoo" + "xyz"[i % 3] if i % 4 else "")) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 if i % 4 else 0) for i in range(160)], "doc_id long, toxic int")
+    for r in toxicity.score_toxicity(docs, labels).collect():
+        assert (r.predicted, bool(r.evidence)) == (int(r.doc_id % 4 > 0), r.doc_id % 4 > 0), r
+
+
+def test_terms_need_no_lift(spark):
+    # "often" is in every toxic and in 60 of 100 clean texts: telling, with a lift of 1.25
+    rows = [(i, "plain text" + (" often" if i < 160 else ""), int(i < 100)) for i in range(200)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    assert {t for t, _ in toxicity.choose_terms(docs, labels)} & {"often", "ofte*", "often*"}
+
+
+def test_nearest_with_equal_vectors_and_hidden_examples():
+    rng = np.random.default_rng(8)
+    vectors = [(np.array([t]), np.array([1.0])) for t in (0, 1) for _ in range(40)] + [(np.sort(rng.choice(12, 5, replace=False)), rng.integers(1, 4, 5).astype(float)) for _ in range(1200)]
+    ids = [i // 2 for i in range(len(vectors))]  # every id twice
+    index = toxicity.BlockMaxIndex(ids, [0] * len(ids), vectors, rng.random(12) + 0.5)
+    order = sorted(range(len(ids)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1] * index.idf[vectors[i][0]])]), ids[i]))
+    full = np.zeros((len(ids), 12))
+    for e, o in enumerate(order):
+        t, w = index.unit(*vectors[o])
+        full[e, t] = w
+    asked = list(range(0, len(ids), 9))
+    for o, near in zip(asked, index.nearest_all([vectors[o] for o in asked], [ids[o] for o in asked]), strict=True):
+        t, w = index.unit(*vectors[o])
+        cosines = np.round(full[:, t] @ w, 12)
+        want = sorted((-c, e) for e, c in enumerate(cosines) if c > 0 and index.ids[e] != ids[o])[: toxicity.K]
+        assert [c for c, _ in near] == pytest.approx([-c for c, _ in want], abs=1e-11)
+        assert all(index.ids[e] != ids[o] and cosines[e] == pytest.approx(c, abs=1e-11) for c, e in near)
+        assert o >= 80 or [e for _, e in near] == [e for _, e in want]
+
+
 def test_block_max_is_exact():
     rng = np.random.default_rng(5)
     vectors = [(np.sort(rng.choice(30, 4, replace=False)), rng.integers(1, 5, 4).astype(float)) for _ in range(500)]
