@@ -80,27 +80,42 @@ def labelled_sample(labels: DataFrame, learn: Column) -> DataFrame:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
 
 
+def covers(beginning: str, term: str, least: int) -> bool:
+    """Whether every text that holds term at least so often holds the beginning (a term with a star) as often."""
+    stem, letters = beginning[:-1], len(term.rstrip("*"))
+    if beginning == term or not beginning.endswith("*") or not term.startswith(stem):
+        return False
+    if len(stem) not in PREFIXES:  # of a word that is shorter than a beginning
+        return term == stem
+    # a word that is shorter than a longer beginning has the term several times
+    return least == 1 or not term.endswith("*") or sum(n >= letters for n in PREFIXES) == 1
+
+
 def choose_terms(docs: DataFrame, sample: DataFrame) -> list[tuple[str, int]]:
     """(term, least times) that toxic examples hold significantly more often than others, at most TERMS."""
 
     def count(batches):
         for batch in text_slices(batches):
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
+            marks = batch.column("mark").to_numpy(zero_copy_only=False)
             owner, term, times, names = text_terms(batch.column("text"))
             for least in range(1, TIMES + 1):
                 held = term[times >= least]
                 all_, bad = np.bincount(held, minlength=len(names)), np.bincount(term[(times >= least) & toxic[owner]], minlength=len(names))
-                some = np.flatnonzero(all_)
-                cells = [names.take(pa.array(some)).cast(pa.string()), pa.array(np.full(len(some), least, np.int32)), pa.array(bad[some]), pa.array(all_[some])]
-                yield pa.RecordBatch.from_arrays(cells, names=["term", "times", "bad", "n"])
+                some, digest = np.flatnonzero(all_), np.zeros(len(names), np.int64)
+                np.add.at(digest, held, marks[owner[times >= least]])
+                cells = [names.take(pa.array(some)).cast(pa.string()), pa.array(np.full(len(some), least, np.int32)), pa.array(bad[some]), pa.array(all_[some]), pa.array(digest[some])]
+                yield pa.RecordBatch.from_arrays(cells, names=["term", "times", "bad", "n", "digest"])
 
     sizes = sample.groupBy("toxic").count().collect()  # two rows
     n_bad = sum(r["count"] for r in sizes if r["toxic"] == 1)
     n_all = sum(r["count"] for r in sizes)
     if not 0 < n_bad < n_all:
         return []
-    counts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic").mapInArrow(count, "term string, times int, bad long, n long")
-    counts = written(counts.groupBy("term", "times").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_TOXIC), "terms")
+    # sums of 40 bits of a hash tell sets of texts apart; they stay in a long for millions of texts
+    mark = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 24).alias("mark")
+    counts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic", mark).mapInArrow(count, "term string, times int, bad long, n long, digest long")
+    counts = written(counts.groupBy("term", "times").agg(*(F.sum(c).alias(c) for c in ("bad", "n", "digest"))).where(F.col("n") >= LEAST_TOXIC), "terms")
     least = 2 * float(np.log(max(2, counts.count())))
     share = n_bad / n_all
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
@@ -109,12 +124,13 @@ def choose_terms(docs: DataFrame, sample: DataFrame) -> list[tuple[str, int]]:
         part(b, F.col("n") * share) + part(g, F.col("n") * (1 - share)) + part(n_bad - b, (n_all - F.col("n")) * share) + part(n_all - n_bad - g, (n_all - F.col("n")) * (1 - share))
     )
     best = counts.where((b >= LEAST_TOXIC) & (b > F.col("n") * share)).withColumn("ratio", ratio).where(F.col("ratio") >= least)
-    rows = best.orderBy(F.col("ratio").desc(), "term", "times").limit(TERMS).select("term", "times", "bad", "n").collect()
-    # a word and its beginnings often stand in the very same texts: one of them is enough
-    first: dict[tuple, tuple[str, int]] = {}
+    rows = best.orderBy(F.col("ratio").desc(), "term", "times").limit(TERMS).select("term", "times", "bad", "n", "digest").collect()
+    # a word and its beginnings often stand in the very same texts: a beginning is enough then
+    same: dict[tuple, list[str]] = {}
     for r in rows:
-        first.setdefault((r["term"][: min(PREFIXES)], r["times"], r["bad"], r["n"]), (r["term"], r["times"]))
-    return list(first.values())
+        same.setdefault((r["times"], r["bad"], r["n"], r["digest"]), []).append(r["term"])
+    alike = lambda r: same[(r["times"], r["bad"], r["n"], r["digest"])]
+    return [(r["term"], r["times"]) for r in rows if not any(covers(t, r["term"], r["times"]) for t in alike(r))]
 
 
 def term_vectors(docs: DataFrame, terms: list[tuple[str, int]]) -> DataFrame:

@@ -254,6 +254,15 @@ def test_terms_need_no_lift(spark):
     assert {t for t, _ in toxicity.choose_terms(docs, labels)} & {"often", "ofte*", "often*"}
 
 
+def test_terms_with_equal_counts_are_kept_apart(spark):
+    # two words with one beginning, each in three toxic texts; the beginning itself is in clean texts too
+    end = lambda i: " vileaaa" if i < 3 else " vilebbb" if i < 6 else " vileccc" if i < 40 else ""
+    docs = spark.createDataFrame([(i, "plain text" + end(i)) for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 6)) for i in range(120)], "doc_id long, toxic int")
+    assert {("vilea*", 1), ("vileb*", 1)} <= set(toxicity.choose_terms(docs, labels))
+    assert toxicity.covers("vile*", "vileaaa", 2) and not toxicity.covers("vileaaa*", "vilea*", 1) and not toxicity.covers("vile*", "vilea*", 2)
+
+
 def test_nearest_with_equal_vectors_and_hidden_examples():
     rng = np.random.default_rng(8)
     vectors = [(np.array([t]), np.array([1.0])) for t in (0, 1) for _ in range(40)] + [(np.sort(rng.choice(12, 5, replace=False)), rng.integers(1, 4, 5).astype(float)) for _ in range(1200)]
