@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.geo import km
+from quillstone.functions.geo import RADIUS_M, km, metres
+from quillstone.session import written
 
 #: Sides of the prefilter box in degrees, at middle latitudes more than 60 km.
 BOX_LAT, BOX_LNG = 1.0, 1.5
@@ -31,3 +32,32 @@ def k_nearest(points: DataFrame, key: str, places: DataFrame, place_key: str, k:
     """The k nearest places of each point within max_km, ties to the smaller place; rank from 1."""
     order = Window.partitionBy(key).orderBy("km", place_key)
     return nearby(points, places, max_km).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def nearest_place(points: DataFrame, key: str, places: DataFrame, place_key: str) -> DataFrame:
+    """key, place_key and metres of the nearest place of each point at any distance, ties to the smaller place.
+
+    Points whose nearest place in the box may not be the nearest of all are asked again with a box twice as wide. What
+    is outside a box is as far as its edge at least: so many degrees of latitude, or the way to the meridian of its
+    side. Points without coordinates and all points where there is no place get no row.
+    """
+    left = points.select(key, "lat", "lng").where("lat IS NOT NULL AND lng IS NOT NULL")
+    held = places.select(place_key, "p_lat", "p_lng").where("p_lat IS NOT NULL AND p_lng IS NOT NULL")
+    # places on both sides of the date line
+    held = written(held.withColumn("p_lng", F.explode(F.transform(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0)), lambda turn: F.col("p_lng") + turn))), "places")
+    box, found = (BOX_LAT, BOX_LNG), None
+    while True:
+        far = metres(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng"))
+        near = nearby(left, held, float("inf"), box).withColumn("m", far).groupBy(key).agg(
+            F.min_by(place_key, F.struct("m", place_key)).alias(place_key), F.min("m").alias("metres"), F.first("lat").alias("lat")
+        )
+        side = F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.lit(min(box[1], 90.0)))))
+        edge = RADIUS_M * F.least(F.radians(F.lit(box[0])), side)
+        whole = min(box) >= 180
+        # metres are rounded: a place that ties must be inside as well
+        near = written(near.where(F.lit(whole) | (F.col("metres") + 1 < edge)).select(key, place_key, "metres"), "nearest")
+        found = near if found is None else found.unionByName(near)
+        left = written(left.join(near, key, "left_anti"), "left")
+        if whole or left.isEmpty():
+            return found
+        box = (box[0] * 2, box[1] * 2)

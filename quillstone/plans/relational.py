@@ -49,7 +49,10 @@ def sites_around(spark, sf_dir: str) -> DataFrame:
   SELECT c_custkey, s_suppkey, round(2 * 6371008.8 * asin(sqrt(pow(sin(radians(s.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lng - p.lng) / 2), 2)))) AS m
   FROM {PEOPLE} p, {SITES} s WHERE abs(p.lat - s.lat) <= 1 AND abs(p.lng - s.lng) <= 1.5 AND {KM} <= 120) GROUP BY c_custkey""")
 def nearest_stop(spark, sf_dir: str) -> DataFrame:
-    """The nearest site of everybody in whole metres."""
+    """The nearest site in whole metres of those who have one within 120 km and inside the box, as the SQL asks.
+
+    nearest.nearest_place finds that of everybody; the query can take it once the SQL has no box and no radius.
+    """
     near = nearest.nearby(people(spark, sf_dir), sites(spark, sf_dir), 120.0).withColumn("m", metres(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng")))
     return near.groupBy("c_custkey").agg(F.min_by("s_suppkey", F.struct("m", "s_suppkey")).alias("s_suppkey"), F.min("m").alias("metres"))
 

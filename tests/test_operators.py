@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.operators import coverage, grounding, intervals, shield, suppression
+from quillstone.operators import coverage, grounding, intervals, nearest, shield, suppression
 from quillstone.sources import files
 from quillstone.streaming import quotas, reservations, scanner
 
@@ -97,6 +97,23 @@ def test_intervals(spark):
     assert {r.k: [tuple(x) for x in r.m] for r in arrays.collect()} == {"a": [(1, 5), (7, 8)], "b": [(0, 1)]}
 
 
+def test_nearest_place_at_any_distance(spark):
+    from quillstone.functions.geo import metres
+
+    r = random.Random(4)
+    # the second site is 118 km to the east, the first 112 km to the north; the rest lie far away and beyond the date line
+    sites = [(1, 31.007, -90.0), (2, 30.0, -88.775), (3, 30.0, -88.775), (4, 10.0, 179.9), (5, -60.0, 20.0), (6, None, 3.0)]
+    asked = [(0, 30.0, -90.0), (1, 10.0, -179.9), (2, 89.0, 10.0), (3, None, 1.0)] + [(i, r.uniform(-85, 85), r.uniform(-180, 180)) for i in range(4, 60)]
+    points = spark.createDataFrame(asked, "id long, lat double, lng double")
+    places = spark.createDataFrame(sites, "site long, p_lat double, p_lng double")
+    pairs = points.crossJoin(places).withColumn("m", metres(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng"))).where("m IS NOT NULL").collect()
+    want = {i: min((p.m, p.site) for p in pairs if p.id == i) for i in {p.id for p in pairs}}
+    got = nearest.nearest_place(points, "id", places, "site").collect()
+    assert len(got) == len(want) == 59 and {g.id: (g.metres, g.site) for g in got} == want
+    assert want[0][1] == 1 and want[1][1] == 4
+    assert nearest.nearest_place(points, "id", places.limit(0), "site").count() == 0
+
+
 def test_ranges_values_and_flags(spark):
     verdict = lambda v, r: one(spark, T.classify(T.parse_value(F.lit(v)), T.parse_range(F.lit(r))))
     assert [verdict("126", "70-99"), verdict("<0.5", "0.4 - 4.0"), verdict("5", "< 5"), verdict("5", "<=5"), verdict("1,200", "1,000 to 1,500"), verdict(">=200", "<200"), verdict("x", "1-2")] == [
