@@ -4,6 +4,8 @@ Candidates are maximal runs of base64 characters of at least one window. A run's
 decides the threshold. The entropy of a window of W characters is log2(W) - S / W with S the sum of c * log2(c) over
 its character counts; moving the window by one character changes two counts, so S is carried along. A run whose
 highest window reaches the threshold is a span, unless the allow-list knows it or a span of a fixed pattern overlaps.
+Runs that lack a digit, an upper-case or a lower-case letter and are not hex have no threshold, whatever their entropy,
+and a run that a span of a fixed pattern overlaps is dropped as a whole; the SQL has both rules too.
 
 Only SQL functions run; each document is one row from scan to result, so there is no shuffle. Offsets are code points,
 taken from the lengths of what a pattern splits the text into.
