@@ -378,3 +378,19 @@ def test_pipeline_stages(spark, tmp_path):
         last, kept = kept, now
     assert kept.count() == last.count()
     assert hashlib.sha256(str(sorted(r.doc_id for r in kept.collect())).encode()).digest() == hashlib.sha256(str(sorted(r.doc_id for r in last.collect())).encode()).digest()
+
+
+def test_pipeline_stages_remove_planted_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 3000, 120))
+    texts = [text() + (" vilefoo vilebar" if i % 4 == 0 else "") for i in range(240)]
+    copies = {1000 + i: texts[i] if i % 2 else texts[i] + " end" for i in range(1, 40) if i % 4}
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in [*enumerate(texts), *copies.items()]], DOCS)
+    spark.createDataFrame([(i, 1 if i % 4 == 0 else 0) for i in range(240)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    clean = stages["toxicity"](spark, docs, str(tmp_path))
+    assert {r.doc_id for r in clean.collect()} == {i for i in range(240) if i % 4} | set(copies)
+    kept = [r.doc_id for r in stages["near duplicates"](spark, clean, str(tmp_path)).collect()]
+    assert sorted(i - 1000 if i >= 1000 else i for i in kept) == [i for i in range(240) if i % 4]
