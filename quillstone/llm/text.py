@@ -14,12 +14,20 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SLICE_BYTES = 4_000_000
 
 
+def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Where each text begins and ends in the bytes that follow; only the bytes of these texts, not of their batch."""
+    _, offsets, data = texts.buffers()
+    wide = np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32
+    ends = np.frombuffer(offsets, wide)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, wide)
+    first, last = int(ends[0]), int(ends[-1])
+    return ends - ends.dtype.type(first), memoryview(data)[first:last] if data is not None else memoryview(b"")
+
+
 def translated(texts: pa.Array, table: bytes) -> pa.Array:
     """The texts (null: empty) with each ASCII byte mapped by table; other bytes of UTF-8 stay as they are."""
     texts = texts.fill_null("")
-    _, offsets, data = texts.buffers()
-    mapped = pa.py_buffer((data.to_pybytes() if data is not None else b"").translate(table))
-    return pa.Array.from_buffers(texts.type, len(texts), [None, offsets, mapped], offset=texts.offset)
+    ends, data = raw_bytes(texts)
+    return pa.Array.from_buffers(texts.type, len(texts), [None, pa.py_buffer(ends), pa.py_buffer(bytes(data).translate(table))])
 
 
 def split_words(texts: pa.Array, table: bytes = LOWER) -> tuple[np.ndarray, pa.Array]:

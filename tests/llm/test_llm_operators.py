@@ -304,20 +304,20 @@ def brute_ppm(texts, train, order):
     words = collections.Counter()
     for t, learn in zip(raw, train, strict=True):
         if learn:
-            x = bytes(order) + t + b"\0"
+            x = [*bytes(order), *t, 256]
             for i in range(order, len(x)):
                 for k in range(order + 1):
-                    counts[k][x[i - k : i]][x[i]] += 1
+                    counts[k][tuple(x[i - k : i])][x[i]] += 1
             words.update(re.findall(rb"[^\x20\x09-\x0D]+", t))
             words[None] += 1
     total = sum(words.values())
     out = []
     for t in raw:
-        x, score = bytes(order) + t + b"\0", 0.0
+        x, score = [*bytes(order), *t, 256], 0.0
         for i in range(order, len(x)):
             seen = set()
             for k in range(order, -1, -1):
-                c = {a: b for a, b in counts[k].get(x[i - k : i], {}).items() if a not in seen}
+                c = {a: b for a, b in counts[k].get(tuple(x[i - k : i]), {}).items() if a not in seen}
                 n, d = sum(c.values()), len(c)
                 if x[i] in c:
                     score += math.log10(c[x[i]] / (n + d))
@@ -325,7 +325,7 @@ def brute_ppm(texts, train, order):
                 score += math.log10(d / (n + d)) if d else 0.0
                 seen |= set(c)
             else:
-                score -= math.log10(256 - len(seen))
+                score -= math.log10(257 - len(seen))
         w = [*re.findall(rb"[^\x20\x09-\x0D]+", t), None]
         out.append((len(w), sum(words[a] > 0 for a in w), total, sum(math.log10((words[a] + 0.5) / (total + 0.5 * (len(words) + 1))) for a in w), score))
     return out
@@ -335,24 +335,27 @@ def brute_ppm(texts, train, order):
 def test_language_model_against_brute_force(spark, monkeypatch, frequent, block):
     monkeypatch.setattr(ppm, "FREQUENT", frequent)
     monkeypatch.setattr(ppm, "BLOCK", block)
+    monkeypatch.setattr(ppm, "PIECE", 1_000_000 if block > 100 else 10)  # texts of several pieces
+    monkeypatch.setattr(ppm, "HELD", 500_000 if block > 100 else 20)
     texts = ["The cat sat on the mat", "the dog sat", None, "", "ünïcode cat", "zzz the cat qq", "the cat sat on the mat", "cat\x00dog"]
     train = [i % 5 != 1 for i in range(len(texts))]
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "x")], "doc_id long, text string, score string")
+    docs = spark.createDataFrame([(i, t, "x", "k", "r", "m") for i, t in enumerate(texts)] + [(0, texts[0], "x", "k", "r", "m")], "doc_id long, text string, score string, known string, row string, more string")
     want = brute_ppm([*texts, texts[0]], [*train, True], ppm.ORDER)
     got = sorted(ppm.score_texts(docs, F.col("doc_id") % 5 != 1).collect())
     assert len(got) == len(want)
     by_id = {i: w for i, w in enumerate(want[:-1])}
     for r in got:
+        assert (r.known, r.row, r.more) == ("k", "r", "m")
         assert [r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score] == pytest.approx(list(by_id[r.doc_id]), abs=1e-9), r.doc_id
     assert ppm.score_texts(docs.limit(0), F.lit(True)).count() == 0
     alone = ppm.score_texts(docs.where("doc_id = 1"), F.lit(False)).first()
-    assert alone.score == pytest.approx(-12 * math.log10(256)) and alone.n_known == 0
+    assert alone.score == pytest.approx(-12 * math.log10(257)) and alone.n_known == 0
 
 
 def test_probabilities_sum_to_one(spark):
-    known = [(int.from_bytes(b"aaaaa" + bytes([c]), "big"), n) for c, n in ((97, 3), (98, 1))] + [(int.from_bytes(b"bbaaa" + bytes([c]), "big"), 2) for c in (99, 100)]
-    seen = dict(known)
-    keys = [(int.from_bytes(b"aaaaa" + bytes([c]), "big"), seen.get(int.from_bytes(b"aaaaa" + bytes([c]), "big"), 0)) for c in range(256)]
+    key = lambda ctx, sym: (int.from_bytes(ctx, "big") << ppm.SYMBOL) + sym
+    known = [(key(b"aaaaa", c), n) for c, n in ((97, 3), (98, 1))] + [(key(b"bbaaa", c), 2) for c in (99, 256)]
+    keys = [(key(b"aaaaa", c), dict(known).get(key(b"aaaaa", c), 0)) for c in range(257)]
     strings = spark.createDataFrame(sorted(set(keys) | set(known)), "key long, n_train long")
     table = {r.key: r.logp for r in ppm.probabilities(strings).collect()}
     assert sum(10 ** table[k] for k, _ in keys) == pytest.approx(1.0)
