@@ -11,21 +11,28 @@ documents share (a common passage) are hardly ever posted. Skip merging: the rem
 their lists; a candidate pair's signatures are compared directly and pairs below MATCHES go. What stays is confirmed on
 the full shingle sets, with the length bound first.
 
-Only components are asked for, so a list of L near copies need not become L * L / 2 pairs. First every list's members
-are checked against HUBS members drawn by a hash; confirmed links join components, and a list within one component is
-done. What is left is every member outside of a list's largest component against the whole list. Lists in which these
-are few pairs give them as pairs. The others (groups of near copies in which many are not similar enough to join) are
-checked by counting: blocks of at most GROUP_BLOCK sets from either side meet in a task, an index from shingle to set
-gives all intersection sizes of a set at once, and one link for each component that it touches comes out. So no
-link between different components is left out, and no list's pairs are written down.
+Only components are asked for, so a list of L near copies need not become L * L / 2 pairs. In each of ROUNDS rounds
+HUBS members of every list are checked against the whole list: those whose tokens most classes share (the text that
+near copies were made from shares more with each of them than they do with each other), from the second round on
+members outside of the list's largest component. Confirmed links join components; a list whose members that were no
+hubs are one component is done. What is left is every such member outside of the largest component against the others.
+These are checked by counting: blocks of at most GROUP_BLOCK sets from either side meet in a task, an index from
+shingle to set gives all intersection sizes of a set at once, and one link for each component that it touches comes
+out. Before a group that does not fit into one block is dealt, the sets go that have too many shingles of their own:
+what no other set of the group holds is in no intersection. So no link between different components is left out, no
+list's pairs are written down, and rows grow with the lists' lengths.
 
 Components grow by star contraction with aggregations and joins only. Tables between steps go to the shared folder.
 
 Defined results
 * A-Z are lower-cased; [\\x20\\x09-\\x0D]+ parts words; fewer words than a shingle make one shingle;
 * null, empty and blank texts have 0 shingles and are linked with nothing, each is its own component;
-* rows that repeat a doc_id are one document with several texts: they share a component;
-* a row of null doc_id is counted but not linked: component_id null, kept true;
+* rows that repeat a doc_id are one document with several texts: they share a component, and remove_near_duplicates
+  keeps one of the rows;
+* a row of null doc_id is counted but not linked: component_id null, kept true; remove_near_duplicates keeps one of
+  those of equal text;
+* texts may be of any length that one task can hold (about 20 times a text's bytes are used for it); ties go to the
+  smallest id;
 * an empty table gives no rows; extra columns pass through remove_near_duplicates.
 """
 
@@ -44,8 +51,8 @@ from quillstone.session import shared_dir, written
 COORDINATES = 32
 MATCHES = 11
 HUBS = 4
-#: A list with more pairs to check than this is checked by counting, in blocks of so many sets.
-HEAVY = 20_000
+ROUNDS = 3
+#: What a round has left is checked by counting, in blocks of so many sets.
 GROUP_BLOCK = 4_096
 MIX = 0x9E3779B97F4A7C15
 
@@ -125,14 +132,17 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """token, id: the prefix of each class's tokens in order of rarity, without tokens that no other class has."""
+    """token, id, central: the prefix of each class's tokens in order of rarity, without tokens that no other class has.
+
+    central: with how many classes the class shares its tokens.
+    """
     k = classes.select("id", F.posexplode("signature").alias("at", "value"))
     tokens = k.select("id", F.xxhash64("at", "value").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # a class's shared tokens by rarity; tokens of one class only come before them
-    ranked = tokens.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("all"))
+    ranked = tokens.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("all"), F.sum("n").alias("central"))
     room = F.greatest(F.lit(0), F.size("all") - (MATCHES - 1))
-    return ranked.select("id", F.explode(F.slice("all", F.lit(1), room)).alias("t")).select("t.token", "id")
+    return ranked.select("id", "central", F.explode(F.slice("all", F.lit(1), room)).alias("t")).select("t.token", "id", "central")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -178,8 +188,36 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def counted(outside: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links a, b of group's outside ids (group, id, comp) with its members, one for each component that an id touches."""
+def without_lone(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The members (group, id, ...) that share enough shingles with the rest of their group to be linked with one."""
+
+    def apart(batches):
+        for batch in batches:
+            for rows in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                raw = [np.frombuffer(v.as_buffer(), np.int64) for v in rows.column("shingles")]
+                where = pa.array(np.repeat(np.arange(len(raw)), [len(r) for r in raw]))
+                cells = [rows.column("group").take(where), rows.column("id").take(where), pa.array(np.concatenate(raw))]
+                yield pa.RecordBatch.from_arrays(cells, names=["group", "id", "shingle"])
+
+    key = members.schema["id"].dataType.simpleString()
+    held = members.select("group", "id").join(sets, "id").select("group", "id", "shingles").mapInArrow(apart, f"group {key}, id {key}, shingle long")
+    alone = held.groupBy("group", "shingle").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    alone = alone.groupBy("group", "id").agg(F.count(F.lit(1)).alias("n_alone"))
+    sized = sets.select("id", (F.octet_length("shingles") / 8).alias("n"))
+    rated = members.join(alone, ["group", "id"], "left").join(sized, "id")
+    return rated.where(f"100 * (n - coalesce(n_alone, 0)) >= {percent} * n").select(*members.columns)
+
+
+def counted(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links a, b of each group's outside ids with its members, one for each component that an id touches.
+
+    members: group, id, comp; outside are those whose component is not called like the group.
+    """
+    count = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    large = members.join(count.where(F.col("n") > GROUP_BLOCK).select("group"), "group", "left_semi")
+    small = members.join(count.where(F.col("n") <= GROUP_BLOCK).select("group"), "group", "left_semi")
+    members = written(small.unionByName(without_lone(large, sets, percent)), "members")
+    outside = members.where("comp <> group")
     sized = lambda d, n: d.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).cast("int").alias(n))
     blocks = sized(outside, "n_x").join(sized(members, "n_y"), "group")
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
@@ -187,7 +225,7 @@ def counted(outside: DataFrame, members: DataFrame, sets: DataFrame, percent: in
     with_sets = lambda d: d.join(blocks, "group").join(sets, "id")
     x = with_sets(outside).select("group", "id", "comp", "shingles", F.lit(True).alias("is_x"), deal("n_x").alias("bx"), every("n_y").alias("by"))
     y = with_sets(members).select("group", "id", "comp", "shingles", F.lit(False).alias("is_x"), every("n_x").alias("bx"), deal("n_y").alias("by"))
-    key = outside.schema["id"].dataType.simpleString()
+    key = members.schema["id"].dataType.simpleString()
 
     def check(table: pa.Table) -> pa.Table:
         is_x = table.column("is_x").to_numpy().astype(bool)
@@ -220,23 +258,25 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int, percent: int)
     found = full_sets(docs, wanted, words).join(classes.select("id", "digest"), ["id", "digest"], "left_semi")
     sets = written(found.select("id", "shingles").dropDuplicates(["id"]), "shingles")
 
-    draw = Window.partitionBy("token").orderBy(F.xxhash64(F.lit(1), "id"), "id")
-    hubs = posted.withColumn("_n", F.row_number().over(draw)).where(F.col("_n") <= HUBS).select("token", F.col("id").alias("x"))
-    pairs = hubs.join(posted, "token").where("x <> id").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    labels = components(confirmed(pairs, classes, sets, percent))
-    labelled = written(posted.join(labels, "id", "left").select("token", "id", F.coalesce("label", "id").alias("comp")), "labelled")
-
-    by_comp = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
-    lists = by_comp.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main"))
-    # up to HUBS + 1 members all pairs have been checked
-    lists = written(lists.where(f"n > n_main AND n > {HUBS + 1}").withColumn("heavy", F.expr(f"(n - n_main) * n > {HEAVY}")), "lists")
-    open_ = labelled.join(lists.select("token", "main", "heavy"), "token")
-    light = open_.where("NOT heavy").where("comp <> main").select("token", F.col("id").alias("x"), F.col("comp").alias("x_comp"))
-    pairs = light.join(labelled, "token").where("x_comp <> comp").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    links = confirmed(pairs, classes, sets, percent)
-    heavy = open_.where("heavy").select(F.col("main").alias("group"), "id", "comp").distinct()
-    links = links.unionByName(counted(heavy.where("comp <> group"), heavy, sets, percent))
-    return components(links.unionByName(labels.select(F.col("id").alias("a"), F.col("label").alias("b"))))
+    # members that were hubs have been checked against their whole list
+    open_, labels = posted.select("token", "id", "central", F.lit(False).alias("used"), F.col("id").alias("comp"), F.lit(None).cast(posted.schema["id"].dataType).alias("main")), None
+    star = lambda: labels.select(F.col("id").alias("a"), F.col("label").alias("b"))
+    for turn in range(ROUNDS):
+        draw = Window.partitionBy("token").orderBy(F.col("central").desc(), F.xxhash64(F.lit(1), "id"), "id")
+        best = open_.where("NOT used" if turn == 0 else "NOT used AND comp <> main")
+        hubs = written(best.withColumn("_n", F.row_number().over(draw)).where(F.col("_n") <= HUBS).select("token", F.col("id").alias("x")), "hubs")
+        pairs = hubs.join(open_.select("token", "id"), "token").where("x <> id").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+        links = confirmed(pairs, classes, sets, percent)
+        labels = components(links if labels is None else links.unionByName(star()))
+        now = open_.select("token", "id", "central", "used").join(labels, "id", "left").select("token", "id", "central", "used", F.coalesce("label", "id").alias("comp"))
+        now = written(now.join(hubs.select("token", F.col("x").alias("id"), F.lit(True).alias("hub")), ["token", "id"], "left").withColumn("used", F.expr("used OR coalesce(hub, false)")).drop("hub"), "labelled")
+        by_comp = now.where("NOT used").groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
+        lists = by_comp.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        open_ = written(now.join(lists.select("token", "main"), "token"), "open")
+        if open_.isEmpty():
+            return labels
+    members = open_.where("NOT used").select(F.col("main").alias("group"), "id", "comp").distinct()
+    return components(counted(members, sets, percent).unionByName(star()))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -258,9 +298,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def remove_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component of near duplicates."""
+    """One document of each component of near duplicates, and one row of each document."""
     gone = near_duplicates(docs, words, percent).where("NOT kept").select("doc_id")
-    return without_ids(docs, gone.distinct())
+    names = docs.columns
+    left = without_ids(docs, gone.distinct())
+    # rows that share an id or, without one, a text: narrow to find, and only they are sorted
+    name = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.concat(F.lit("t"), F.md5(F.coalesce("text", F.lit("")))))
+    keyed = left.select(F.struct(*names).alias("row"), name.alias("name"))
+    again = written(keyed.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"), "repeated")
+    if again.isEmpty():
+        return left
+    order = Window.partitionBy("name").orderBy(F.xxhash64("row"))
+    one = keyed.join(again, "name", "left_semi").withColumn("n", F.row_number().over(order)).where("n = 1")
+    return keyed.join(again, "name", "left_anti").select("row.*").unionByName(one.select("row.*"))
 
 
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:

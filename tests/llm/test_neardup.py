@@ -51,17 +51,38 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("heavy", [0, 20_000])
+@pytest.mark.parametrize("rounds,block", [(1, 16), (3, 4_096)])
 @pytest.mark.parametrize("words", [4, 5])
-def test_components_match_brute_force(spark, monkeypatch, heavy, words):
-    monkeypatch.setattr(neardup, "HEAVY", heavy)
-    monkeypatch.setattr(neardup, "GROUP_BLOCK", 16)
+def test_components_match_brute_force(spark, monkeypatch, rounds, block, words):
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    monkeypatch.setattr(neardup, "GROUP_BLOCK", block)
     rows = corpus(words)
     found = neardup.near_duplicates(spark.createDataFrame(rows, TEXTS), words=words)
     assert sorted(map(tuple, found.collect())) == brute(rows, words, 80)
 
 
+def test_a_large_group_of_half_similar_copies_makes_few_pairs(spark, monkeypatch):
+    """Copies of one text with an edit each: each is near the text, hardly any two are near one another."""
+    r = random.Random(3)
+    base = [f"w{r.randrange(10_000)}" for _ in range(60)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 500):
+        text, at = list(base), r.sample(range(4, 56), 1 + i % 3)
+        for j in at:
+            text[j] = f"n{i}x{j}"
+        rows.append((i, " ".join(text)))
+    seen = []
+    plain = neardup.confirmed
+    monkeypatch.setattr(neardup, "confirmed", lambda pairs, *rest: (seen.append(pairs.count()), plain(pairs, *rest))[1])
+    found = neardup.near_duplicates(spark.createDataFrame(rows, TEXTS), words=5)
+    assert sorted(map(tuple, found.collect())) == brute(rows, 5, 80)
+    assert sum(seen) < 40 * len(rows)  # all pairs would be 250 a row
+
+
 def test_edges(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], TEXTS)).collect() == []
+    same = [(7, "p q r", "u"), (7, "p q r", "u"), (7, "s t u", "v"), (None, "n n", "w"), (None, "n n", "w")]
+    kept = neardup.remove_near_duplicates(spark.createDataFrame(same, TEXTS + ", name string")).collect()
+    assert sorted((r.doc_id or 0) for r in kept) == [0, 7]
     docs = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "A b c d e f", "y"), (None, "a b c d e f", "z"), (3, None, "w")], TEXTS + ", digest string")
     assert sorted((r.doc_id or 0, r.digest) for r in neardup.remove_near_duplicates(docs).collect()) == [(0, "z"), (1, "x"), (3, "w")]
