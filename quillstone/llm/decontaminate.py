@@ -8,14 +8,16 @@ would begin (positional bound) and that it must end inside the document (length
 one by one.
 
 Two narrow passes over the documents: one counts the benchmark's shingles over the corpus, one finds and verifies.
-Neither shuffles texts. The benchmark reaches the tasks in blocks of at most BLOCK_WORDS words, one pass a block, so
-what is broadcast is bounded whatever the benchmark's size; within a pass a document's words are mapped to the ids of
+Neither shuffles texts. The benchmark reaches the tasks in blocks of at most BLOCK_WORDS words, one pass a block that is
+written before the next one begins, so what a task holds is bounded whatever the benchmark's size; within a pass a document's words are mapped to the ids of
 the block's words, which turns shingles into vectorised rolling hashes.
 
 Defined results
 * null or empty texts and items have no words and link with nothing; a null item_id sorts as empty text;
 * equal items and equal windows each count; repeated documents each get their row;
 * an empty benchmark leaves all documents clean; an empty documents table gives no rows;
+* a text may be of any length that one task can hold (about 20 times a text's bytes are used for it); items that tie
+  are listed in the order of their ids;
 * extra columns pass through; those called like an output column are replaced.
 """
 
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.text import LOWER, split_words, text_slices
+from quillstone.session import forget, written
 
 WINDOW = 10
 SHINGLE = 5
@@ -170,8 +173,13 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     out = ["n_words", "hits", "leaked_items"]
     docs = docs.drop(*out)
     found = docs.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<array<int>>"), "leaked_items": F.array().cast("array<string>")})
-    blocks = item_blocks(items)
+    blocks, before = item_blocks(items), None
     for held in chain([next(blocks, [])], blocks):  # one block of items at a time is on the driver
+        if before is not None:
+            found = written(found, "hits")
+            if hasattr(before, "shared_path"):
+                forget(before)
+        before = found
         own = Block([i for i, _ in held], [t for _, t in held])
         plain = spark.sparkContext.broadcast(dict(vars(own)))
         own.choose(shingle_frequencies(docs, plain, len(own.shingles)) if own.shingles else np.zeros(0, np.int64))
