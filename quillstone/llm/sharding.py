@@ -5,7 +5,7 @@ exactly: the matrix of counts with these row sums and column sums is multivariat
 halving the blocks again and again, each half getting a hypergeometric share of every cell. Then each block permutes
 its rows, sends the first ones to cell 0, the next ones to cell 1 and so on (the exchange), and each cell permutes
 what it got. Cell sizes are known beforehand, so slots need no second count, and a shard is permuted by as many
-tasks as it has lanes. The result is a uniform permutation cut at exact shard sizes: counts are at most one apart.
+tasks as it has lanes. Blocks and lanes follow the number of rows, up to MAX_BLOCKS and MAX_CELLS. The result is a uniform permutation cut at exact shard sizes: counts are at most one apart.
 
 Only DataFrame functions are used. Two exchanges of the rows; the matrix has blocks x shards x lanes numbers, a size
 that the parameters bound and that does not follow the input.
@@ -14,7 +14,8 @@ Defined results
 * the random keys hash all columns of a row, so nulls and empty texts in any column need no case of their own;
 * rows that are equal in all columns are interchangeable: which of them takes which of their slots is not fixed;
 * an empty table: no rows; fewer rows than shards: the first shards get one row each;
-* extra columns pass through; one called shard or slot is replaced.
+* a row may be of any size that a shuffle can carry; texts are not looked at, only hashed;
+* extra columns of any name pass through; one called shard or slot is replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +27,12 @@ from quillstone.llm.mixing import hashed_uniform
 from quillstone.session import shared_dir, shared_path
 
 
+#: Rows that a block or a lane is meant to hold, and the most blocks and cells: the matrix has 2**20 numbers at most.
+ROWS = 2_000_000
+MAX_BLOCKS = 1_024
+MAX_CELLS = 1_024
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -140,37 +147,42 @@ def communication_matrix(counts: DataFrame, blocks: int, shards: int, lanes: int
     return nodes.select(F.col("node").alias("block"), "total", upto.alias("upto"))
 
 
-def shard_uniform(docs: DataFrame, shards: int = 8, blocks: int = 64, lanes: int = 8, seed: int = 23) -> DataFrame:
+def shard_uniform(docs: DataFrame, shards: int = 8, blocks: int | None = None, lanes: int | None = None, seed: int = 23) -> DataFrame:
     """docs with shard (0 to shards - 1) and slot (gapless from 0 in each shard), a uniform random order.
 
-    blocks: source blocks, a power of two, each sorted by one task. lanes: tasks that permute one shard. Choose both so
-    that a block and a lane hold some millions of rows.
+    blocks: source blocks, a power of two, each sorted by one task. lanes: tasks that permute one shard. By default
+    both are chosen so that a block and a lane hold about ROWS rows, but for the bounds.
     """
     shared_dir(docs.sparkSession)
     docs = docs.drop("shard", "slot")
-    names = docs.columns
+    if blocks is None or lanes is None:
+        parts = -(-docs.count() // ROWS)
+        blocks = blocks or min(MAX_BLOCKS, max(64, 1 << max(0, parts - 1).bit_length()))
+        lanes = lanes or max(1, min(MAX_CELLS // shards, max(8, -(-parts // shards))))
     cells = shards * lanes
-    keyed = docs.withColumn("_key", F.xxhash64(F.lit(seed), *names)).withColumn("_block", F.pmod(F.col("_key"), F.lit(blocks)).cast("int"))
+    # the caller's columns stay in one struct, so no name of theirs can meet one of ours
+    keyed = docs.select(F.struct(*docs.columns).alias("row")).withColumn("key", F.xxhash64(F.lit(seed), "row.*"))
+    keyed = keyed.withColumn("block", F.pmod(F.col("key"), F.lit(blocks)).cast("int"))
     sizes = (
-        keyed.groupBy("_block")
+        keyed.groupBy("block")
         .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("_block", "n"))).alias("m"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("block", "n"))).alias("m"))
         .select(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0))).cast("array<bigint>").alias("sizes"))
     )
     # at most blocks x cells numbers, whatever the input's size
     matrix = F.broadcast(communication_matrix(sizes, blocks, shards, lanes, seed).checkpoint())
-    placed = keyed.selectExpr("*", f"row_number() OVER (PARTITION BY _block ORDER BY xxhash64({seed + 1}, _key), _key) AS _at")
+    placed = keyed.selectExpr("*", f"row_number() OVER (PARTITION BY block ORDER BY xxhash64({seed + 1}, key), key) AS at")
     steps = [1 << i for i in range((cells - 1).bit_length() - 1, -1, -1)]
-    search = F.aggregate(  # the first cell with upto >= _at, by bisection
-        F.array(*[F.lit(s) for s in steps]),
+    search = F.aggregate(  # the first cell with upto >= at, by bisection
+        F.array(*[F.lit(s) for s in steps]).cast("array<int>"),
         F.lit(0),
-        lambda i, s: F.when((i + s <= cells - 1) & (F.try_element_at("upto", i + s) < F.col("_at")), i + s).otherwise(i),
+        lambda i, s: F.when((i + s <= cells - 1) & (F.try_element_at("upto", i + s) < F.col("at")), i + s).otherwise(i),
     )
-    sent = placed.join(matrix, F.col("_block") == F.col("block")).select(*names, "_key", "total", search.alias("_cell"))
-    local = sent.selectExpr("*", f"row_number() OVER (PARTITION BY _cell ORDER BY xxhash64({seed + 2}, _key), _key) - 1 AS _in_cell")
-    shard = F.floor(F.col("_cell") / lanes)
-    lane_start = let(even_size(F.col("total"), shards, shard), lambda n: even_start(n, lanes, F.col("_cell") % lanes))
-    return local.select(*names, shard.cast("int").alias("shard"), (lane_start + F.col("_in_cell")).cast("long").alias("slot"))
+    sent = placed.join(matrix, "block").select("row", "key", "total", search.alias("cell"))
+    local = sent.selectExpr("*", f"row_number() OVER (PARTITION BY cell ORDER BY xxhash64({seed + 2}, key), key) - 1 AS in_cell")
+    shard = F.floor(F.col("cell") / lanes)
+    lane_start = let(even_size(F.col("total"), shards, shard), lambda n: even_start(n, lanes, F.col("cell") % lanes))
+    return local.select("row.*", shard.cast("int").alias("shard"), (lane_start + F.col("in_cell")).cast("long").alias("slot"))
 
 
 def op2_shard_documents(spark, sf_dir: str) -> DataFrame:
