@@ -12,7 +12,8 @@ Defined results
 * null doc_id: the seed is the text's MD5 instead; null text counts as empty;
 * repeated rows: each is drawn with the same seed, so all get the same count;
 * a source of weight 0, or an empty table: no rows;
-* extra columns pass through; a column called like an output column is replaced by it.
+* a text may be of any length that a row can hold; ties of the shuffle key leave equal rows in any order;
+* extra columns of any name pass through; a column called like an output column is replaced by it.
 """
 
 from __future__ import annotations
@@ -88,26 +89,24 @@ def mix_sources(
     docs = docs.drop(*out)
     rates = source_rates(docs, weights, default_weight, by, total)
     chunks = F.greatest(F.lit(1), F.ceil(F.col("rate") / CHUNK)).cast("int")
-    rates = rates.select(
-        F.col("source").alias("_source"),
-        "rate",
-        chunks.alias("_chunks"),
-        poisson_table(F.col("rate") / chunks).alias("_cdf"),
-    )
+    rates = rates.select(F.col("source").alias("of"), "rate", chunks.alias("chunks"), poisson_table(F.col("rate") / chunks).alias("cdf"))
     if rates.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    joined = docs.join(rates, F.col("source").eqNullSafe(F.col("_source")))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    # the caller's columns stay in one struct, so no name of theirs can meet one of ours
+    rows = docs.select(
+        F.struct(*docs.columns).alias("doc"), F.col("source").alias("source"), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))).alias("key")
+    )
+    joined = rows.join(rates, F.col("source").eqNullSafe(F.col("of")))
     uniforms = F.transform(
-        F.sequence(F.lit(0), F.col("_chunks") - 1), lambda chunk: hashed_uniform(F.lit(seed), chunk, key)
+        F.sequence(F.lit(0), F.col("chunks") - 1), lambda chunk: hashed_uniform(F.lit(seed), chunk, F.col("key"))
     )
-    count = F.aggregate(uniforms, F.lit(0), lambda n, u: n + F.size(F.filter("_cdf", lambda c: c <= u)))
+    count = F.aggregate(uniforms, F.lit(0), lambda n, u: n + F.size(F.filter("cdf", lambda c: c <= u)))
     exploded = (
         joined.withColumn("n_copies", count)
         .where("n_copies > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-        .withColumn("shuffle_key", F.xxhash64(F.lit(seed), key, F.col("copy")))
-        .select(*docs.columns, *out)
+        .withColumn("shuffle_key", F.xxhash64(F.lit(seed), "key", F.col("copy")))
+        .select("doc.*", *out)
     )
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     return exploded.repartition(n, "shuffle_key").sortWithinPartitions(F.xxhash64("shuffle_key"), "shuffle_key")
@@ -134,14 +133,14 @@ cdf AS (
   FROM (SELECT source, k, exp(k * ln(mean) - mean - lgamma(k + 1)) AS p
         FROM parts, range(0, {TERMS} + 1) t(k) WHERE mean > 0)),
 draws AS (
-  SELECT d.doc_id, d.source, d.lang, d.n_chars, d.text, chunk,
+  SELECT d.row, d.doc_id, d.source, d.lang, d.n_chars, d.text, chunk,
          ('0x' || substr(md5(concat_ws('|', '17', chunk::VARCHAR, coalesce(d.doc_id::VARCHAR, md5(coalesce(d.text, ''))))), 1, 13))::BIGINT
            / 4503599627370496.0::DOUBLE AS u
-  FROM documents d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source, range(0, p.chunks) t(chunk)),
+  FROM (SELECT *, row_number() OVER () AS row FROM documents) d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source, range(0, p.chunks) t(chunk)),
 counts AS (
-  SELECT doc_id, any_value(d.source) AS source, any_value(lang) AS lang, any_value(n_chars) AS n_chars, any_value(text) AS text,
+  SELECT first(doc_id) AS doc_id, first(d.source) AS source, first(lang) AS lang, first(n_chars) AS n_chars, first(text) AS text,
          sum((SELECT count(*) FROM cdf c WHERE c.source IS NOT DISTINCT FROM d.source AND c.c <= d.u))::INT AS n_copies
-  FROM draws d GROUP BY doc_id)
+  FROM draws d GROUP BY row)
 SELECT doc_id, source, copy::INT AS copy, n_copies, text, lang, n_chars
 FROM counts, range(0, n_copies) t(copy)
 """
