@@ -10,7 +10,9 @@ before they are shuffled, so that a third of all conversations sharing turns or
 A rendered conversation is one value, so its own turns meet in one task; Spark's 2 GiB a value bounds them.
 
 Defined results
-* turns are ordered by turn (null first), then role, then the hash of role and text;
+* turns are ordered by turn (null first); those that tie by role, then by the MD5 of the text, so that texts need not
+  be sorted;
+* a text may be of any length, a conversation of any that one value can hold;
 * rows equal in conv_id, turn, role and text count once;
 * null role and null text count as empty; rows of null conv_id form one conversation;
 * an empty table: no rows; extra columns are left out of the rendering.
@@ -27,22 +29,22 @@ TEMPLATE = ("<|", "|>\n", "\n<|end|>\n")
 def _content(turns: DataFrame) -> DataFrame:
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     return turns.select(
-        "conv_id", "turn", role.alias("role"), text.alias("text"), F.xxhash64(F.lit(1), role, text).alias("_a"), F.xxhash64(F.lit(2), text, role).alias("_b")
+        "conv_id", "turn", role.alias("role"), text.alias("text"), F.unhex(F.md5(text)).alias("_m")
     )
 
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """conv_id, at (1 for the first turn), n_turns, hash_a, hash_b: one row for every prefix of every conversation."""
-    rows = _content(turns).select("conv_id", "turn", "role", "_a", "_b").distinct()
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "_a", "_b")
+    rows = _content(turns).select("conv_id", "turn", "role", "_m").distinct()
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "_m")
     rows = rows.withColumn("at", F.row_number().over(order))
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     return rows.select(
         "conv_id",
         "at",
         F.count(F.lit(1)).over(Window.partitionBy("conv_id")).alias("n_turns"),
-        F.bit_xor(F.xxhash64("at", "_a", "_b")).over(upto).alias("hash_a"),
-        F.bit_xor(F.xxhash64("_b", "at", "_a")).over(upto).alias("hash_b"),
+        F.bit_xor(F.xxhash64("at", "role", "_m")).over(upto).alias("hash_a"),
+        F.bit_xor(F.xxhash64("_m", "at", "role")).over(upto).alias("hash_b"),
     )
 
 
@@ -61,7 +63,7 @@ def render_conversations(turns: DataFrame, template: tuple[str, str, str] = TEMP
     Marks of the template inside a text are broken up by a space, so that a text cannot forge a turn.
     """
     keep = maximal_conversations(turns).withColumnRenamed("conv_id", "_conv")
-    said = _content(turns).select("conv_id", F.struct("turn", "role", "_a", "_b", "text").alias("said"))
+    said = _content(turns).select("conv_id", F.struct("turn", "role", "_m", "text").alias("said"))
     kept = said.join(keep, F.col("conv_id").eqNullSafe(F.col("_conv")))
     opening, middle, end = template
     safe = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
@@ -78,7 +80,7 @@ def op7_format_chat(spark, sf_dir: str) -> DataFrame:
 SQL = """
 WITH turns AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
 convs AS (
-  SELECT conv_id, count(*) AS n_turns, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role, text) AS said
+  SELECT conv_id, count(*) AS n_turns, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role, md5(text)) AS said
   FROM turns GROUP BY conv_id),
 prefixes AS (SELECT DISTINCT said[1:k] AS said FROM convs, range(1, n_turns) t(k)),
 whole AS (SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_copies, said FROM convs GROUP BY n_turns, said)
