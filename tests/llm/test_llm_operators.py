@@ -184,6 +184,25 @@ def test_top_k_against_brute_force(spark, monkeypatch):
                 assert got[q] == [(i, -s) for s, i in want], q
 
 
+def test_top_k_reads_few_exact_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(3000, 16)).tolist())]
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    read, plain = [], topk.read_exact
+    monkeypatch.setattr(topk, "read_exact", lambda some, *rest: (read.append(some.count()), plain(some, *rest))[1])
+    found = topk.top_k(vectors, vectors.where("vec_id % 50 = 0")).collect()
+    assert len(found) == 60 * 5 and sum(read) <= 60 * topk.READ  # of 180,000 pairs
+
+
+def test_top_k_overflow_and_clashing_columns(spark):
+    rows = [(0, [1e308, 1.0], 1, 2), (1, [2.0, 1.0], 1, 2), (2, [1e17, 1e17], 1, 2), (50, [1e17, 1e17], 1, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, vector int, score int")
+    vectors = topk.integer_vectors(df)
+    found = {(r.query_id, r.vec_id): r.score for r in topk.top_k(vectors, vectors.where("vec_id % 50 = 0")).collect()}
+    assert found == {(50, 2): (1 << 63) - 1, (50, 1): (1 << 63) - 1}
+    assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("ids", [[], [7], [0] * 3000, list(range(2500)), [1 << 31, 0, 5] * 700, np.random.default_rng(1).integers(0, 49408, 5000).tolist()])
 def test_blocks_round_trip(ids):
     payload, starts = tokens.encode_blocks(np.array(ids, np.uint32))
