@@ -3,58 +3,65 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: What is kept between chunks: pending text, depth, inside a string, after a backslash, the last top-level string, the
-#: key whose value is being read, inside the array, where the open object starts.
-START = ("", 0, False, False, "", "", False, -1)
+#: What matters outside of a string, and inside of one: an escape with what it escapes, or the end.
+STRUCTURE, STRING = re.compile(r'["{}\[\]:,]'), re.compile(r'(?s)\\.|"')
+
+#: What is kept between chunks: an escape that waits for its second half, the open brackets, whether a string is open,
+#: the string and the key last read in the outermost object, and the text so far of an open object of the array.
+START = ("", "", False, "", "", "")
+STATE = "rest string, stack string, quoted boolean, word string, name string, item string"
+#: A stream's request is forgotten when nothing has come for so long.
+TIMEOUT_MS = 3_600_000
 
 
 def push(state: tuple, chunk: str, key: str = "items") -> tuple[tuple, list[str]]:
     """The new state, and the raw JSON of every object of the top-level array key that this chunk completes."""
-    text, depth, quoted, escaped, word, name, inside, start = state
-    begin, text = len(text), text + chunk
-    string_at, out = 0 if quoted else -1, []
-    for i in range(begin, len(text)):
-        c = text[i]
-        if quoted:
-            if escaped:
-                escaped = False
-            elif c == "\\":
-                escaped = True
-            elif c == '"':
-                quoted = False
-                if depth == 1:
-                    word = text[max(string_at, 0) : i + 1]
-        elif c == '"':
-            quoted, string_at = True, i
-        elif c == ":" and depth == 1:
-            try:
-                name = json.loads(word)
-            except ValueError:
-                name = ""
-        elif c == "," and depth == 1:
-            name = ""
-        elif c in "{[":
-            depth += 1
-            if c == "[" and depth == 2 and name == key:
-                inside = True
-            elif c == "{" and inside and depth == 3:
-                start = i
-        elif c in "}]":
-            if c == "}" and inside and depth == 3 and start >= 0:
-                out.append(text[start : i + 1])
-                start = -1
-            elif c == "]" and inside and depth == 2:
-                inside = False
-            depth -= 1
-    # only what an open object or string still needs is kept
-    cut = start if start >= 0 else string_at if quoted and depth == 1 else len(text)
-    return (text[cut:], depth, quoted, escaped, word, name, inside, 0 if start >= 0 else -1), out
+    rest, stack, quoted, word, name, item = state
+    text, at, out = rest + chunk, 0, []
+    opened = 0 if item else None  # where the open object's text goes on in this chunk
+    spelled = 0 if quoted and len(stack) == 1 else None  # the same for a string of the outermost object
+    while found := (STRING if quoted else STRUCTURE).search(text, at):
+        mark, at = found.group(), found.end()
+        if mark == '"':
+            quoted = not quoted
+            if len(stack) == 1 and quoted:
+                word, spelled = "", found.start()
+            elif spelled is not None:
+                word, spelled = word + text[spelled:at], None
+        elif quoted:
+            continue
+        elif mark in "[{":
+            if mark == "{" and stack == "{[" and name == key:
+                opened = found.start()
+            stack += mark
+        elif mark in "]}":
+            stack = stack[:-1]
+            if opened is not None and stack == "{[":
+                out.append(item + text[opened:at])
+                item, opened = "", None
+        elif len(stack) == 1:
+            name = plain(word) if mark == ":" else ""
+    rest = "\\" if quoted and text.endswith("\\") and at < len(text) else ""
+    body = text[: len(text) - len(rest)]
+    if opened is not None:
+        item += body[opened:]
+    if spelled is not None:
+        word += body[spelled:]
+    return (rest, stack, quoted, word, name, item), out
+
+
+def plain(word: str) -> str:
+    try:
+        return json.loads(word)
+    except ValueError:
+        return ""
 
 
 def scanned(chunks: DataFrame, request: str, order: str, key: str = "items") -> DataFrame:
@@ -76,19 +83,22 @@ def scanned(chunks: DataFrame, request: str, order: str, key: str = "items") ->
     return dealt.mapInPandas(fold, f"{request} {dict(chunks.dtypes)[request]}, pos int, item string")
 
 
-def scanned_stream(chunks: DataFrame, request: str, order: str, key: str = "items") -> DataFrame:
-    """The same over a stream: the state of each request is in the state store."""
+def scanned_stream(chunks: DataFrame, request: str, order: str, key: str = "items", timeout_ms: int = TIMEOUT_MS) -> DataFrame:
+    """The same over a stream: the state of each request is in the state store, until nothing comes for timeout_ms."""
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, n = (tuple(state.get[:8]), state.get[8]) if state.exists else (START, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held, n = (tuple(state.get[:-1]), state.get[-1]) if state.exists else (START, 0)
         rows = []
         for chunk in pd.concat(list(frames)).sort_values(order)["chunk"]:
             held, items = push(held, chunk or "", key)
             rows += [(k[0], n + i, item) for i, item in enumerate(items)]
             n += len(items)
         state.update((*held, n))
+        state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(rows, columns=[request, "pos", "item"])
 
-    kept = "text string, depth int, quoted boolean, escaped boolean, word string, name string, inside boolean, start int, n int"
     schema = f"{request} {dict(chunks.dtypes)[request]}, pos int, item string"
-    return chunks.groupBy(request).applyInPandasWithState(update, schema, kept, "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy(request).applyInPandasWithState(update, schema, f"{STATE}, n int", "append", GroupStateTimeout.ProcessingTimeTimeout)
