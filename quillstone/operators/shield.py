@@ -6,12 +6,14 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.functions import text as T
+
 #: Patterns by kind; the value is the last group. Labelled kinds need their label.
 PATTERNS = {
-    "EMAIL": r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})",
+    "EMAIL": f"({T.EMAIL})",
     "SSN": r"(?<![\d-])(\d{3}-\d{2}-\d{4})(?![\d-])",
     "PHONE": r"(?<![\d-])(\+?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4})(?![\d-])",
     "DOB": r"(?i:\b(?:dob|date of birth|born(?: on)?|fecha de nacimiento|date de naissance)[ :]+)(\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4})",
@@ -20,14 +22,10 @@ PATTERNS = {
 }
 
 
-def letters(n: int) -> str:
-    """0 to A, 25 to Z, 26 to AA: bijective base 26."""
-    out = ""
-    n += 1
-    while n:
-        n, r = divmod(n - 1, 26)
-        out = chr(65 + r) + out
-    return out
+def letters(n: Column) -> Column:
+    """0 to A, 25 to Z, 26 to AA: bijective base 26, up to seven letters."""
+    step = lambda s, _: F.when(s["n"] > 0, F.struct(F.floor((s["n"] - 1) / 26).alias("n"), F.concat(F.chr(65 + (s["n"] - 1) % 26), s["out"]).alias("out"))).otherwise(s)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(7)), F.struct((n + 1).cast("long").alias("n"), F.lit("").alias("out")), step, lambda s: s["out"])
 
 
 def learnt(turns: DataFrame, session: str, order: str) -> DataFrame:
@@ -47,9 +45,8 @@ def learnt(turns: DataFrame, session: str, order: str) -> DataFrame:
     kinds = dict(turns.dtypes)
     found = turns.select(session, order, "text").mapInPandas(find, f"{session} {kinds[session]}, kind string, value string, turn_at {kinds[order]}, place int")
     first = found.groupBy(session, "kind", "value").agg(F.min(F.struct("turn_at", "place")).alias("first"))
-    number = F.udf(letters, "string")  # one short string an identifier
     ranked = first.selectExpr("*", f"row_number() OVER (PARTITION BY {session}, kind ORDER BY first, value) - 1 AS n")
-    return ranked.select(session, "kind", "value", F.concat(F.lit("⟦"), "kind", F.lit("_"), number("n"), F.lit("⟧")).alias("token"))
+    return ranked.select(session, "kind", "value", F.concat(F.lit("⟦"), "kind", F.lit("_"), letters(F.col("n")), F.lit("⟧")).alias("token"))
 
 
 def shield(turns: DataFrame, session: str, order: str) -> DataFrame:

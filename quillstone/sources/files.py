@@ -73,7 +73,7 @@ def calendar_fold(line: str, most: int = 75) -> str:
 
 def calendar_events(df: DataFrame) -> DataFrame:
     """uid, start, summary to one VEVENT text each."""
-    fold = F.udf(lambda s: None if s is None else calendar_fold(s), "string")
+    fold = F.pandas_udf(lambda s: s.map(calendar_fold, na_action="ignore"), "string")
     stamp = F.date_format("start", "yyyyMMdd'T'HHmmss'Z'")
     lines = [F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), F.col("uid").cast("string")), F.concat(F.lit("DTSTART:"), stamp), fold(F.concat(F.lit("SUMMARY:"), calendar_escape(F.col("summary")))), F.lit("END:VEVENT")]
     return df.select("uid", F.concat_ws("\r\n", *lines).alias("event"))
