@@ -26,6 +26,13 @@ def merge_array(ranges: Column) -> Column:
     )
 
 
-def overlapping(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Pairs of a key whose half-open intervals overlap; left: start, end; right: r_start, r_end."""
-    return left.join(right, key).where("start < r_end AND end > r_start")
+def overlapping(left: DataFrame, right: DataFrame, key: str, bucket: int = 1_440) -> DataFrame:
+    """Pairs of a key whose half-open intervals overlap; left: start, end; right: r_start, r_end.
+
+    Intervals meet in every stretch of length bucket that they touch, so a key's pairs are split over its time; a pair
+    counts where its later start lies.
+    """
+    at = lambda x: F.floor(x / bucket)
+    touched = lambda a, b: F.explode(F.sequence(at(F.col(a)), at(F.greatest(F.col(a), F.col(b) - 1))))
+    pairs = left.withColumn("_at", touched("start", "end")).join(right.withColumn("_at", touched("r_start", "r_end")), [key, "_at"])
+    return pairs.where("start < r_end AND end > r_start").where(F.col("_at") == at(F.greatest("start", "r_start"))).drop("_at")

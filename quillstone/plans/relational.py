@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.geo import KM_SQL, km, metres
+from quillstone.functions.geo import KM_SQL, km
 from quillstone.operators import intervals, nearest
 from quillstone.plans.registry import query
 from quillstone.session import table
@@ -47,14 +47,10 @@ def sites_around(spark, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT c_custkey, arg_min(s_suppkey, {{'m': m, 's': s_suppkey}}) AS s_suppkey, min(m) AS metres FROM (
   SELECT c_custkey, s_suppkey, round(2 * 6371008.8 * asin(sqrt(pow(sin(radians(s.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lng - p.lng) / 2), 2)))) AS m
-  FROM {PEOPLE} p, {SITES} s WHERE abs(p.lat - s.lat) <= 1 AND abs(p.lng - s.lng) <= 1.5 AND {KM} <= 120) GROUP BY c_custkey""")
+  FROM {PEOPLE} p, {SITES} s) GROUP BY c_custkey""")
 def nearest_stop(spark, sf_dir: str) -> DataFrame:
-    """The nearest site in whole metres of those who have one within 120 km and inside the box, as the SQL asks.
-
-    nearest.nearest_place finds that of everybody; the query can take it once the SQL has no box and no radius.
-    """
-    near = nearest.nearby(people(spark, sf_dir), sites(spark, sf_dir), 120.0).withColumn("m", metres(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng")))
-    return near.groupBy("c_custkey").agg(F.min_by("s_suppkey", F.struct("m", "s_suppkey")).alias("s_suppkey"), F.min("m").alias("metres"))
+    """The nearest site of everybody in whole metres, at any distance."""
+    return nearest.nearest_place(people(spark, sf_dir), "c_custkey", sites(spark, sf_dir), "s_suppkey")
 
 
 @query(f"SELECT c_custkey, CASE WHEN lat BETWEEN 33 AND 34.5 AND lng BETWEEN -85 AND -83.5 THEN 'metro' WHEN lat < 35 AND lng > -85.6 THEN 'state' ELSE 'country' END AS region FROM {PEOPLE}")
@@ -155,11 +151,11 @@ def merged_intervals(spark, sf_dir: str) -> DataFrame:
     return intervals.merged(spans(spark, sf_dir).select("user_id", "start", "end"), "user_id")
 
 
-@query(f"""SELECT a.user_id, count(*) AS n FROM ({SPANS}) a JOIN ({SPANS} WHERE event_type = 'purchase') b ON a.user_id = b.user_id AND a.s < b.e AND a.e > b.s GROUP BY a.user_id""")
+@query(f"""SELECT a.user_id, count(*) AS n FROM ({SPANS}) a JOIN ({SPANS}) b ON a.user_id = b.user_id AND a.s < b.e AND a.e > b.s GROUP BY a.user_id""")
 def overlapping_intervals(spark, sf_dir: str) -> DataFrame:
     """Interval-overlap join inside a key."""
     left = spans(spark, sf_dir).drop("event_id", "event_type")
-    right = spans(spark, sf_dir).where("event_type = 'purchase'").select("user_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    right = spans(spark, sf_dir).select("user_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     return intervals.overlapping(left, right, "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
