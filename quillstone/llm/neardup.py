@@ -11,11 +11,11 @@ documents share (a common passage) are hardly ever posted. Skip merging: the rem
 their lists; a candidate pair's signatures are compared directly and pairs below MATCHES go. What stays is confirmed on
 the full shingle sets, with the length bound first.
 
-Only components are asked for, so a list of L near copies need not become L * L / 2 pairs. In each of ROUNDS rounds
-HUBS members of every list are checked against the whole list: those whose tokens most classes share (the text that
-near copies were made from shares more with each of them than they do with each other), from the second round on
-members outside of the list's largest component. Confirmed links join components; a list whose members that were no
-hubs are one component is done. What is left is every such member outside of the largest component against the others.
+Only components are asked for, so a list of L near copies need not become L * L / 2 pairs. HUBS members of every list
+are checked against the whole list: those whose tokens most classes share (the text that near copies were made from
+shares more with each of them than they do with each other). Confirmed links join components; a list whose members that
+were no hubs are one component is done. While more members than a block are left outside of one component, there is
+another round, up to ROUNDS, with hubs from among them. What is left is every such member outside of the largest component against the others.
 These are checked by counting: blocks of at most GROUP_BLOCK sets from either side meet in a task, an index from
 shingle to set gives all intersection sizes of a set at once, and one link for each component that it touches comes
 out. Before a group that does not fit into one block is dealt, the sets go that have too many shingles of their own:
@@ -273,8 +273,11 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int, percent: int)
         by_comp = now.where("NOT used").groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
         lists = by_comp.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1")
         open_ = written(now.join(lists.select("token", "main"), "token"), "open")
-        if open_.isEmpty():
+        outside = open_.where("NOT used AND comp <> main").groupBy("main").agg(F.count_distinct("id").alias("n")).agg(F.max("n")).first()[0]
+        if not outside:
             return labels
+        if outside <= GROUP_BLOCK:
+            break
     members = open_.where("NOT used").select(F.col("main").alias("group"), "id", "comp").distinct()
     return components(counted(members, sets, percent).unionByName(star()))
 
