@@ -2,16 +2,17 @@
 
 Terms are words and word beginnings of 4 to 7 characters, each also as "at least 2 times", "at least 3 times" in the
 text, since a beginning that chance gives once is telling when it returns. Which terms count is learnt from at most SAMPLE labelled
-rows (the bound on what is fitted): those that toxic examples hold significantly more often, by the log-likelihood
-ratio, the TERMS most significant ones. Document frequencies for the IDF cover all documents. Each document becomes a
-vector over these terms.
+rows (the bound on what is fitted): all that toxic examples hold significantly more often, by the log-likelihood
+ratio. Document frequencies for the IDF cover all documents. Each document becomes a vector over these terms. (Over
+the full vocabulary ordinary words decide which texts are near, and the neighbours tell little: see the README.)
 
 The different vectors of the labelled examples with a term (at most EXAMPLES) are cut into blocks of BLOCK, each with
 the greatest weight that a term has there. For a document the block maxima bound the cosine of every block; blocks
 whose bound is below the K-th cosine found are passed over. The others are multiplied in single precision, many
 documents at once, and what may be among the K nearest is computed again in double precision, so the neighbours are
-exact and the work for a document is at most TERMS x EXAMPLES products. Neighbours vote with the square of their cosine, and the vote is calibrated by isotonic
-regression on the examples, each left out of its own vote. Documents without a term get the smoothed share of toxic
+exact. Neighbours vote with the square of their cosine, ties going to the smaller id of those that share a strongest
+term, and the vote is calibrated by isotonic regression on the examples, each one and all copies of its text left out
+of its own vote. Documents without a term get the smoothed share of toxic
 ones among the labelled documents without a term. The neighbours are returned as evidence.
 
 Scores read the text only; labels are read from rows that ``learn`` accepts.
@@ -21,7 +22,8 @@ Defined results
 * several labels of a document: toxic if any is; null labels are not read;
 * without labels of both kinds all scores are the share of toxic labels (0.5 without any);
 * repeated documents each get a row; a null doc_id is scored and never learnt from; an empty table gives no rows;
-* extra columns pass through; those called like an output column are replaced.
+* a text may be of any length that one task can hold (about 20 times a text's bytes are used for it);
+* extra columns of any name pass through; those called like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -38,7 +40,6 @@ from quillstone.session import shared_dir, written
 
 SAMPLE = 50_000
 EXAMPLES = 20_000
-TERMS = 1_000
 PREFIXES = (4, 5, 7)
 TIMES = 3
 #: Least number of toxic examples of a term. Its log-likelihood ratio must reach 2 ln(tests), so that about one of all
@@ -92,7 +93,7 @@ def covers(beginning: str, term: str, least: int) -> bool:
 
 
 def choose_terms(docs: DataFrame, sample: DataFrame) -> list[tuple[str, int]]:
-    """(term, least times) that toxic examples hold significantly more often than others, at most TERMS."""
+    """(term, least times) that toxic examples hold significantly more often than others."""
 
     def count(batches):
         for batch in text_slices(batches):
@@ -124,7 +125,8 @@ def choose_terms(docs: DataFrame, sample: DataFrame) -> list[tuple[str, int]]:
         part(b, F.col("n") * share) + part(g, F.col("n") * (1 - share)) + part(n_bad - b, (n_all - F.col("n")) * share) + part(n_all - n_bad - g, (n_all - F.col("n")) * (1 - share))
     )
     best = counts.where((b >= LEAST_TOXIC) & (b > F.col("n") * share)).withColumn("ratio", ratio).where(F.col("ratio") >= least)
-    rows = best.orderBy(F.col("ratio").desc(), "term", "times").limit(TERMS).select("term", "times", "bad", "n", "digest").collect()
+    # no more than the sample's texts have significant terms, some thousands
+    rows = best.orderBy(F.col("ratio").desc(), "term", "times").select("term", "times", "bad", "n", "digest").collect()
     # a word and its beginnings often stand in the very same texts: a beginning is enough then
     same: dict[tuple, list[str]] = {}
     for r in rows:
@@ -171,12 +173,13 @@ def term_vectors(docs: DataFrame, terms: list[tuple[str, int]]) -> DataFrame:
 class BlockMaxIndex:
     """Unit vectors of the examples, equal ones once, with block maxima."""
 
-    def __init__(self, ids: list, toxic: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray):
+    def __init__(self, ids: list, toxic: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, marks: list | None = None):
+        """marks: what examples are hidden by, the same for copies; their ids if None."""
         order = sorted(range(len(ids)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1] * idf[vectors[i][0]])]), ids[i]))
         self.idf, self.ids, self.toxic = idf, [ids[i] for i in order], np.array([toxic[i] for i in order], np.float64)
         self.places: dict = {}
-        for i, name in enumerate(self.ids):
-            self.places.setdefault(name, []).append(i)
+        for i, o in enumerate(order):
+            self.places.setdefault((marks or ids)[o], []).append(i)
         #: The examples of each different vector, in order.
         self.members: list[list[int]] = []
         number: dict[tuple, int] = {}
@@ -226,7 +229,7 @@ class BlockMaxIndex:
         return row[some], vector[some]
 
     def nearest_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list | None = None, k: int = K) -> list[list[tuple[float, int]]]:
-        """For each vector (cosine, example) of the k nearest, ties to the earlier example; without: ids that are left out."""
+        """For each vector (cosine, example) of the k nearest, ties to the earlier example; without: marks whose examples are left out."""
         out: list[list[tuple[float, int]]] = []
         for at in range(0, len(vectors), TOGETHER):
             group = vectors[at : at + TOGETHER]
@@ -282,7 +285,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     """
     spark = docs.sparkSession
     shared_dir(spark)
-    docs = docs.drop("score", "predicted", "evidence", "terms", "counts", "toxic")
+    out = ("score", "predicted", "evidence", "text")
+    # the columns of the caller stay in one struct, so no name of theirs can meet one of ours
+    docs = docs.select(F.struct(*[c for c in docs.columns if c not in out]).alias("kept"), "doc_id", "text", F.xxhash64("text").alias("mark"))
     sample = written(labelled_sample(labels, F.lit(True) if learn is None else learn), "labels")
     terms = choose_terms(docs, sample)
     vectors = written(term_vectors(docs, terms), "vectors")
@@ -295,17 +300,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some].astype(np.int64))], names=["t", "n"])
 
-    for r in vectors.select("terms").mapInArrow(held, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():  # at most TERMS rows
+    for r in vectors.select("terms").mapInArrow(held, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():  # a row a term
         idf[r["t"]] = np.log(1 + total / r["n"])
     known = vectors.join(F.broadcast(sample), "doc_id")
     shares = {r["toxic"]: r["count"] for r in known.where(F.size("terms") == 0).groupBy("toxic").count().collect()}  # two rows
     overall = sample.agg(F.avg("toxic")).first()[0]
     prior = 0.5 if overall is None else float(overall)
     without_term = (shares.get(1, 0) + prior) / (sum(shares.values()) + 1)
-    chosen = known.where(F.size("terms") > 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES).select("doc_id", "toxic", "terms", "counts")
+    chosen = known.where(F.size("terms") > 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES).select("doc_id", "toxic", "terms", "counts", "mark")
     rows = chosen.collect()  # at most EXAMPLES short vectors
     as_vector = lambda t, c: (np.array(t, np.int64), np.array(c, np.float64))
-    index = BlockMaxIndex([r["doc_id"] for r in rows], [r["toxic"] for r in rows], [as_vector(r["terms"], r["counts"]) for r in rows], idf)
+    index = BlockMaxIndex([r["doc_id"] for r in rows], [r["toxic"] for r in rows], [as_vector(r["terms"], r["counts"]) for r in rows], idf, [r["mark"] for r in rows])
     sent = spark.sparkContext.broadcast(vars(index))
 
     def opened(state: dict) -> BlockMaxIndex:
@@ -316,8 +321,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     def leave_out(batches):
         index = opened(sent.value)
         for batch in batches:
-            ids, terms, counts = (batch.column(n).to_pylist() for n in ("doc_id", "terms", "counts"))
-            near = index.nearest_all([as_vector(t, c) for t, c in zip(terms, counts, strict=True)], ids)
+            marks, terms, counts = (batch.column(n).to_pylist() for n in ("mark", "terms", "counts"))
+            near = index.nearest_all([as_vector(t, c) for t, c in zip(terms, counts, strict=True)], marks)
             votes = [index.vote(n, prior) for n in near]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column("toxic")], names=["vote", "toxic"])
 
@@ -326,8 +331,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
         again = spark.createDataFrame(rows, chosen.schema).repartition(max(1, len(rows) // 500)).mapInArrow(leave_out, "vote double, toxic int").toArrow()
         points = isotonic(again.column("vote").to_numpy(), again.column("toxic").to_numpy())
 
-    names = [c for c in vectors.columns if c not in ("terms", "counts")]
-
     def score(batches):
         index = opened(sent.value)
         for batch in batches:
@@ -343,12 +346,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
                 seen[key] = min(1.0, max(0.0, vote)), [{"doc_id": index.ids[i], "cosine": s, "toxic": int(index.toxic[i])} for s, i in near]
             scores, evidence = [seen[key][0] for key in keys], [seen[key][1] for key in keys]
             kind = pa.list_(pa.struct([("doc_id", batch.column("doc_id").type), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-            cells = [*(batch.column(n) for n in names), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(evidence, kind)]
-            yield pa.RecordBatch.from_arrays(cells, names=[*names, "score", "predicted", "evidence"])
+            cells = [batch.column("kept"), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(evidence, kind)]
+            yield pa.RecordBatch.from_arrays(cells, names=["kept", "score", "predicted", "evidence"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema if f.name in names)
-    return vectors.mapInArrow(score, f"{schema}, score double, predicted int, evidence array<struct<doc_id:{key},cosine:double,toxic:int>>")
+    kept = vectors.schema["kept"].dataType.simpleString()
+    return vectors.mapInArrow(score, f"kept {kept}, score double, predicted int, evidence array<struct<doc_id:{key},cosine:double,toxic:int>>").select("kept.*", "score", "predicted", "evidence")
 
 
 def remainder(n: int) -> Column:

@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -257,6 +258,72 @@ def test_toxicity_learns_and_is_calibrated(spark):
     assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
 
 
+def brute_toxicity(texts, toxic):
+    """score of each text by plain loops; toxic: id -> label of those learnt from."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    counts = {i: collections.Counter(x for w in words(t) for x in [w, *(w[:n] + "*" for n in toxicity.PREFIXES)]) for i, t in texts.items()}
+    holds = {i: {(x, k) for x, n in c.items() for k in range(1, min(n, toxicity.TIMES) + 1)} for i, c in counts.items()}
+    n_bad, n_all = sum(toxic.values()), len(toxic)
+    sets = collections.defaultdict(set)
+    for i in toxic:
+        for t in holds[i]:
+            sets[t].add(i)
+    tested = {t: s for t, s in sets.items() if len(s) >= toxicity.LEAST_TOXIC}
+    part = lambda seen, expected: seen * math.log(seen / expected) if seen else 0.0
+    chosen = {}
+    for t, s in tested.items():
+        b, n, share = sum(toxic[i] for i in s), len(s), n_bad / n_all
+        ratio = 2 * (part(b, n * share) + part(n - b, n * (1 - share)) + part(n_bad - b, (n_all - n) * share) + part(n_all - n_bad - n + b, (n_all - n) * (1 - share)))
+        if b >= toxicity.LEAST_TOXIC and b > n * share and ratio >= 2 * math.log(max(2, len(tested))):
+            chosen[t] = s
+    terms = [t for t, s in chosen.items() if not any(o[1] == t[1] and chosen[o] == s and toxicity.covers(o[0], t[0], t[1]) for o in chosen)]
+    idf = {t: math.log(1 + len(texts) / sum(t in h for h in holds.values())) for t in terms}
+    vector = {}
+    for i, c in counts.items():
+        v = {t: (1 + math.log(c[t[0]])) * idf[t] for t in terms if t in holds[i]}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        vector[i] = {t: x / size for t, x in v.items()}
+    known = [i for i in toxic if vector[i]]
+    prior = n_bad / n_all
+    bare = [toxic[i] for i in toxic if not vector[i]]
+
+    def vote(i, hidden):
+        near = sorted((-round(sum(x * vector[e].get(t, 0.0) for t, x in vector[i].items()), 12), e) for e in known if texts[e] != hidden)
+        near = [(-c, e) for c, e in near if c < 0][: toxicity.K]
+        whole = sum(c * c for c, _ in near)
+        return (sum(c * c * toxic[e] for c, e in near) + toxicity.PRIOR * prior) / (whole + toxicity.PRIOR) if near else None
+
+    votes = [(vote(i, texts[i]), toxic[i]) for i in known]
+    points = toxicity.isotonic(np.array([prior if v is None else v for v, _ in votes]), np.array([t for _, t in votes], float))
+    none = (sum(bare) + prior) / (len(bare) + 1)
+    out = {}
+    for i in texts:
+        v = vote(i, object()) if vector[i] else None
+        out[i] = none if v is None else float(points[1][min(np.searchsorted(points[0], v - 1e-6), len(points[0]) - 1)])
+    return out
+
+
+def test_toxicity_against_brute_force(spark):
+    r = random.Random(6)
+    plain, odd = [f"word{i}" for i in range(40)], ["vilefoox", "vilefooy", "vilebar", "grimly", "harshest", "crude"]
+    texts, label = {}, {}
+    for i in range(160):
+        bad = i % 5 == 0
+        # every odd word with its own chance, so no two neighbours are equally near
+        texts[i] = " ".join(r.choice(plain) for _ in range(r.randint(5, 30))) + "".join(f" {w}" * r.randint(1, 3) for w in odd if r.random() < (0.5 if bad else 0.06))
+        label[i] = int(bad)
+    texts[160], texts[161], texts[162], texts[163] = texts[0], texts[0], "", None
+    label[160] = 1
+    learnt = {i: t for i, t in label.items() if i % 7}
+    docs = spark.createDataFrame([(i, t, "kept", 1) for i, t in texts.items()], "doc_id long, text string, terms string, mark int")
+    labels = spark.createDataFrame(list(label.items()), "doc_id long, toxic int")
+    found = toxicity.score_toxicity(docs, labels, F.col("doc_id") % 7 != 0).collect()
+    want = brute_toxicity(texts, learnt)
+    assert all(x.terms == "kept" and x.mark == 1 for x in found) and any(x.evidence for x in found)
+    off = [(x.doc_id, x.score, want[x.doc_id]) for x in found if abs(x.score - want[x.doc_id]) > 1e-6]
+    assert len(found) == len(texts) and not off
+
+
 def test_toxicity_learns_from_mostly_toxic_labels(spark):
     clean = "the river runs past a quiet mill and the garden".split()
     rows = [(i, " ".join(clean[(i + j) % len(clean)] for j in range(12)) + (" vilefoo" + "xyz"[i % 3] if i % 4 else "")) for i in range(240)]
