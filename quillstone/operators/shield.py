@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,15 +12,39 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 
-#: Patterns by kind; the value is the last group. Labelled kinds need their label.
-PATTERNS = {
+_D = r"\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4}"
+_NAME = r"[A-ZÀ-ÞĐ][\w'’-]+(?: [A-ZÀ-ÞĐ][\w'’-]+){0,3}"
+_ID = r"[A-Za-z]{0,3}[- ]?\d{4,}"
+#: Kinds that a label introduces: the labels (English, Spanish, French, Vietnamese) and what a value looks like.
+LABELLED = {
+    "DOB": (["dob", "date of birth", "birth date", "born(?: on)?", "fecha de nacimiento", "date de naissance", "ngày sinh"], _D),
+    "MRN": (["mrn", "medical record(?: (?:number|no\\.?))?", "chart (?:no\\.?|number)", "expediente", "dossier(?: médical)?", "số hồ sơ"], _ID),
+    "NAME": (["patient(?: name)?", "name", "attending", "provider", "physician", "paciente", "nombre", "nom", "médecin", "họ tên", "bệnh nhân"], _NAME),
+    "ACCOUNT": (["account(?: (?:number|no\\.?))?", "acct", "cuenta", "compte"], _ID),
+    "MEMBER": (["member(?: id)?", "subscriber(?: id)?", "policy(?: (?:number|no\\.?))?", "group(?: (?:number|no\\.?))?", "póliza", "assuré"], _ID),
+    "LICENSE": (["license(?: (?:number|no\\.?))?", "npi", "dea", "licencia"], _ID),
+    "PHONE": (["phone", "tel", "cell", "mobile", "fax", "teléfono", "téléphone", "điện thoại"], r"\+?[\d(][\d() .-]{6,}\d"),
+    "ADDRESS": (["address", "dirección", "adresse", "địa chỉ"], r"\d+[^\n,;]{3,60}"),
+    "ZIP": (["zip(?: code)?", "código postal", "code postal"], r"\d{5}(?:-\d{4})?"),
+    "SSN": (["ssn", "social security(?: (?:number|no\\.?))?", "seguro social"], r"\d{3}[- ]?\d{2}[- ]?\d{4}"),
+}
+#: Kinds that show by themselves.
+PLAIN = {
     "EMAIL": f"({T.EMAIL})",
     "SSN": r"(?<![\d-])(\d{3}-\d{2}-\d{4})(?![\d-])",
     "PHONE": r"(?<![\d-])(\+?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4})(?![\d-])",
-    "DOB": r"(?i:\b(?:dob|date of birth|born(?: on)?|fecha de nacimiento|date de naissance)[ :]+)(\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4})",
-    "MRN": r"(?i:\b(?:mrn|medical record(?: number)?|chart no\.?)[ :#]+)([A-Za-z]{0,3}\d{4,})",
-    "NAME": r"(?i:\b(?:patient(?: name)?|name|paciente|nom) ?: ?)([A-ZÀ-Þ][\w'’-]+(?: [A-ZÀ-Þ][\w'’-]+){0,3})",
+    "NAME": rf"\b(?:Mr|Mrs|Ms|Miss|Dr|Sr|Sra|Mme)\.? ({_NAME})",
+    "AGE": r"(?i:\b(?:aged?|age:) |(?<!\d))(9\d|1[0-2]\d)(?=[ -](?:years?|yrs?|y/o|años|ans)\b|,? ?(?:yo|y\.o\.))",
 }
+#: Kinds whose label must end in a colon, since their values look like any other words.
+COLON = {"NAME", "ADDRESS"}
+PATTERNS = [(kind, rf"(?i:(?<!\w)(?:{'|'.join(labels)})) ?{':' if kind in COLON else '[:#]?'} ?({value})") for kind, (labels, value) in LABELLED.items()] + list(PLAIN.items())
+
+
+def canonical(text: str) -> tuple[str, bool]:
+    """The text in compatibility form without marks that do not show, and whether anything changed."""
+    plain = "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf")
+    return plain, plain != text
 
 
 def letters(n: Column) -> Column:
@@ -38,7 +63,7 @@ def learnt(turns: DataFrame, session: str, order: str) -> DataFrame:
         for frame in frames:
             rows = []
             for s, at, text in zip(frame[session], frame[order], frame["text"], strict=True):
-                for kind, pattern in PATTERNS.items():
+                for kind, pattern in PATTERNS:
                     rows += [(s, kind, m.group(m.lastindex), at, m.start(m.lastindex)) for m in re.finditer(pattern, text or "")]
             yield pd.DataFrame(rows, columns=[session, "kind", "value", "turn_at", "place"])
 
@@ -98,3 +123,55 @@ def to_original(segments, at):
         .otherwise(s),
         lambda s: s["at"] + s["shift"],
     )
+
+
+def canonical_texts(df: DataFrame, column: str = "text") -> DataFrame:
+    """df with the column in canonical form, changed, and refused: the letters that keep a text from being read safely."""
+
+    @F.pandas_udf("text string, changed boolean")
+    def read(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([canonical(t) if t is not None else (None, False) for t in texts], columns=["text", "changed"])
+
+    got = df.withColumn("_read", read(F.col(column)))
+    refused = F.when(T.unreadable(F.col("_read.text")), "foreign_letters")
+    return got.withColumn(column, F.col("_read.text")).withColumns({"changed": F.col("_read.changed"), "refused": refused}).drop("_read")
+
+
+def shield_fields(df: DataFrame, session: str, order: str, fields: list[str]) -> DataFrame:
+    """session, order and the fields redacted: a value learnt in any field of a session is hidden in all of them."""
+    cells = df.select(session, order, F.posexplode(F.array(*[F.col(f) for f in fields])).alias("field", "text"))
+    cells = cells.withColumn("cell", F.struct(F.col(order).alias("o"), "field"))
+    hidden = shield(cells.select(session, F.col("cell"), "text"), session, "cell")
+    pivot = [F.max(F.when(F.col("cell.field") == i, F.col("redacted"))).alias(f) for i, f in enumerate(fields)]
+    return hidden.groupBy(session, F.col("cell.o").alias(order)).agg(*pivot)
+
+
+def planted(marked: DataFrame, key: str) -> DataFrame:
+    """key, text, spans (kind, start, end, hide) of texts with {{KIND|value}} to hide and [[why|value]] to keep."""
+    mark = re.compile(r"\{\{(\w+)\|(.*?)\}\}|\[\[(.*?)\|(.*?)\]\]", re.DOTALL)
+
+    def unmark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts, spans = [], []
+            for t in frame["text"]:
+                out, size, at, here = [], 0, 0, []
+                for m in mark.finditer(t or ""):
+                    value = m.group(2) if m.group(1) else m.group(4)
+                    size += m.start() - at
+                    here.append({"kind": m.group(1) or m.group(3), "start": size, "end": size + len(value), "hide": bool(m.group(1))})
+                    out += [t[at : m.start()], value]
+                    size, at = size + len(value), m.end()
+                texts.append("".join([*out, (t or "")[at:]]))
+                spans.append(here)
+            yield frame[[key]].assign(text=texts, spans=spans)
+
+    return marked.select(key, "text").mapInPandas(unmark, f"{key} {dict(marked.dtypes)[key]}, text string, spans array<struct<kind:string,start:int,end:int,hide:boolean>>")
+
+
+def hide_rates(plants: DataFrame, hidden: DataFrame, key: str) -> DataFrame:
+    """kind, planted, caught, false_hides: planted spans that the shield's segments cover, kept ones that they touch."""
+    both = plants.join(hidden.select(key, "segments"), key).select(F.explode("spans").alias("p"), "segments")
+    covered = F.exists("segments", lambda g: (g["start"] <= F.col("p.start")) & (g["end"] >= F.col("p.end")))
+    touched = F.exists("segments", lambda g: (g["start"] < F.col("p.end")) & (g["end"] > F.col("p.start")))
+    hide = F.col("p.hide")
+    return both.groupBy(F.when(hide, F.col("p.kind")).otherwise("keep").alias("kind")).agg(F.count(F.lit(1)).alias("planted"), F.count_if(hide & covered).alias("caught"), F.count_if(~hide & touched).alias("false_hides"))

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from quillstone.plans import everyday, labs, relational, text, usage  # noqa: F401
+from quillstone.plans import cues, everyday, labs, relational, text, usage  # noqa: F401

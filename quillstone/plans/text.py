@@ -213,3 +213,44 @@ def scanned_items(spark, sf_dir: str) -> DataFrame:
     chunks = turns.select("conv_id", F.posexplode(F.regexp_extract_all(whole, F.lit("(?s).{1,37}"), F.lit(0))).alias("seq", "chunk"))
     found = scanner.scanned(chunks, "conv_id", "seq")
     return found.select("conv_id", F.get_json_object("item", "$.turn").cast("long").alias("turn"), "pos")
+
+
+@query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS pos, CASE turn % 5 WHEN 4 THEN 'malformed' WHEN 3 THEN 'not_found' ELSE 'grounded' END AS status FROM conversations")
+def verified_stream_items(spark, sf_dir: str) -> DataFrame:
+    """Items out of chunks of JSON, each parsed, checked by schema and grounded in its conversation's text."""
+    from quillstone.streaming import sessions
+
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    item = lambda x: F.struct(F.when(x["turn"] % 5 != 4, "todo").alias("kind"), F.when(x["turn"] % 5 == 3, F.concat(F.lit("zzz "), x["text"])).otherwise(x["text"]).alias("quote"))
+    whole = F.to_json(F.struct(F.transform("t", item).alias("items")))
+    chunks = turns.select("conv_id", F.posexplode(F.regexp_extract_all(whole, F.lit("(?s).{1,37}"), F.lit(0))).alias("seq", "chunk"))
+    sources = turns.select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), " | ").alias("text"))
+    return sessions.verified_items(scanner.scanned(chunks, "conv_id", "seq"), sources, "conv_id").select("conv_id", "pos", "status")
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'NAME' WHEN 1 THEN 'MEMBER' WHEN 2 THEN 'AGE' END AS kinds FROM customer")
+def labelled_identifiers(spark, sf_dir: str) -> DataFrame:
+    """Identifiers by their labels, titles and ages from 90 on; what looks alike but is none stays."""
+    k = F.col("c_custkey")
+    told = F.when(k % 4 == 0, "Seen by Dr. Maria Gomez today").when(k % 4 == 1, F.concat(F.lit("Póliza: AB "), k + 10000)).when(k % 4 == 2, "She is 94 years old").otherwise("Take 94 mg, room 12")
+    turns = table(spark, sf_dir, "customer").select("c_custkey", F.lit(0).alias("turn"), told.alias("text"))
+    found = shield.learnt(turns, "c_custkey", "turn").groupBy("c_custkey").agg(F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))
+    return turns.select("c_custkey").join(found, "c_custkey", "left")
+
+
+@query("SELECT c_custkey, c_custkey % 3 > 0 AS changed, CASE WHEN c_custkey % 3 = 2 THEN 'foreign_letters' END AS refused FROM customer")
+def canonical_texts(spark, sf_dir: str) -> DataFrame:
+    """Texts in one form before they are searched for identifiers; mixed-in letters of other scripts are refused."""
+    k = F.col("c_custkey") % 3
+    raw = F.when(k == 0, "plain text").when(k == 1, "ﬁrst​name １２").otherwise("nаme​ with a Cyrillic letter")
+    return shield.canonical_texts(table(spark, sf_dir, "customer").select("c_custkey", raw.alias("text"))).select("c_custkey", "changed", "refused")
+
+
+@query("SELECT kind, planted, CASE WHEN kind = 'keep' THEN 0 ELSE planted END AS caught, 0::BIGINT AS false_hides FROM (SELECT unnest(['NAME', 'MRN', 'EMAIL', 'keep']) AS kind, count(*) AS planted FROM customer)")
+def planted_identifiers(spark, sf_dir: str) -> DataFrame:
+    """Planted identifiers that the shield hides, and look-alikes that it leaves alone."""
+    text = F.concat(F.lit("Patient: {{NAME|Ana Lopez}}, MRN {{MRN|"), F.col("c_custkey") + 100000, F.lit("}}; write {{EMAIL|ana@example.org}} about [[dose|500 mg]]."))
+    marked = table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))
+    plants = shield.planted(marked, "c_custkey")
+    hidden = shield.shield(plants.select("c_custkey", F.lit(0).alias("turn"), "text"), "c_custkey", "turn")
+    return shield.hide_rates(plants, hidden, "c_custkey")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillstone.operators import suppression
 from quillstone.plans.registry import query
 from quillstone.session import table
-from quillstone.streaming import quotas
+from quillstone.streaming import quotas, sessions
 
 
 def production(spark, sf_dir: str) -> DataFrame:
@@ -185,3 +185,29 @@ def sliding_rate_limit(spark, sf_dir: str) -> DataFrame:
 def ttl_counter(spark, sf_dir: str) -> DataFrame:
     """A counter whose window restarts when it has run out, with a cap."""
     return quotas.ttl_counter(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", 2, 86_400)
+
+
+KINDS = {"signup": "start", "click": "attempt", "view": "ringing", "purchase": "talking", "error": "failed"}
+
+
+@query()
+def call_sessions(spark, sf_dir: str) -> DataFrame:
+    """Every event of a session through its state machine: what was applied and what was refused, and why."""
+    e = table(spark, sf_dir, "events")
+    kind = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in KINDS.items()], F.lit("other"))
+    return sessions.sessions(e.select("user_id", "event_id", "ts", kind.alias("kind")), "user_id")
+
+
+@query(f"""WITH s AS (SELECT user_id, event_type, event_id, (epoch_ms(ts) // 60000)::BIGINT AS s, (epoch_ms(ts) // 60000 + value::INT * 10)::BIGINT AS e FROM events)
+SELECT user_id, count(*) AS expected, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM s f WHERE f.user_id = a.user_id AND f.event_type = 'view' AND f.s < a.e AND f.e > a.s)) AS found
+FROM s a WHERE event_type = 'purchase' GROUP BY user_id""")
+def answer_recall(spark, sf_dir: str) -> DataFrame:
+    """Spans of an answer key and how many of them some found span overlaps."""
+    from quillstone.operators import intervals
+    from quillstone.plans.relational import spans
+
+    s = spans(spark, sf_dir)
+    key = s.where("event_type = 'purchase'").select("user_id", "event_id", "start", "end")
+    found = s.where("event_type = 'view'").select("user_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    hit = intervals.overlapping(key, found, "user_id").select("event_id").distinct().withColumn("hit", F.lit(True))
+    return key.join(hit, "event_id", "left").groupBy("user_id").agg(F.count(F.lit(1)).alias("expected"), F.count_if(F.coalesce("hit", F.lit(False))).alias("found"))

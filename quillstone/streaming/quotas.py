@@ -64,10 +64,17 @@ def ttl_counter(events: DataFrame, key: str, cap: int, seconds: int) -> DataFram
     return replayed(events, key, ttl_step, cap, seconds)
 
 
-def streamed(events: DataFrame, key: str, step: Callable, limit: int, seconds: int) -> DataFrame:
-    """The streaming twin of replayed: the state lives in the state store, rows of a batch are taken in time order."""
+def streamed(events: DataFrame, key: str, step: Callable, limit: int, seconds: int, timeout_ms: int | None = None) -> DataFrame:
+    """The streaming twin of replayed: the state lives in the state store, rows of a batch are taken in time order.
+
+    timeout_ms: a stream that runs on forgets a key that nothing has come for in so long; give it twice the window or
+    more, so that no use of the key could count any more. Without it (runs over what is available) nothing is forgotten.
+    """
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(["_t", "event_id"])
         out = []
@@ -75,9 +82,11 @@ def streamed(events: DataFrame, key: str, step: Callable, limit: int, seconds: i
             kept, ok = step(kept, now, limit, seconds)
             out.append(ok)
         state.update((kept,))
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
         yield rows[[key, "event_id"]].assign(accepted=out)
 
     kinds = dict(events.dtypes)
     schema = f"{key} {kinds[key]}, event_id {kinds['event_id']}, accepted boolean"
     rows = events.select(key, "event_id", seconds_of("ts").alias("_t"))
-    return rows.groupBy(key).applyInPandasWithState(update, schema, "kept array<double>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(key).applyInPandasWithState(update, schema, "kept array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)

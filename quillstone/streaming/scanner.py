@@ -17,8 +17,6 @@ STRUCTURE, STRING = re.compile(r'["{}\[\]:,]'), re.compile(r'(?s)\\.|"')
 #: the string and the key last read in the outermost object, and the text so far of an open object of the array.
 START = ("", "", False, "", "", "")
 STATE = "rest string, stack string, quoted boolean, word string, name string, item string"
-#: A stream's request is forgotten when nothing has come for so long.
-TIMEOUT_MS = 3_600_000
 
 
 def push(state: tuple, chunk: str, key: str = "items") -> tuple[tuple, list[str]]:
@@ -83,8 +81,12 @@ def scanned(chunks: DataFrame, request: str, order: str, key: str = "items") ->
     return dealt.mapInPandas(fold, f"{request} {dict(chunks.dtypes)[request]}, pos int, item string")
 
 
-def scanned_stream(chunks: DataFrame, request: str, order: str, key: str = "items", timeout_ms: int = TIMEOUT_MS) -> DataFrame:
-    """The same over a stream: the state of each request is in the state store, until nothing comes for timeout_ms."""
+def scanned_stream(chunks: DataFrame, request: str, order: str, key: str = "items", timeout_ms: int | None = None) -> DataFrame:
+    """The same over a stream: the state of each request is in the state store.
+
+    timeout_ms: a stream that runs on forgets a request that nothing has come for in so long. Without it (runs over what
+    is available) nothing is forgotten.
+    """
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -97,8 +99,9 @@ def scanned_stream(chunks: DataFrame, request: str, order: str, key: str = "item
             rows += [(k[0], n + i, item) for i, item in enumerate(items)]
             n += len(items)
         state.update((*held, n))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(rows, columns=[request, "pos", "item"])
 
     schema = f"{request} {dict(chunks.dtypes)[request]}, pos int, item string"
-    return chunks.groupBy(request).applyInPandasWithState(update, schema, f"{STATE}, n int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.groupBy(request).applyInPandasWithState(update, schema, f"{STATE}, n int", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)

@@ -1,11 +1,14 @@
 """Every registered query of the library against its SQL on the small tables."""
 
+import collections
 import math
+import re
 
 import duckdb
 import pytest
 
-from quillstone.plans import registry
+from quillstone.operators import coverage, grounding
+from quillstone.plans import registry, usage
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -38,6 +41,190 @@ def test_query_equals_sql(spark, duck, name):
     assert plain(found.collect(), [found.columns.index(c) for c in names]) == plain(wanted.fetchall(), [wanted.columns.index(c) for c in names])
 
 
+def rows_of(duck, sql):
+    return duck.sql(sql).fetchall()
+
+
+def texts(duck):
+    return dict(rows_of(duck, "SELECT doc_id, text FROM documents WHERE text IS NOT NULL"))
+
+
+def items(duck):
+    return dict(rows_of(duck, "SELECT item_id, text FROM benchmark"))
+
+
+def spans(duck):
+    out = {}
+    for i, t in texts(duck).items():
+        source = None
+        for j, q in items(duck).items():
+            if max(grounding.parts(q), key=len, default="!")[:8] in t.lower() or q in t:  # a cheap look before the full one
+                source = source or grounding.Source(t)
+                if found := grounding.find_spans(source, q):
+                    out[i, j] = found
+    return out
+
+
+def brute_document_sentences(duck, found):
+    """Every letter is in one sentence, sentences are in order, trimmed and numbered; no end mark before a capital is inside."""
+    of = {}
+    for i, pos, a, b in sorted(found):
+        of.setdefault(i, []).append((pos, a, b))
+    for i, t in texts(duck).items():
+        got = of.get(i, [])
+        assert [p for p, _, _ in got] == list(range(len(got)))
+        assert all(x[2] <= y[1] for x, y in zip(got, got[1:], strict=False))
+        inside = set().union(*(range(a, b) for _, a, b in got))
+        assert all(k in inside for k, c in enumerate(t) if c.isalpha()), i
+        assert all(t[a:b] == t[a:b].strip() for _, a, b in got)
+        assert not any(re.search(r"[a-z]{3,}[!?] [A-Z]", t[a:b]) for _, a, b in got)
+    return found
+
+
+def brute_grounded_spans(duck, found):
+    return [(i, j, s[0][0], s[-1][1]) for (i, j), s in spans(duck).items()]
+
+
+def brute_verified_items(duck, found):
+    out = []
+    for (i, j), s in spans(duck).items():
+        t = texts(duck)[i]
+        around = [(a, b) for a, b in coverage.sentences_of(t) if s[0][0] < b and s[-1][1] > a]
+        a, b = around[0][0], around[-1][1]
+        out.append((i, j, a, b, "skips_across" if len(s) > 1 and len(around) > 1 else "sentence_too_long" if b - a > 800 else "grounded"))
+    return out
+
+
+def brute_planted_fakes(duck, found):
+    planted, caught = collections.Counter(), collections.Counter()
+    for i, j in spans(duck):
+        q = items(duck)[j]
+        fakes = {"changed number": re.sub(r"(\d+)", r"\g<1>0", q), "swapped word": re.sub(r"^(\S+) (\S+) ", r"\2 \1 ", q, count=1), "added negation": "never " + q}
+        for kind, fake in fakes.items():
+            if fake != q:
+                planted[kind] += 1
+                caught[kind] += grounding.find_span(grounding.Source(texts(duck)[i]), fake) is None
+    return [(k, n, caught[k]) for k, n in planted.items()]
+
+
+def brute_instruction_coverage(duck, found):
+    quoted = collections.defaultdict(list)
+    for (i, _), s in spans(duck).items():
+        quoted[i] += s
+    out = {}
+    for i, n, _ in found:  # which sentences are instructions is an expression with tests of its own
+        t = texts(duck)[i]
+        covered = set()
+        for a, b in coverage.sentences_of(t):
+            ranges = quoted[i]
+            hit = any(x < b and y > a for x, y in ranges)
+            if hit and all(any(x <= m.start() and y >= m.end() for x, y in ranges) for m in coverage.CRITICAL.finditer(t, a, b)):
+                covered.add(grounding.mapped(t[a:b])[0].strip())
+        out[i] = (i, n, sum(grounding.mapped(t[a:b])[0].strip() in covered for a, b in coverage.sentences_of(t)))
+    for i, n, n_covered in found:
+        assert n_covered <= min(n, out[i][2])
+    return found
+
+
+def brute_shielded_turns(duck, found):
+    of = {(c, t): x for c, t, x in rows_of(duck, "SELECT conv_id, turn, text FROM conversations")}
+    for c, t, redacted, n in found:
+        assert len(re.findall("⟦[A-Z]+_[A-Z]+⟧", redacted)) == n >= 1 and f"A{c + 100000}" not in redacted
+        gaps = re.split("⟦[A-Z]+_[A-Z]+⟧", redacted)
+        assert all(g in f"{of[c, t]} MRN: A{c + 100000}" for g in gaps)
+    assert len(found) == len(of)
+    return found
+
+
+def brute_suppressed_funnel(duck, found):
+    counts = [(k if n[3] >= 10 and k else "Other languages", *n) for k, *n in rows_of(duck, usage.COUNTS)]
+    groups = collections.defaultdict(lambda: [0] * 4)
+    for k, *n in counts:
+        groups[k] = [a + b for a, b in zip(groups[k], n, strict=True)]
+    table = [[k, *n] for k, n in sorted(groups.items(), key=lambda x: (x[0] == "Other languages", -x[1][3], x[0]))]
+    table.append(["", *[sum(r[i] for r in table) for i in range(1, 5)]])
+    gone, before = set(), -1
+    parts = [(2, 1), (4, 3), (4, 2), (3, 1)]
+    seen = lambda r, c: table[r][c] >= 10 and (r, c) not in gone
+    while before != len(gone):
+        before = len(gone)
+        gone |= set()
+        for r in range(len(table)):
+            for whole, part in parts:
+                if seen(r, whole) and seen(r, part) and table[r][whole] - table[r][part] < 10:
+                    gone.add((r, part))
+        for c in range(1, 5):
+            off = [r for r in range(len(table) - 1) if not seen(r, c)]
+            if seen(len(table) - 1, c) and off and (len(off) < 2 or sum(table[r][c] for r in off) < 10):
+                rest = [r for r in range(len(table) - 1) if seen(r, c)]
+                gone.add((min(rest, key=lambda r: table[r][c]) if rest else len(table) - 1, c))
+    return [(r[0], *["<10" if r[c] < 10 else "hidden" if (i, c) in gone else str(r[c]) for c in range(1, 5)]) for i, r in enumerate(table)]
+
+
+def events(duck):
+    by = collections.defaultdict(list)
+    for u, e, k, t in rows_of(duck, "SELECT user_id, event_id, event_type, epoch_us(ts) / 1e6 FROM events ORDER BY user_id, ts, event_id"):
+        by[u].append((e, k, t))
+    return by
+
+
+def brute_sliding_rate_limit(duck, found):
+    out = []
+    for u, es in events(duck).items():
+        taken = []
+        for e, _, t in es:
+            ok = sum(t - x < 36_000 for x in taken) < 3
+            taken += [t] * ok
+            out.append((u, e, ok))
+    return out
+
+
+def brute_ttl_counter(duck, found):
+    out = []
+    for u, es in events(duck).items():
+        begin, used = None, 0
+        for e, _, t in es:
+            if begin is None or t >= begin + 86_400:
+                begin, used = t, 0
+            out.append((u, e, used < 2))
+            used += used < 2
+    return out
+
+
+def brute_call_sessions(duck, found):
+    order, out = ["placed", "ringing", "talking", "end"], []
+    for u, es in events(duck).items():
+        at, status, tries, ends = None, "", 0, 0
+        for e, k, t in es:
+            kind = usage.KINDS[k]
+            why = "applied"
+            if kind == "start":
+                if at is not None and t < ends and at < 3:
+                    why = "already_live"
+                else:
+                    at, status, tries, ends = 0, "placed", 0, t + 86_400
+            elif at is None:
+                why = "unknown"
+            elif t >= ends:
+                why = "stale"
+            elif at == 3:
+                why = "finished"
+            elif kind == "attempt":
+                why = "applied" if tries < 3 else "too_many"
+                tries = min(3, tries + 1)
+            else:
+                place = order.index("end" if kind in ("done", "failed") else kind)
+                if place > at:
+                    at, status = place, kind
+                else:
+                    why = "no_move"
+            out.append((u, e, status, tries, why))
+    return out
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
-def test_query_without_sql_runs(spark, name):
-    assert registry.queries()[name](spark, SF).columns
+def test_query_without_sql_equals_brute_force(spark, duck, name):
+    df = registry.queries()[name](spark, SF)
+    found = [tuple(r) for r in df.collect()]
+    wanted = globals()[f"brute_{name}"](duck, found)
+    assert found and plain(found, range(len(df.columns))) == plain(wanted, range(len(df.columns)))
