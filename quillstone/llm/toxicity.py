@@ -266,6 +266,18 @@ class BlockMaxIndex:
         return float((weights @ self.toxic[[i for _, i in neighbours]] + PRIOR * prior) / (weights.sum() + PRIOR)) if neighbours else prior
 
 
+def list_vectors(rows) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The vectors of a batch or table with columns terms and counts, as views of two arrays."""
+    out = []
+    for name, kind in (("terms", np.int64), ("counts", np.float64)):
+        column = rows.column(name)
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+        out.append([flat[a:b] for a, b in zip(ends, ends[1:], strict=False)])
+    return list(zip(*out, strict=True))
+
+
 def isotonic(votes: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Points of a rising step function from votes to shares of toxic examples, pooled until they rise."""
     pools: list[list[float]] = []
@@ -307,10 +319,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     overall = sample.agg(F.avg("toxic")).first()[0]
     prior = 0.5 if overall is None else float(overall)
     without_term = (shares.get(1, 0) + prior) / (sum(shares.values()) + 1)
-    chosen = known.where(F.size("terms") > 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES).select("doc_id", "toxic", "terms", "counts", "mark")
-    rows = chosen.collect()  # at most EXAMPLES short vectors
+    some = known.where(F.size("terms") > 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
+    chosen = written(some.select("doc_id", "toxic", "terms", "counts", "mark"), "examples")
+    rows = chosen.toArrow().combine_chunks()  # at most EXAMPLES short vectors, as arrays
     as_vector = lambda t, c: (np.array(t, np.int64), np.array(c, np.float64))
-    index = BlockMaxIndex([r["doc_id"] for r in rows], [r["toxic"] for r in rows], [as_vector(r["terms"], r["counts"]) for r in rows], idf, [r["mark"] for r in rows])
+    index = BlockMaxIndex(rows.column("doc_id").to_pylist(), rows.column("toxic").to_pylist(), list_vectors(rows), idf, rows.column("mark").to_pylist())
+    n_examples = rows.num_rows
+    del rows
     sent = spark.sparkContext.broadcast(vars(index))
 
     def opened(state: dict) -> BlockMaxIndex:
@@ -321,14 +336,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     def leave_out(batches):
         index = opened(sent.value)
         for batch in batches:
-            marks, terms, counts = (batch.column(n).to_pylist() for n in ("mark", "terms", "counts"))
-            near = index.nearest_all([as_vector(t, c) for t, c in zip(terms, counts, strict=True)], marks)
+            near = index.nearest_all(list_vectors(batch), batch.column("mark").to_pylist())
             votes = [index.vote(n, prior) for n in near]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column("toxic")], names=["vote", "toxic"])
 
     points = (np.zeros(0), np.zeros(0))
-    if rows:
-        again = spark.createDataFrame(rows, chosen.schema).repartition(max(1, len(rows) // 500)).mapInArrow(leave_out, "vote double, toxic int").toArrow()
+    if n_examples:
+        again = chosen.repartition(max(1, n_examples // 500)).mapInArrow(leave_out, "vote double, toxic int").toArrow()
         points = isotonic(again.column("vote").to_numpy(), again.column("toxic").to_numpy())
 
     def score(batches):
