@@ -115,3 +115,22 @@ def date_is_plausible(c: Column, least_year: int = 1900, last_year: int = 2100)
 def settled(outcome: Column, refunds: dict[str, list[str]], kind: Column) -> Column:
     """Whether a reservation of a kind of bucket is given back after an outcome."""
     return reduce(lambda a, b: a | b, [(outcome == o) & kind.isin(*kinds) for o, kinds in refunds.items()], F.lit(False))
+
+
+def keyed_hash(message: Column, key: bytes) -> Column:
+    """HMAC-SHA-256 of a text as lower-case hexadecimal digits; the key is the caller's and at most 64 bytes long."""
+    if len(key) > 64:
+        raise ValueError("the key is longer than a block of the hash")
+    pad = lambda b: F.lit(bytes(x ^ b for x in key.ljust(64, b"\0")))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), message.cast("binary")), 256))
+    return F.sha2(F.concat(pad(0x5C), inner), 256)
+
+
+def sealed(text: Column, key: Column, context: Column) -> Column:
+    """AES-GCM of a text, bound to a context that must be the same to open it; every call draws a new nonce."""
+    return F.aes_encrypt(text.cast("binary"), key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(b"").cast("binary"), context.cast("binary"))
+
+
+def opened(cipher: Column, key: Column, context: Column) -> Column:
+    """The text again; null if the key or the context is another one, or the bytes were changed."""
+    return F.try_aes_decrypt(cipher, key, F.lit("GCM"), F.lit("DEFAULT"), context.cast("binary")).cast("string")

@@ -372,3 +372,38 @@ def lookups_by_id(spark, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey")
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
     return o.join(c, "o_custkey").join(table(spark, sf_dir, "nation"), "n_nationkey").select("o_orderkey", "o_custkey", "n_name")
+
+
+KEY = b"only for the test tables"
+_PADDED = {b: "".join(f"\\x{x ^ b:02X}" for x in KEY.ljust(64, b"\0")) for b in (0x36, 0x5C)}
+
+
+@query(f"SELECT c_custkey, sha256('{_PADDED[0x5C]}'::BLOB || unhex(sha256('{_PADDED[0x36]}'::BLOB || encode(c_name)))) AS token FROM customer")
+def keyed_tokens(spark, sf_dir: str) -> DataFrame:
+    """Keyed hashes of names."""
+    return table(spark, sf_dir, "customer").select("c_custkey", R.keyed_hash(F.col("c_name"), KEY).alias("token"))
+
+
+@query("SELECT c_custkey, c_name AS again, true AS bound FROM customer")
+def sealed_names(spark, sf_dir: str) -> DataFrame:
+    """Names sealed with their row as context: they open with it and with no other one."""
+    key, row = F.lit(b"0123456789abcdef"), F.col("c_custkey").cast("string")
+    s = table(spark, sf_dir, "customer").select("c_custkey", R.sealed(F.col("c_name"), key, row).alias("s"))
+    return s.select("c_custkey", R.opened(F.col("s"), key, row).alias("again"), R.opened(F.col("s"), key, F.concat(row, F.lit("x"))).isNull().alias("bound"))
+
+
+@query("SELECT o_orderkey, strftime(d, '%Y%m%dT090000') AS starts, strftime(d, '%A, %B %-d') AS shown FROM (SELECT o_orderkey, unnest(range(o_orderdate::DATE + INTERVAL 1 DAY, o_orderdate::DATE + INTERVAL 4 DAY, INTERVAL 1 DAY)) AS d FROM orders WHERE o_orderstatus = 'P')")
+def calendar_options(spark, sf_dir: str) -> DataFrame:
+    """The next three days as calendar starts and as texts."""
+    day = F.to_date("o_orderdate")
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey", F.explode(F.sequence(F.date_add(day, 1), F.date_add(day, 3))).alias("d"))
+    return o.select("o_orderkey", F.date_format("d", "yyyyMMdd'T090000'").alias("starts"), F.date_format("d", "EEEE, MMMM d").alias("shown"))
+
+
+@query("SELECT doc_id, greatest(1, length(t) - length(replace(t, ' ', '')) + 1) AS n_words, ceil(length(t) / 15.0)::BIGINT AS seconds FROM (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'), ' ') AS t FROM documents WHERE text IS NOT NULL)")
+def speech_chunks(spark, sf_dir: str) -> DataFrame:
+    """Texts cut at words into chunks that are read aloud one by one; together they hold every word, and how long they take."""
+    t = F.trim(F.regexp_replace("text", "\\s+", " "))
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", t.alias("t"), T.chunks(t, 300).alias("c"))
+    words = F.aggregate("c", F.lit(0), lambda n, x: n + F.size(F.split(x, " ")))
+    return d.select("doc_id", F.greatest(F.lit(1), words).cast("long").alias("n_words"), F.ceil(F.length("t") / 15.0).alias("seconds"))
