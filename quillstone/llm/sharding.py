@@ -182,7 +182,8 @@ def shard_uniform(docs: DataFrame, shards: int = 8, blocks: int | None = None, l
     local = sent.selectExpr("*", f"row_number() OVER (PARTITION BY cell ORDER BY xxhash64({seed + 2}, key), key) - 1 AS in_cell")
     shard = F.floor(F.col("cell") / lanes)
     lane_start = let(even_size(F.col("total"), shards, shard), lambda n: even_start(n, lanes, F.col("cell") % lanes))
-    return local.select("row.*", shard.cast("int").alias("shard"), (lane_start + F.col("in_cell")).cast("long").alias("slot"))
+    placed = local.select("row", F.struct(shard.cast("int").alias("shard"), (lane_start + F.col("in_cell")).cast("long").alias("slot")).alias("placed"))
+    return placed.select("row.*", "placed.*")
 
 
 def op2_shard_documents(spark, sf_dir: str) -> DataFrame:
