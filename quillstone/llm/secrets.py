@@ -121,7 +121,9 @@ def scan_secrets(docs: DataFrame, thresholds: dict[str, float] | None = None, al
     docs = docs.drop("secrets")
     names = docs.columns
     all_of = lambda p, g=0: F.regexp_extract_all("_t", F.lit(p), F.lit(g))
-    found = docs.withColumn("_t", F.coalesce("text", F.lit(""))).select(F.struct(*names).alias("_row"), "_t", *[all_of(p).alias(f"_{k}") for k, p in zip(BASE_KINDS, (ASSIGN, ACCESS, HEX), strict=True)])
+    # the caller's columns stay in one struct, so no name of theirs can meet one of ours
+    texts = docs.select(F.struct(*names).alias("_row"), F.coalesce("text", F.lit("")).alias("_t"))
+    found = texts.select("_row", "_t", *[all_of(p).alias(f"_{k}") for k, p in zip(BASE_KINDS, (ASSIGN, ACCESS, HEX), strict=True)])
     enough = F.when(F.size("_assign") > 0, F.transform(all_of(ASSIGN, 2), lambda v: F.length(v) >= 6)).otherwise(F.array().cast("array<boolean>"))
     found = found.select(
         "_row",
