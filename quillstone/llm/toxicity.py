@@ -8,8 +8,8 @@ the full vocabulary ordinary words decide which texts are near, and the neighbou
 
 The different vectors of the labelled examples with a term (at most EXAMPLES) are cut into blocks of BLOCK, each with
 the greatest weight that a term has there. For a document the block maxima bound the cosine of every block; blocks
-whose bound is below the K-th cosine found are passed over. The others are multiplied in single precision, many
-documents at once, and what may be among the K nearest is computed again in double precision, so the neighbours are
+whose bound is below the K-th cosine found are passed over. In the others terms that many examples have are multiplied
+as dense tiles and the rest by postings, in single precision, many documents at once, and what may be among the K nearest is computed again in double precision, so the neighbours are
 exact. Neighbours vote with the square of their cosine, ties going to the smaller id of those that share a strongest
 term, and the vote is calibrated by isotonic regression on the examples, each one and all copies of its text left out
 of its own vote. Documents without a term get the smoothed share of toxic
@@ -47,6 +47,8 @@ TIMES = 3
 LEAST_TOXIC = 3
 K = 16
 BLOCK = 512
+#: A term that more than one in so many vectors has is multiplied densely; postings are cheaper for the others.
+DENSE = 50
 #: Documents that are searched together.
 TOGETHER = 512
 #: More than the error of a cosine of unit vectors in single precision; what it leaves open is computed in double.
@@ -195,6 +197,15 @@ class BlockMaxIndex:
         self.term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in rows)]).astype(np.int64)
         self.weight = np.concatenate([np.zeros(0), *(w for _, w in rows)])
         self.vector = np.repeat(np.arange(len(rows)), np.diff(self.starts))
+        # terms that many vectors have are columns of dense tiles, the others postings by block and term
+        self.dense = np.flatnonzero(np.bincount(self.term, minlength=len(idf)) * DENSE > len(rows))
+        self.column = np.full(len(idf), -1)
+        self.column[self.dense] = np.arange(len(self.dense))
+        rare = np.flatnonzero(self.column[self.term] < 0)
+        key = self.vector[rare] // BLOCK * len(idf) + self.term[rare]
+        by_key = np.argsort(key, kind="stable")
+        self.posted = rare[by_key]
+        self.first = np.searchsorted(key[by_key], np.arange(-(-len(rows) // BLOCK) * len(idf) + 1))
         self.top = np.zeros((-(-len(rows) // BLOCK), len(idf)), np.float32)
         np.maximum.at(self.top, (self.vector // BLOCK, self.term), self.weight.astype(np.float32))
 
@@ -206,6 +217,8 @@ class BlockMaxIndex:
         """(row of dense, vector) of all that can be among the k nearest vectors of a row, k-th ones and ties included."""
         n, single = len(self.members), dense.astype(np.float32)
         bounds = single @ self.top.T
+        often = np.ascontiguousarray(single[:, self.dense])
+        of_row, of_term = np.nonzero((single > 0) & (self.column < 0))
         best = np.zeros((len(dense), k), np.float32)
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
         for block in np.argsort(-bounds.sum(0), kind="stable"):
@@ -215,9 +228,10 @@ class BlockMaxIndex:
                 continue
             a, b = block * BLOCK, min(n, (block + 1) * BLOCK)
             part = slice(self.starts[a], self.starts[b])
-            tile = np.zeros((b - a, len(self.idf)), np.float32)
-            tile[self.vector[part] - a, self.term[part]] = self.weight[part]
-            cosines = single[rows] @ tile.T
+            tile = np.zeros((b - a, len(self.dense)), np.float32)
+            column = self.column[self.term[part]]
+            tile[(self.vector[part] - a)[column >= 0], column[column >= 0]] = self.weight[part][column >= 0]
+            cosines = often[rows] @ tile.T + self.posted_products(single, rows, of_row, of_term, block, a, b - a)
             near = np.partition(cosines, b - a - k, axis=1)[:, -k:] if b - a > k else cosines
             both = np.concatenate([best[rows], near], axis=1)
             kept = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]  # the k-th one comes first
@@ -228,6 +242,18 @@ class BlockMaxIndex:
         some = cosine >= best[row, 0] - SINGLE
         return row[some], vector[some]
 
+    def posted_products(self, single: np.ndarray, rows: np.ndarray, of_row: np.ndarray, of_term: np.ndarray, block: int, a: int, width: int) -> np.ndarray:
+        """What the rarer terms of the rows add to their products with the vectors of a block, by the block's postings."""
+        place = np.full(len(single), -1)
+        place[rows] = np.arange(len(rows))
+        asked = place[of_row] >= 0
+        row, term = of_row[asked], of_term[asked]
+        start, end = self.first[block * len(self.idf) + term], self.first[block * len(self.idf) + term + 1]
+        each = end - start
+        at = self.posted[np.repeat(start - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
+        cell = np.repeat(place[row] * width, each) + self.vector[at] - a
+        return np.bincount(cell, np.repeat(single[row, term], each) * self.weight[at], minlength=len(rows) * width).reshape(len(rows), width).astype(np.float32)
+
     def nearest_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list | None = None, k: int = K) -> list[list[tuple[float, int]]]:
         """For each vector (cosine, example) of the k nearest, ties to the earlier example; without: marks whose examples are left out."""
         out: list[list[tuple[float, int]]] = []
