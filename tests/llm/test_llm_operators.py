@@ -349,7 +349,9 @@ def test_terms_with_equal_counts_are_kept_apart(spark):
     assert toxicity.covers("vile*", "vileaaa", 2) and not toxicity.covers("vileaaa*", "vilea*", 1) and not toxicity.covers("vile*", "vilea*", 2)
 
 
-def test_nearest_with_equal_vectors_and_hidden_examples():
+@pytest.mark.parametrize("dense", [toxicity.DENSE, 8, 1])  # 1: all terms by postings
+def test_nearest_with_equal_vectors_and_hidden_examples(monkeypatch, dense):
+    monkeypatch.setattr(toxicity, "DENSE", dense)
     rng = np.random.default_rng(8)
     vectors = [(np.array([t]), np.array([1.0])) for t in (0, 1) for _ in range(40)] + [(np.sort(rng.choice(12, 5, replace=False)), rng.integers(1, 4, 5).astype(float)) for _ in range(1200)]
     ids = [i // 2 for i in range(len(vectors))]  # every id twice
