@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import fields as R
 from quillstone.functions import text as T
-from quillstone.operators import coverage, grounding, intervals, nearest, shield, suppression
+from quillstone.operators import coverage, grounding, intervals, nearest, quantiles, shield, suppression
 from quillstone.sources import files
 from quillstone.streaming import quotas, reservations, scanner, sessions
 
@@ -149,6 +149,15 @@ def test_breakdown_hides_as_much_as_one_after_another(spark):
         assert {k for k, c in got.items() if c == "hidden"} == names
 
 
+def test_medians(spark):
+    import statistics
+
+    r = random.Random(9)
+    rows = [(f"g{n}", float(r.randrange(n + 3))) for n in (1, 2, 3, 10, 2001, 2500) for _ in range(n)] + [("g1", None), ("none", None)]
+    got = {x.g: x.median for x in quantiles.medians(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    assert got == {g: statistics.median([v for k, v in rows if k == g and v is not None]) for g in got} and len(got) == 6
+
+
 def test_intervals(spark):
     df = spark.createDataFrame([("a", 1, 3), ("a", 3, 5), ("a", 2, 4), ("a", 7, 8), ("b", 0, 1)], "k string, start long, end long")
     assert sorted(map(tuple, intervals.merged(df, "k").collect())) == [("a", 1, 5), ("a", 7, 8), ("b", 0, 1)]
