@@ -194,17 +194,17 @@ class BlockMaxIndex:
                 self.members.append([])
             self.members[n].append(i)
         self.starts = np.cumsum([0, *(len(t) for t, _ in rows)])
-        self.term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in rows)]).astype(np.int64)
+        self.term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in rows)]).astype(np.int32)
         self.weight = np.concatenate([np.zeros(0), *(w for _, w in rows)])
-        self.vector = np.repeat(np.arange(len(rows)), np.diff(self.starts))
+        self.vector = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(self.starts))
         # terms that many vectors have are columns of dense tiles, the others postings by block and term
         self.dense = np.flatnonzero(np.bincount(self.term, minlength=len(idf)) * DENSE > len(rows))
         self.column = np.full(len(idf), -1)
         self.column[self.dense] = np.arange(len(self.dense))
         rare = np.flatnonzero(self.column[self.term] < 0)
-        key = self.vector[rare] // BLOCK * len(idf) + self.term[rare]
+        key = self.vector[rare].astype(np.int64) // BLOCK * len(idf) + self.term[rare]
         by_key = np.argsort(key, kind="stable")
-        self.posted = rare[by_key]
+        self.posted = rare[by_key].astype(np.int32)
         self.first = np.searchsorted(key[by_key], np.arange(-(-len(rows) // BLOCK) * len(idf) + 1))
         self.top = np.zeros((-(-len(rows) // BLOCK), len(idf)), np.float32)
         np.maximum.at(self.top, (self.vector // BLOCK, self.term), self.weight.astype(np.float32))
@@ -348,7 +348,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     some = known.where(F.size("terms") > 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
     chosen = written(some.select("doc_id", "toxic", "terms", "counts", "mark"), "examples")
     rows = chosen.toArrow().combine_chunks()  # at most EXAMPLES short vectors, as arrays
-    as_vector = lambda t, c: (np.array(t, np.int64), np.array(c, np.float64))
     index = BlockMaxIndex(rows.column("doc_id").to_pylist(), rows.column("toxic").to_pylist(), list_vectors(rows), idf, rows.column("mark").to_pylist())
     n_examples = rows.num_rows
     del rows
@@ -373,11 +372,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
 
     def score(batches):
         index = opened(sent.value)
-        for batch in batches:
-            keys = [(tuple(t), tuple(c)) for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
-            # equal vectors of a batch, copies among them, are looked up once
-            asked = [key for key in dict.fromkeys(keys) if key[0] and index.ids]
-            found = dict(zip(asked, index.nearest_all([as_vector(*key) for key in asked]), strict=True))
+        for batch in (whole.slice(i, TOGETHER * 2) for whole in batches for i in range(0, whole.num_rows, TOGETHER * 2)):
+            vectors = list_vectors(batch)
+            keys = [(t.tobytes(), c.tobytes()) for t, c in vectors]
+            # equal vectors of a slice, copies among them, are looked up once
+            asked = {key: v for key, v in zip(keys, vectors, strict=True) if key[0] and index.ids}
+            found = dict(zip(asked, index.nearest_all(list(asked.values())), strict=True))
             seen = {}
             for key in dict.fromkeys(keys):
                 near = found.get(key, [])
