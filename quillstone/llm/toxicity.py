@@ -193,6 +193,9 @@ class BlockMaxIndex:
                 rows.append((t, w))
                 self.members.append([])
             self.members[n].append(i)
+        vector_of = {e: n for n, some in enumerate(self.members) for e in some}
+        #: How many different vectors the examples of each mark have: one for copies, however many they are.
+        self.n_vectors = {mark: len({vector_of[e] for e in some}) for mark, some in self.places.items()}
         self.starts = np.cumsum([0, *(len(t) for t, _ in rows)])
         self.term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in rows)]).astype(np.int32)
         self.weight = np.concatenate([np.zeros(0), *(w for _, w in rows)])
@@ -259,13 +262,14 @@ class BlockMaxIndex:
         out: list[list[tuple[float, int]]] = []
         for at in range(0, len(vectors), TOGETHER):
             group = vectors[at : at + TOGETHER]
-            hidden = [set(self.places.get(i, [])) if i is not None else set() for i in (without or [None] * len(vectors))[at : at + TOGETHER]]
+            marks = (without or [None] * len(vectors))[at : at + TOGETHER]
+            hidden = [set(self.places.get(i, [])) if i is not None else set() for i in marks]
             dense = np.zeros((len(group), len(self.idf)))
             for i, v in enumerate(group):
                 terms, weights = self.unit(*v)
                 dense[i, terms] = weights
-            # hidden examples take at most as many vectors away as they are
-            row, vector = self.candidates(dense, k + max(map(len, hidden)))
+            # hidden examples take their different vectors away at most
+            row, vector = self.candidates(dense, k + max(self.n_vectors.get(i, 0) for i in marks))
             each = self.starts[vector + 1] - self.starts[vector]
             where = np.repeat(self.starts[vector] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
             pair = np.repeat(np.arange(len(row)), each)
