@@ -16,6 +16,7 @@ MODULES = {
     "op10_near_duplicates": "neardup",
     "op3_toxicity": "toxicity",
     "op5_lm_score": "ppm",
+    "op13_merkle_manifest": "manifest",
 }
 
 
