@@ -17,6 +17,7 @@ MODULES = {
     "op3_toxicity": "toxicity",
     "op5_lm_score": "ppm",
     "op13_merkle_manifest": "manifest",
+    "op11_periodic_runs": "runs",
 }
 
 
