@@ -18,6 +18,7 @@ MODULES = {
     "op5_lm_score": "ppm",
     "op13_merkle_manifest": "manifest",
     "op11_periodic_runs": "runs",
+    "op12_ngram_jaccard": "jaccard",
 }
 
 
