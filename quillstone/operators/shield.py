@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
+from quillstone.operators import reading
+from quillstone.operators.automaton import Matcher, apart
 
 _D = r"\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4}"
 _NAME = r"[A-ZÀ-ÞĐ][\w'’-]+(?: [A-ZÀ-ÞĐ][\w'’-]+){0,3}"
@@ -41,69 +42,126 @@ COLON = {"NAME", "ADDRESS"}
 PATTERNS = [(kind, rf"(?i:(?<!\w)(?:{'|'.join(labels)})) ?{':' if kind in COLON else '[:#]?'} ?({value})") for kind, (labels, value) in LABELLED.items()] + list(PLAIN.items())
 
 
-def canonical(text: str) -> tuple[str, bool]:
-    """The text in compatibility form without marks that do not show, and whether anything changed."""
-    plain = "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf")
-    return plain, plain != text
-
-
 def letters(n: Column) -> Column:
     """0 to A, 25 to Z, 26 to AA: bijective base 26, up to seven letters."""
     step = lambda s, _: F.when(s["n"] > 0, F.struct(F.floor((s["n"] - 1) / 26).alias("n"), F.concat(F.chr(65 + (s["n"] - 1) % 26), s["out"]).alias("out"))).otherwise(s)
     return F.aggregate(F.sequence(F.lit(1), F.lit(7)), F.struct((n + 1).cast("long").alias("n"), F.lit("").alias("out")), step, lambda s: s["out"])
 
 
+#: Parts of names that are words of their own.
+NO_PART = {"the", "and", "de", "del", "la", "las", "los", "van", "von", "da", "du", "jr", "sr", "ii", "iii", "may", "will", "rose", "mark"}
+
+
+def name_parts(name: str) -> Iterator[tuple[int, str]]:
+    """(place, part) of the parts of a name that give the person away on their own."""
+    words = list(re.finditer(r"[^\s,]+", name))
+    if len(words) > 1:
+        for m in words:
+            part = m.group().strip(".'’-")
+            if len(part) > 1 and part.lower() not in NO_PART:
+                yield m.start() + m.group().index(part), part
+
+
+def identified(text: str) -> Iterator[tuple[str, str, int]]:
+    """(kind, value, place) of what a canonical text identifies, in its lines, by its layout, and the parts of names."""
+    from quillstone.operators import layout
+
+    known = [(kind, m.group(m.lastindex), m.start(m.lastindex)) for kind, pattern in PATTERNS for m in re.finditer(pattern, text)]
+    known += [(kind, text[a:b], a) for kind, a, b in layout.placed_values(text)]
+    for kind, value, at in known:
+        yield kind, value, at
+        if kind == "NAME":
+            yield from (("NAME", part, at + shift) for shift, part in name_parts(value))
+
+
 def learnt(turns: DataFrame, session: str, order: str) -> DataFrame:
     """session, kind, value, token: what a session's turns identify, numbered by kind in order of appearance.
 
-    Detection is a narrow pass; only the found values are shuffled.
+    Values are those of the canonical texts; refused texts give none. Detection is a narrow pass; only the found values
+    are shuffled.
     """
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for s, at, text in zip(frame[session], frame[order], frame["text"], strict=True):
-                for kind, pattern in PATTERNS:
-                    rows += [(s, kind, m.group(m.lastindex), at, m.start(m.lastindex)) for m in re.finditer(pattern, text or "")]
+                form = reading.canonical(text or "")
+                rows += [(s, kind, value, at, place) for kind, value, place in identified(form.text)]
             yield pd.DataFrame(rows, columns=[session, "kind", "value", "turn_at", "place"])
 
     kinds = dict(turns.dtypes)
     found = turns.select(session, order, "text").mapInPandas(find, f"{session} {kinds[session]}, kind string, value string, turn_at {kinds[order]}, place int")
     first = found.groupBy(session, "kind", "value").agg(F.min(F.struct("turn_at", "place")).alias("first"))
-    ranked = first.selectExpr("*", f"row_number() OVER (PARTITION BY {session}, kind ORDER BY first, value) - 1 AS n")
+    ranked = first.selectExpr("*", f"row_number() OVER (PARTITION BY {session}, kind ORDER BY first, length(value) DESC, value) - 1 AS n")
     return ranked.select(session, "kind", "value", F.concat(F.lit("⟦"), "kind", F.lit("_"), letters(F.col("n")), F.lit("⟧")).alias("token"))
 
 
+SEGMENTS = "array<struct<start:int,end:int,r_start:int,r_end:int,token:string,value:string>>"
+
+
+def whole(text: str, start: int, end: int) -> bool:
+    """Whether no letter or digit goes on over either edge."""
+    return not (start and WORD.match(text[start - 1]) and WORD.match(text[start]) or end < len(text) and WORD.match(text[end - 1]) and WORD.match(text[end]))
+
+
+WORD = re.compile(r"\w")
+
+
+def redact(form: reading.Reading, machine: Matcher, tokens: dict[str, str]) -> tuple[str, list[dict]]:
+    """The canonical text with tokens for values, and the segments that they stand for, in raw offsets.
+
+    Overlaps go to the earliest, then the longest; what a later value has beyond it is hidden under that value's token.
+    """
+    text, out, segments, last, size = form.text, [], [], 0, 0
+    held = {}
+    for a, b, s in machine.hits(text):
+        if whole(text, a, b):
+            held[a, b] = s
+    for a, b, rest in apart([(a, b, s) for (a, b), s in held.items()]):
+        token = tokens[rest] if rest in tokens else next(tokens[s] for (_, end), s in held.items() if end == b and s.endswith(rest))
+        raw = form.raw_range(a, b)
+        out += [text[last:a], token]
+        size += a - last
+        segments.append({"start": raw[0], "end": raw[1], "r_start": size, "r_end": size + len(token), "token": token, "value": rest})
+        size, last = size + len(token), b
+    return "".join([*out, text[last:]]), segments
+
+
 def shield(turns: DataFrame, session: str, order: str) -> DataFrame:
-    """session, order, redacted, segments (start, end, r_start, r_end, token): every use of a learnt value is hidden.
+    """session, order, redacted, segments (start, end, r_start, r_end, token, value), refused: learnt values are hidden.
 
-    Overlaps go to the earliest, then the longest.
+    A text is searched and passed on in its canonical form; start and end are offsets of the raw text. A text that has
+    no safe form is not passed on: redacted is null and refused says why. All values of a session are found in one pass
+    over a text by an automaton that is built once a session; the rows of a session follow each other after the join.
     """
     known = learnt(turns, session, order).groupBy(session).agg(F.collect_list(F.struct("value", "token")).alias("known"))
     rows = turns.select(session, order, "text").join(known, session, "left")
 
     def hide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, machine, tokens = None, Matcher([]), {}
         for frame in frames:
-            redacted, segments = [], []
-            for text, some in zip(frame["text"], frame["known"], strict=True):
-                text = text or ""
-                tokens = {k["value"]: k["token"] for k in some} if some is not None else {}
-                out, shift, here = [], 0, []
-                last = 0
-                if tokens:
-                    either = "|".join(re.escape(v) for v in sorted(tokens, key=len, reverse=True))
-                    for m in re.finditer(rf"(?<!\w)(?:{either})(?!\w)", text):
-                        token = tokens[m.group()]
-                        out += [text[last : m.start()], token]
-                        here.append({"start": m.start(), "end": m.end(), "r_start": m.start() + shift, "r_end": m.start() + shift + len(token), "token": token})
-                        shift += len(token) - len(m.group())
-                        last = m.end()
-                redacted.append("".join([*out, text[last:]]))
+            redacted, segments, refused = [], [], []
+            for s, text, some in zip(frame[session], frame["text"], frame["known"], strict=True):
+                if s != of:
+                    tokens = {k["value"]: k["token"] for k in some} if some is not None else {}
+                    of, machine = s, Matcher(tokens)
+                form = reading.canonical(text or "")
+                hidden, here = redact(form, machine, tokens)
+                redacted.append(hidden if form.refused is None else None)
                 segments.append(here)
-            yield frame[[session, order]].assign(redacted=redacted, segments=segments)
+                refused.append(form.refused)
+            yield frame[[session, order]].assign(redacted=redacted, segments=segments, refused=refused)
 
     kinds = dict(turns.dtypes)
-    return rows.mapInPandas(hide, f"{session} {kinds[session]}, {order} {kinds[order]}, redacted string, segments array<struct<start:int,end:int,r_start:int,r_end:int,token:string>>")
+    return rows.mapInPandas(hide, f"{session} {kinds[session]}, {order} {kinds[order]}, redacted string, segments {SEGMENTS}, refused string")
+
+
+def unredacted(hidden: DataFrame) -> DataFrame:
+    """hidden (of shield) with column text: the canonical text again, from the segments alone."""
+    step = lambda s, g: F.struct(F.concat(s["text"], F.substring(F.col("redacted"), s["at"] + 1, g["r_start"] - s["at"]), g["value"]).alias("text"), g["r_end"].alias("at"))
+    done = F.aggregate("segments", F.struct(F.lit("").alias("text"), F.lit(0).alias("at")), step)
+    rest = F.expr("substring(redacted, done.at + 1, length(redacted))")
+    return hidden.withColumn("done", done).withColumn("text", F.concat("done.text", rest)).drop("done")
 
 
 def restore(redacted: DataFrame, known: DataFrame, session: str) -> DataFrame:
@@ -125,18 +183,6 @@ def to_original(segments, at):
     )
 
 
-def canonical_texts(df: DataFrame, column: str = "text") -> DataFrame:
-    """df with the column in canonical form, changed, and refused: the letters that keep a text from being read safely."""
-
-    @F.pandas_udf("text string, changed boolean")
-    def read(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([canonical(t) if t is not None else (None, False) for t in texts], columns=["text", "changed"])
-
-    got = df.withColumn("_read", read(F.col(column)))
-    refused = F.when(T.unreadable(F.col("_read.text")), "foreign_letters")
-    return got.withColumn(column, F.col("_read.text")).withColumns({"changed": F.col("_read.changed"), "refused": refused}).drop("_read")
-
-
 def shield_fields(df: DataFrame, session: str, order: str, fields: list[str]) -> DataFrame:
     """session, order and the fields redacted: a value learnt in any field of a session is hidden in all of them."""
     cells = df.select(session, order, F.posexplode(F.array(*[F.col(f) for f in fields])).alias("field", "text"))

@@ -41,6 +41,17 @@ def test_grounded_slices_normalise_to_their_fragment():
             assert grounding.mapped(source[span[0] : span[1]])[0].strip("\"' ") == grounding.parts(quote)[0]
 
 
+def test_matcher_stays_within_two_steps_a_unit():
+    for text, part in (("a" * 40_000, "a" * 600), ("ab" * 20_000, "ab" * 300 + "c"), ("aab" * 13_000, "aabaaa"), ("x" * 40_000, "y" * 600)):
+        count = [0]
+        places = list(grounding.occurrences(text, part, 0, count))
+        assert places == [m.start() for m in re.finditer(f"(?={part})", text)] if len(part) < 10 else True
+        assert 0 < count[0] <= 2 * (len(text) + len(part))
+    source = grounding.Source("a" * 40_000)
+    assert grounding.find_span(source, "a" * 600) is None  # inside a word at every place
+    assert grounding.occurrences("abc", "") and list(grounding.occurrences("abc", "")) == []
+
+
 def test_grounding_across_loses_nothing(spark, monkeypatch):
     texts = ["彼は日本語を話します。", "ὁδός ΟΔΟΣ end", "unbreakable", "one two three four", None, "", "the the the"]
     quotes = ["日本語", "οδος", "break", "two three", "the the", "missing here", None]
