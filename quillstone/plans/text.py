@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.operators import coverage, grounding, shield
+from quillstone.operators import alignment, coverage, grounding, reading, shield
 from quillstone.plans.registry import query
 from quillstone.session import table
 from quillstone.streaming import scanner
@@ -228,29 +228,67 @@ def verified_stream_items(spark, sf_dir: str) -> DataFrame:
     return sessions.verified_items(scanner.scanned(chunks, "conv_id", "seq"), sources, "conv_id").select("conv_id", "pos", "status")
 
 
-@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'NAME' WHEN 1 THEN 'MEMBER' WHEN 2 THEN 'AGE' END AS kinds FROM customer")
-def labelled_identifiers(spark, sf_dir: str) -> DataFrame:
-    """Identifiers by their labels, titles and ages from 90 on; what looks alike but is none stays."""
-    k = F.col("c_custkey")
-    told = F.when(k % 4 == 0, "Seen by Dr. Maria Gomez today").when(k % 4 == 1, F.concat(F.lit("Póliza: AB "), k + 10000)).when(k % 4 == 2, "She is 94 years old").otherwise("Take 94 mg, room 12")
-    turns = table(spark, sf_dir, "customer").select("c_custkey", F.lit(0).alias("turn"), told.alias("text"))
-    found = shield.learnt(turns, "c_custkey", "turn").groupBy("c_custkey").agg(F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))
-    return turns.select("c_custkey").join(found, "c_custkey", "left")
+MEMBER = "SELECT p_partkey, regexp_replace(p_name, '(^| )([a-z])', '\\1\\2', 'g') AS p_name, p_partkey + 1000000 AS mrn, (p_partkey % 12 + 1) || '/' || (p_partkey % 28 + 1) || '/' || (1930 + p_partkey % 70) AS dob FROM part"
 
 
-@query("SELECT c_custkey, c_custkey % 3 > 0 AS changed, CASE WHEN c_custkey % 3 = 2 THEN 'foreign_letters' END AS refused FROM customer")
+@query(f"""WITH m AS (SELECT *, list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]) AS w FROM ({MEMBER}))
+SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(['DOB=' || dob, 'MRN=' || mrn, 'NAME=' || array_to_string(w, ' ')], CASE WHEN len(w) > 1 THEN list_transform(w, lambda x: 'NAME=' || x) ELSE [] END))), '; ') AS found FROM m""")
+def labelled_identifiers(spark, sf_dir: str) -> DataFrame:
+    """Names, dates and numbers of parts' records in five layouts: beside, below and across labels, in tables, disguised."""
+    k = F.col("p_partkey")
+    name, mrn = F.initcap("p_name"), (k + 1000000).cast("string")
+    dob = F.concat_ws("/", k % 12 + 1, k % 28 + 1, 1930 + k % 70)
+    wide = F.translate(mrn, "0123456789", "０１２３４５６７８９")
+    forms = F.array(
+        F.concat(F.lit("Patient: "), name, F.lit("\nDOB: "), dob, F.lit(", MRN "), mrn),
+        F.concat(F.lit("Patient name:\n"), name, F.lit("\nDOB:\n"), dob, F.lit("\nMRN:\n"), mrn),
+        F.concat(F.lit("Patient: "), name, F.lit("\nseen, Date of\nBirth: "), dob, F.lit("\nMedical Record\nNumber: "), mrn),
+        F.concat(F.lit("Name                DOB          MRN\n"), name, F.lit("     "), dob, F.lit("     "), mrn),
+        F.concat(F.lit("\ufeffPatient\u200b: "), name, F.lit("\nDOB\u200b: "), dob, F.lit("\nＭＲＮ： "), wide),
+    )
+    turns = table(spark, sf_dir, "part").select("p_partkey", F.lit(0).alias("turn"), F.element_at(forms, (k % 5 + 1).cast("int")).alias("text"))
+    found = shield.learnt(turns, "p_partkey", "turn").select("p_partkey", F.concat_ws("=", "kind", "value").alias("v"))
+    return found.groupBy("p_partkey").agg(F.array_join(F.sort_array(F.collect_set("v")), "; ").alias("found"))
+
+
+_MAIL = "regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')"
+_MARKS = "(length(regexp_replace({0}, '[^.,]', '', 'g')))"
+
+
+@query(f"""WITH m AS (SELECT doc_id, text, {_MAIL} AS mail, instr(text, {_MAIL}) - 1 AS place FROM documents)
+SELECT doc_id, md5(text) AS digest, length(regexp_replace(text, '[^.,0-9]', '', 'g')) AS n_edits, NULL::VARCHAR AS refused,
+  CASE WHEN mail <> '' THEN place + {_MARKS.format("text[1:place]")} END AS mail_start, CASE WHEN mail <> '' THEN place + length(mail) + {_MARKS.format("text[1:place + length(mail) - 1]")} END AS mail_end FROM m""")
 def canonical_texts(spark, sf_dir: str) -> DataFrame:
-    """Texts in one form before they are searched for identifiers; mixed-in letters of other scripts are refused."""
-    k = F.col("c_custkey") % 3
-    raw = F.when(k == 0, "plain text").when(k == 1, "ﬁrst​name １２").otherwise("nаme​ with a Cyrillic letter")
-    return shield.canonical_texts(table(spark, sf_dir, "customer").select("c_custkey", raw.alias("text"))).select("c_custkey", "changed", "refused")
+    """Documents with hidden characters before their marks and wide digits, read in one form; places lead back to the raw text."""
+    raw = F.translate(F.regexp_replace("text", "([.,])", "\u200b$1"), "0123456789", "０１２３４５６７８９")
+    got = reading.canonical_texts(docs(spark, sf_dir).select("doc_id", raw.alias("text")))
+    mail = F.regexp_extract("text", T.EMAIL, 0)
+    at = F.when(mail != "", F.instr(F.col("text"), mail) - 1)
+    back = lambda x: F.when(x.isNotNull(), reading.raw_offset(F.col("edits"), x)).cast("long")
+    return got.select("doc_id", F.md5("text").alias("digest"), F.size("edits").cast("long").alias("n_edits"), "refused", back(at).alias("mail_start"), (back(at + F.length(mail) - 1) + 1).alias("mail_end"))
 
 
-@query("SELECT kind, planted, CASE WHEN kind = 'keep' THEN 0 ELSE planted END AS caught, 0::BIGINT AS false_hides FROM (SELECT unnest(['NAME', 'MRN', 'EMAIL', 'keep']) AS kind, count(*) AS planted FROM customer)")
+@query("SELECT kind, count(*) AS planted, CASE WHEN kind = 'keep' THEN 0 ELSE count(*) END AS caught, 0::BIGINT AS false_hides FROM documents, (VALUES ('NAME'), ('MRN'), ('DOB'), ('keep')) v(kind) WHERE kind <> 'DOB' OR doc_id % 2 = 0 GROUP BY kind")
 def planted_identifiers(spark, sf_dir: str) -> DataFrame:
-    """Planted identifiers that the shield hides, and look-alikes that it leaves alone."""
-    text = F.concat(F.lit("Patient: {{NAME|Ana Lopez}}, MRN {{MRN|"), F.col("c_custkey") + 100000, F.lit("}}; write {{EMAIL|ana@example.org}} about [[dose|500 mg]]."))
-    marked = table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))
-    plants = shield.planted(marked, "c_custkey")
-    hidden = shield.shield(plants.select("c_custkey", F.lit(0).alias("turn"), "text"), "c_custkey", "turn")
-    return shield.hide_rates(plants, hidden, "c_custkey")
+    """Identifiers planted behind every document's own text that the shield hides, and look-alikes that it leaves alone."""
+    key = (F.col("doc_id") + 1000000).cast("string")
+    name = F.concat(F.lit("Ana Zq"), F.translate(F.col("doc_id").cast("string"), "0123456789", "abcdefghij"))
+    form = F.when(
+        F.col("doc_id") % 2 == 0, F.concat(F.lit("\nName          MRN          DOB\n{{NAME|"), name, F.lit("}}   {{MRN|"), key, F.lit("}}   {{DOB|3/4/1950}}"))
+    ).otherwise(F.concat(F.lit("\nPatient: {{NAME|"), name, F.lit("}}\nMRN\u200b: {{MRN|"), F.translate(key, "0123456789", "０１２３４５６７８９"), F.lit("}}")))
+    marked = docs(spark, sf_dir).select("doc_id", F.concat(F.regexp_replace("text", "\\{\\{|\\[\\[", "("), form, F.lit("\nTake [[dose|500 mg]] at noon.")).alias("text"))
+    plants = shield.planted(marked, "doc_id")
+    hidden = shield.shield(plants.select("doc_id", F.lit(0).alias("turn"), "text"), "doc_id", "turn")
+    return shield.hide_rates(plants, hidden, "doc_id")
+
+
+@query()
+def lines_on_photo(spark, sf_dir: str) -> DataFrame:
+    """Every clause of every document found again among the words of a damaged copy: words lost, misread and added."""
+    hurt = lambda w, i, n: (
+        F.when((i + n) % 13 == 5, F.lit(None).cast("string")).when(((i + n) % 7 == 3) & (F.length(w) >= 8), F.concat(F.substring(w, 1, 3), F.lit("x"), F.substring(w, F.lit(5), F.length(w)))).when((i + n) % 17 == 4, F.concat(w, F.lit(" ~ zz"))).otherwise(w)
+    )
+    lines = F.split("text", "\n")
+    damaged = F.flatten(F.transform(lines, lambda x, n: F.transform(F.split(F.array_join(F.transform(F.filter(F.split(x, "\\s+"), lambda w: w != ""), lambda w, i: hurt(w, i, n)), " "), " "), lambda w: F.struct(w.alias("text"), n.alias("line")))))
+    rows = docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", "text", alignment.clauses_as_quotes("text").alias("quotes"), F.filter(damaged, lambda w: w["text"] != "").alias("read"))
+    return alignment.place_quotes(rows, "doc_id").select("doc_id", "pos", "status", "first", "last", "matched", "total")
