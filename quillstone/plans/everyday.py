@@ -265,12 +265,15 @@ def short_quotes(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", T.short_quote(F.col("text"), 72).alias("short"))
 
 
-@query("""SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE contains(text, b.q) END AS found FROM documents, (SELECT text AS q FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)) b""")
+@query("SELECT doc_id, CASE WHEN text IS NOT NULL THEN (SELECT count(*) FROM benchmark b WHERE contains(d.text, b.text)) END AS n_found FROM documents d")
 def quote_on_page(spark, sf_dir: str) -> DataFrame:
-    """Whether a page holds a quote: true, false, or null where there is no page."""
-    b = table(spark, sf_dir, "benchmark")
-    q = b.agg(F.min_by("text", "item_id").alias("q"))  # one row
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(q)).select("doc_id", F.when(F.col("text").isNotNull(), F.contains("text", "q")).alias("found"))
+    """How many of all quotes a page holds; null where there is no page."""
+    from quillstone.operators import grounding
+
+    d, b = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    found = grounding.ground_across(d, "doc_id", b, "item_id").where("exact").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    known = d.select("doc_id", F.col("text").isNotNull().alias("there")).join(found, "doc_id", "left")
+    return known.select("doc_id", F.when(F.col("there"), F.coalesce("n", F.lit(0))).alias("n_found"))
 
 
 @query("""WITH c AS (SELECT c_custkey, '404-555-' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') AS p FROM customer) SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN p WHEN 1 THEN '404-555-0001' END AS target FROM c""")
@@ -366,10 +369,10 @@ def current_steps(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(pick(F.col("event_type").isin("purchase", "signup")).alias("booked"), pick(F.col("event_type") != "view").alias("current"))
 
 
-@query("SELECT o_orderkey, o_custkey, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'P'")
+@query("SELECT o_orderkey, o_custkey, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 def lookups_by_id(spark, sf_dir: str) -> DataFrame:
     """Look-ups by id; the optimizer broadcasts the dimension by its size."""
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
     return o.join(c, "o_custkey").join(table(spark, sf_dir, "nation"), "n_nationkey").select("o_orderkey", "o_custkey", "n_name")
 
@@ -392,11 +395,11 @@ def sealed_names(spark, sf_dir: str) -> DataFrame:
     return s.select("c_custkey", R.opened(F.col("s"), key, row).alias("again"), R.opened(F.col("s"), key, F.concat(row, F.lit("x"))).isNull().alias("bound"))
 
 
-@query("SELECT o_orderkey, strftime(d, '%Y%m%dT090000') AS starts, strftime(d, '%A, %B %-d') AS shown FROM (SELECT o_orderkey, unnest(range(o_orderdate::DATE + INTERVAL 1 DAY, o_orderdate::DATE + INTERVAL 4 DAY, INTERVAL 1 DAY)) AS d FROM orders WHERE o_orderstatus = 'P')")
+@query("SELECT o_orderkey, strftime(d, '%Y%m%dT090000') AS starts, strftime(d, '%A, %B %-d') AS shown FROM (SELECT o_orderkey, unnest(range(o_orderdate::DATE + INTERVAL 1 DAY, o_orderdate::DATE + INTERVAL 4 DAY, INTERVAL 1 DAY)) AS d FROM orders)")
 def calendar_options(spark, sf_dir: str) -> DataFrame:
     """The next three days as calendar starts and as texts."""
     day = F.to_date("o_orderdate")
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey", F.explode(F.sequence(F.date_add(day, 1), F.date_add(day, 3))).alias("d"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.sequence(F.date_add(day, 1), F.date_add(day, 3))).alias("d"))
     return o.select("o_orderkey", F.date_format("d", "yyyyMMdd'T090000'").alias("starts"), F.date_format("d", "EEEE, MMMM d").alias("shown"))
 
 
@@ -407,3 +410,52 @@ def speech_chunks(spark, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", t.alias("t"), T.chunks(t, 300).alias("c"))
     words = F.aggregate("c", F.lit(0), lambda n, x: n + F.size(F.split(x, " ")))
     return d.select("doc_id", F.greatest(F.lit(1), words).cast("long").alias("n_words"), F.ceil(F.length("t") / 15.0).alias("seconds"))
+
+
+_HOUR = "(c_custkey % 5 + 6)"
+_DAYS = "['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday']"
+
+
+@query(f"""WITH c AS (SELECT c_custkey, c_custkey % 7 AS a, (c_custkey // 7) % 7 AS b, (c_custkey // 49) % 7 AS x, c_custkey % 4 AS kind, {_HOUR} AS opens, c_custkey % 6 + 13 AS closes FROM customer),
+d AS (SELECT *, unnest(range(0, 7)) AS day FROM c),
+r AS (SELECT *, (day - a + 7) % 7 <= (b - a + 7) % 7 AS inside, a <> b AND x = day AND kind > 0 AND (day - a + 7) % 7 <= (b - a + 7) % 7 AS special FROM d)
+SELECT c_custkey, day::INT AS day, CASE WHEN special AND kind = 1 THEN 'closed' WHEN special AND kind = 2 THEN 'closing' WHEN special THEN 'opening' WHEN inside THEN NULL
+  WHEN day = x AND kind IN (1) THEN 'closed' WHEN day = x AND kind = 2 THEN 'opening' WHEN day = x AND kind = 3 THEN 'opening' ELSE 'other_day' END AS reason FROM r WHERE NOT (a = b AND x = a)""")
+def hours_in_quotes(spark, sf_dir: str) -> DataFrame:
+    """Whether each day's stated hours follow from a customer's sentence: ranges round the week, narrower parts, closed days."""
+    from quillstone.functions import hours
+
+    k = F.col("c_custkey")
+    name = lambda n: F.element_at(F.array(*map(F.lit, ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"))), (n + 1).cast("int"))
+    a, b, x, kind = k % 7, F.floor(k / 7) % 7, F.floor(k / 49) % 7, k % 4
+    opens, closes = k % 5 + 6, k % 6 + 13
+    wide = F.concat(name(a), F.lit(" - "), name(b), F.lit(" "), opens.cast("string"), F.lit(" a.m. – "), (closes - 12).cast("string"), F.lit("pm"))
+    narrow = F.when(kind == 0, "").when(kind == 1, F.concat(F.lit("; "), name(x), F.lit(" closed"))).when(kind == 2, F.concat(F.lit(". Open late on "), name(x), F.lit("s until 11pm"))).otherwise(F.concat(F.lit("; "), name(x), F.lit(" 5am-11pm")))
+    rows = table(spark, sf_dir, "customer").where(~((a == b) & (x == a))).select("c_custkey", F.concat(wide, narrow).alias("quote"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("day"))
+    clock = lambda h: F.concat(F.lpad(h.cast("string"), 2, "0"), F.lit(":00"))
+    return rows.select("c_custkey", "day", hours.hours_check(F.col("quote"), F.col("day"), clock(opens), clock(closes)).alias("reason"))
+
+
+_STEPS = "SELECT *, (l_suppkey + row) % 6 AS kind FROM (SELECT l_orderkey AS report, l_suppkey, l_quantity::BIGINT AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS row FROM lineitem)"
+
+
+@query(f"""SELECT report, row, CASE kind WHEN 0 THEN CASE WHEN q > 1 THEN 'days_before' ELSE 'day_before' END WHEN 2 THEN 'day_before' WHEN 3 THEN 'morning_of' END AS slot,
+  CASE kind WHEN 1 THEN 'clock_without_day' WHEN 4 THEN 'other_clause' WHEN 5 THEN NULL ELSE 'placed' END AS reason, kind = 5 AS held FROM ({_STEPS})""")
+def preparation_steps(spark, sf_dir: str) -> DataFrame:
+    """Steps of papers that are made of orders' lines: when each is due by its own sentence, and why it is not placed."""
+    from quillstone.operators import preparation
+
+    row, q, kind = F.col("row"), F.col("q"), F.col("kind")
+    said = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in p])
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_orderkey").alias("report"), F.col("l_quantity").cast("long").alias("q"), F.expr("row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)").cast("long").alias("row"))
+    lines = lines.withColumn("kind", (F.col("l_suppkey") + row) % 6)
+    line = F.element_at(
+        F.array(
+            said("Stop item ", row, " ", q, " days before your procedure."), said("Take item ", row, " at 8 PM."), said("Eat item ", row, " the day before your test."), said("Drink item ", row, " the morning of your exam."),
+            said("Take item ", row, "; stop drinking ", q % 9 + 1, " hours before your procedure."), said("Bring item ", row, "."),
+        ), (kind + 1).cast("int"),
+    )
+    quote = F.when(kind == 4, said("take item ", row)).when(kind == 5, said("Bring item ", row, "x")).otherwise(line)
+    papers = lines.select("report", F.struct("row", line.alias("line"), quote.alias("quote")).alias("s")).groupBy("report").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    papers = papers.select("report", F.array_join(F.transform("s", lambda x: x["line"]), "\n").alias("text"), F.transform("s", lambda x: F.struct(x["row"], x["quote"])).alias("steps"))
+    return preparation.prep_steps(papers, "report").select("report", "row", "slot", "reason", "held")

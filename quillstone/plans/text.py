@@ -290,5 +290,5 @@ def lines_on_photo(spark, sf_dir: str) -> DataFrame:
     )
     lines = F.split("text", "\n")
     damaged = F.flatten(F.transform(lines, lambda x, n: F.transform(F.split(F.array_join(F.transform(F.filter(F.split(x, "\\s+"), lambda w: w != ""), lambda w, i: hurt(w, i, n)), " "), " "), lambda w: F.struct(w.alias("text"), n.alias("line")))))
-    rows = docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", "text", alignment.clauses_as_quotes("text").alias("quotes"), F.filter(damaged, lambda w: w["text"] != "").alias("read"))
+    rows = docs(spark, sf_dir).where("text IS NOT NULL").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").select("doc_id", "text", alignment.clauses_as_quotes("text").alias("quotes"), F.filter(damaged, lambda w: w["text"] != "").alias("read"))
     return alignment.place_quotes(rows, "doc_id").select("doc_id", "pos", "status", "first", "last", "matched", "total")
