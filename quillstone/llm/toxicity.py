@@ -49,8 +49,9 @@ K = 16
 BLOCK = 512
 #: A term that more than one in so many vectors has is multiplied densely; postings are cheaper for the others.
 DENSE = 50
-#: Documents that are searched together.
+#: Documents that are searched together, and vectors whose neighbours a task keeps for their copies.
 TOGETHER = 512
+KNOWN = 10_000
 #: More than the error of a cosine of unit vectors in single precision; what it leaves open is computed in double.
 SINGLE = 1e-4
 #: Weight of the prior in a vote.
@@ -178,6 +179,7 @@ class BlockMaxIndex:
     def __init__(self, ids: list, toxic: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, marks: list | None = None):
         """marks: what examples are hidden by, the same for copies; their ids if None."""
         order = sorted(range(len(ids)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1] * idf[vectors[i][0]])]), ids[i]))
+        self.tiles: dict[int, np.ndarray] = {}
         self.idf, self.ids, self.toxic = idf, [ids[i] for i in order], np.array([toxic[i] for i in order], np.float64)
         self.places: dict = {}
         for i, o in enumerate(order):
@@ -230,21 +232,33 @@ class BlockMaxIndex:
             if not len(rows):
                 continue
             a, b = block * BLOCK, min(n, (block + 1) * BLOCK)
-            part = slice(self.starts[a], self.starts[b])
-            tile = np.zeros((b - a, len(self.dense)), np.float32)
-            column = self.column[self.term[part]]
-            tile[(self.vector[part] - a)[column >= 0], column[column >= 0]] = self.weight[part][column >= 0]
-            cosines = often[rows] @ tile.T + self.posted_products(single, rows, of_row, of_term, block, a, b - a)
+            cosines = often[rows] @ self.tile(block).T + self.posted_products(single, rows, of_row, of_term, block, a, b - a)
+            # most blocks hold nothing that is nearer than what most rows have by then
+            some = np.flatnonzero(cosines.max(1) > np.maximum(best[rows, 0] - SINGLE, 0))
+            if not len(some):
+                continue
+            rows, cosines = rows[some], cosines[some]
             near = np.partition(cosines, b - a - k, axis=1)[:, -k:] if b - a > k else cosines
             both = np.concatenate([best[rows], near], axis=1)
             kept = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]  # the k-th one comes first
             best[rows] = kept
-            i, j = np.nonzero((cosines > 0) & (cosines >= kept[:, :1] - SINGLE))
+            i, j = np.nonzero(cosines >= np.maximum(kept[:, :1] - SINGLE, np.finfo(np.float32).tiny))
             found.append((rows[i], j + a, cosines[i, j]))
         row, vector, cosine = (np.concatenate(c) for c in zip(*found, strict=True))
         some = cosine >= best[row, 0] - SINGLE
         return row[some], vector[some]
 
+    def tile(self, block: int) -> np.ndarray:
+        """The dense terms of a block's vectors; made once an index, all tiles have EXAMPLES x len(dense) cells."""
+        if block not in self.tiles:
+            a, b = block * BLOCK, min(len(self.members), (block + 1) * BLOCK)
+            part = slice(self.starts[a], self.starts[b])
+            tile = np.zeros((b - a, len(self.dense)), np.float32)
+            column = self.column[self.term[part]]
+            tile[(self.vector[part] - a)[column >= 0], column[column >= 0]] = self.weight[part][column >= 0]
+            self.tiles[block] = tile
+        return self.tiles[block]
+
     def posted_products(self, single: np.ndarray, rows: np.ndarray, of_row: np.ndarray, of_term: np.ndarray, block: int, a: int, width: int) -> np.ndarray:
         """What the rarer terms of the rows add to their products with the vectors of a block, by the block's postings."""
         place = np.full(len(single), -1)
@@ -271,9 +285,10 @@ class BlockMaxIndex:
             # hidden examples take their different vectors away at most
             row, vector = self.candidates(dense, k + max(self.n_vectors.get(i, 0) for i in marks))
             each = self.starts[vector + 1] - self.starts[vector]
-            where = np.repeat(self.starts[vector] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-            pair = np.repeat(np.arange(len(row)), each)
-            cosines = np.round(np.bincount(pair, dense[row[pair], self.term[where]] * self.weight[where], minlength=len(row)), 12)
+            ends = np.cumsum(each)
+            where = np.repeat(self.starts[vector] - (ends - each), each) + np.arange(int(each.sum()))
+            products = dense.ravel()[np.repeat(row * len(self.idf), each) + self.term[where]] * self.weight[where]
+            cosines = np.round(np.add.reduceat(products, ends - each), 12) if len(row) else np.zeros(0)
             order = np.lexsort((-cosines, row))
             ends = np.searchsorted(row[order], np.arange(len(group) + 1))
             for i, gone in enumerate(hidden):
@@ -283,7 +298,7 @@ class BlockMaxIndex:
                         break
                     shown = (e for e in self.members[vector[p]] if e not in gone)
                     near += [(float(cosines[p]), e) for e, _ in zip(shown, range(k), strict=False)]
-                    near.sort(key=lambda x: (-x[0], x[1]))
+                near.sort(key=lambda x: (-x[0], x[1]))
                 out.append(near[:k])
         return out
 
@@ -376,15 +391,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
 
     def score(batches):
         index = opened(sent.value)
+        known: dict[tuple, list[tuple[float, int]]] = {}
         for batch in (whole.slice(i, TOGETHER * 2) for whole in batches for i in range(0, whole.num_rows, TOGETHER * 2)):
             vectors = list_vectors(batch)
             keys = [(t.tobytes(), c.tobytes()) for t, c in vectors]
-            # equal vectors of a slice, copies among them, are looked up once
-            asked = {key: v for key, v in zip(keys, vectors, strict=True) if key[0] and index.ids}
-            found = dict(zip(asked, index.nearest_all(list(asked.values())), strict=True))
+            # equal vectors, copies among them, are looked up once as long as they are known
+            if len(known) > KNOWN:
+                known.clear()
+            asked = {key: v for key, v in zip(keys, vectors, strict=True) if key[0] and index.ids and key not in known}
+            known |= dict(zip(asked, index.nearest_all(list(asked.values())), strict=True))
             seen = {}
             for key in dict.fromkeys(keys):
-                near = found.get(key, [])
+                near = known.get(key, [])
                 # documents whose terms no example shares are as those without a term
                 vote = float(points[1][min(np.searchsorted(points[0], index.vote(near, prior) - 1e-6), len(points[0]) - 1)]) if near else without_term
                 seen[key] = min(1.0, max(0.0, vote)), [{"doc_id": index.ids[i], "cosine": s, "toxic": int(index.toxic[i])} for s, i in near]
