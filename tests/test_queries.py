@@ -137,28 +137,68 @@ def brute_shielded_turns(duck, found):
 
 
 def brute_suppressed_funnel(duck, found):
-    counts = [(k if n[3] >= 10 and k else "Other languages", *n) for k, *n in rows_of(duck, usage.COUNTS)]
-    groups = collections.defaultdict(lambda: [0] * 4)
-    for k, *n in counts:
-        groups[k] = [a + b for a, b in zip(groups[k], n, strict=True)]
-    table = [[k, *n] for k, n in sorted(groups.items(), key=lambda x: (x[0] == "Other languages", -x[1][3], x[0]))]
-    table.append(["", *[sum(r[i] for r in table) for i in range(1, 5)]])
-    gone, before = set(), -1
-    parts = [(2, 1), (4, 3), (4, 2), (3, 1)]
-    seen = lambda r, c: table[r][c] >= 10 and (r, c) not in gone
-    while before != len(gone):
-        before = len(gone)
-        gone |= set()
-        for r in range(len(table)):
-            for whole, part in parts:
-                if seen(r, whole) and seen(r, part) and table[r][whole] - table[r][part] < 10:
-                    gone.add((r, part))
-        for c in range(1, 5):
-            off = [r for r in range(len(table) - 1) if not seen(r, c)]
-            if seen(len(table) - 1, c) and off and (len(off) < 2 or sum(table[r][c] for r in off) < 10):
-                rest = [r for r in range(len(table) - 1) if seen(r, c)]
-                gone.add((min(rest, key=lambda r: table[r][c]) if rest else len(table) - 1, c))
-    return [(r[0], *["<10" if r[c] < 10 else "hidden" if (i, c) in gone else str(r[c]) for c in range(1, 5)]) for i, r in enumerate(table)]
+    """The law of what is shown: true numbers only, no small one, and none that two shown numbers give away."""
+    true = collections.defaultdict(lambda: [0] * 4)
+    for name, *n in rows_of(duck, usage.COUNTS):
+        for key in (name if n[3] >= 10 and name else "Other languages", ""):
+            true[key] = [x + y for x, y in zip(true[key], n, strict=True)]
+    shown = {(r[0], c): int(x) for r in found for c, x in enumerate(r[1:]) if x.isdigit()}
+    cells = {(r[0], c): x for r in found for c, x in enumerate(r[1:])}
+    assert {r[0] for r in found} == set(true) and all(true[k][c] == v >= 10 for (k, c), v in shown.items())
+    assert all((x == "<10") == (true[k][c] < 10) for (k, c), x in cells.items())
+
+    def gives_away(table):
+        for k in true:  # a part and its whole: booked of viewed, and so on
+            for whole, part in ((1, 0), (3, 2), (3, 1), (2, 0)):
+                if (k, whole) in table and (k, part) in table and table[k, whole] - table[k, part] < 10:
+                    return True
+        for c in range(4):  # a total and all but what is hidden of its column
+            rest = [k for k in true if k and (k, c) not in table]
+            if ("", c) in table and rest and (len(rest) == 1 or sum(true[k][c] for k in rest) < 10):
+                return True
+        return False
+
+    assert not gives_away(shown)
+    return found
+
+
+def brute_lines_on_photo(duck, found):
+    """Short documents: every clause against the whole damaged copy, cell by cell; numbers of words of the others."""
+    import unicodedata
+
+    from test_alignment import brute
+
+    def norm(w):
+        t = "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c)).lower()
+        return "".join(c for i, c in enumerate(t) if c.isalnum() or c in ".,/:-" and 0 < i < len(t) - 1 and t[i - 1].isdigit() and t[i + 1].isdigit())
+
+    def damaged(t):
+        for n, line in enumerate(t.split("\n")):
+            for i, w in enumerate(line.split()):
+                if (i + n) % 13 != 5:
+                    yield from (w[:3] + "x" + w[4:] if (i + n) % 7 == 3 and len(w) >= 8 else f"{w} ~ zz" if (i + n) % 17 == 4 else w).split(" ")
+
+    of = collections.defaultdict(dict)
+    for r in found:
+        of[r[0]][r[1]] = r
+    out = []
+    for d, t in texts(duck).items():
+        clauses = [m for m in re.finditer(r"[^\n.!?|]+[.!?|]*", t) if m.group().strip()]
+        assert sorted(of.get(d, {})) == list(range(len(clauses)))
+        if len(t) > 900 or re.search(r"-\s*\n", t):
+            out += of[d].values()
+            continue
+        ours = [(norm(m.group()), *m.span()) for m in re.finditer(r"\S+", t) if norm(m.group())]
+        raw = list(damaged(t))
+        read = [(norm(w), i) for i, w in enumerate(raw) if norm(w)]
+        names = [w for w, _, _ in ours]
+        for pos, m in enumerate(clauses):
+            inside = [i for i, (_, a, b) in enumerate(ours) if a >= m.start() and b <= m.end()]
+            a, n = (inside[0], len(inside)) if inside else (sum(x[1] < m.start() for x in ours), 0)
+            same = [i for i in range(len(names) - n + 1) if n and names[i : i + n] == names[a : a + n]]
+            got = brute([w for w, _ in read], names[a : a + n], (sum(i < a for i in same), len(same)), a / max(1, len(ours)))
+            out.append((d, pos, got, None, None, None, n) if isinstance(got, str) else (d, pos, "found", read[got[0]][1], read[got[1]][1], got[2], n))
+    return out
 
 
 def events(duck):
