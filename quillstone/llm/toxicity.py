@@ -375,6 +375,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     def opened(state: dict) -> BlockMaxIndex:
         index = BlockMaxIndex.__new__(BlockMaxIndex)
         index.__dict__.update(state)
+        index.tiles = {}  # of this task, not of the broadcast, which outlives it in the worker
         return index
 
     def leave_out(batches):
