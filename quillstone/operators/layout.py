@@ -20,6 +20,7 @@ LEADING = {"NAME", "DOB", "MRN"}
 #: The longest part of a label that a line break can cut off.
 TAIL_WORDS, TAIL_CHARS = 4, 48
 LABEL = {kind: re.compile(rf"(?i:(?<!\w)(?:{'|'.join(labels)}))(?!\w)") for kind, (labels, _) in LABELLED.items()}
+ANY_LABEL = re.compile("|".join(f"(?:{p.pattern})" for p in LABEL.values()))
 VALUE = {kind: re.compile(rf"[ \t]*[:#]?[ \t]*({value})") for kind, (_, value) in LABELLED.items()}
 #: A value right under its label may be in lower case there, and ends with its line or a wide gap.
 BARE_NAME = re.compile(r"[ \t]*([^\W\d_][\w'’.-]*(?:,? [^\W\d_][\w'’.-]*){0,3})(?=[ \t]*$|[ \t]{2,}|\t)")
@@ -50,7 +51,7 @@ def lines_of(text: str) -> list[Line]:
 def labels_on(text: str) -> list[Label]:
     """The labels of a line, leftmost first and, of those that overlap, the longest."""
     found = []
-    for kind, pattern in LABEL.items():
+    for kind, pattern in LABEL.items() if ANY_LABEL.search(text) else ():
         for m in pattern.finditer(text):
             mark = re.match(r"[ \t]*[:#]", text[m.end() : m.end() + 8])
             found.append(Label(kind, m.start(), m.end() + (mark.end() if mark else 0), bool(mark)))
@@ -110,6 +111,8 @@ def header_cells(line: Line, under: Line) -> list[tuple[str, int, int]]:
 
 def placed_values(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the values that only their place on the page gives away."""
+    if not ANY_LABEL.search(" ".join(text.split())):  # a label may be cut by a line's end
+        return []
     lines, out = lines_of(text), []
     for line, under in zip(lines, lines[1:], strict=False):
         if line.text.strip() and under.text.strip():
