@@ -59,13 +59,6 @@ MIX = 0x9E3779B97F4A7C15
 SLICE_BYTES = 2_000_000
 
 
-def released(batches):
-    """The batches; after each what arrow holds for reuse goes back, as Python workers live on after their task."""
-    for batch in batches:
-        yield batch
-        pa.default_memory_pool().release_unused()
-
-
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The size of each text's shingle set, and the 64-bit hashes of the sets one after another, each sorted."""
     import pandas as pd
@@ -111,7 +104,7 @@ def digest_documents(docs: DataFrame, words: int, coordinates: int = COORDINATES
     """doc_id, n_shingles, digest (null without shingles), signature as array<int>."""
 
     def digest(batches):
-        for batch in released(text_slices(batches, most=SLICE_BYTES)):
+        for batch in text_slices(batches, most=SLICE_BYTES):
             sizes, values = shingle_sets(batch.column("text"), words)
             sigs = iter(signatures(sizes, values, coordinates).tolist())
             ends = np.cumsum(sizes)
@@ -129,7 +122,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """id, digest, shingles (sorted 64-bit hashes) of the documents whose doc_id is an id of wanted."""
 
     def sets(batches):
-        for batch in released(text_slices(batches, most=SLICE_BYTES)):
+        for batch in text_slices(batches, most=SLICE_BYTES):
             sizes, values = shingle_sets(batch.column("text"), words)
             ends = np.cumsum(sizes).tolist()
             raw = [values[e - n : e].tobytes() for n, e in zip(sizes.tolist(), ends, strict=True)]

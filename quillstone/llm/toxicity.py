@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.decontaminate import WORD_BYTES
-from quillstone.llm.text import split_words, text_slices, without_ids
+from quillstone.llm.text import given_back, split_words, text_slices, without_ids
 from quillstone.session import shared_dir, written
 
 SAMPLE = 50_000
@@ -380,7 +380,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
 
     def leave_out(batches):
         index = opened(sent.value)
-        for batch in batches:
+        for batch in given_back(batches):
             near = index.nearest_all(list_vectors(batch), batch.column("mark").to_pylist())
             votes = [index.vote(n, prior) for n in near]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column("toxic")], names=["vote", "toxic"])
@@ -393,7 +393,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     def score(batches):
         index = opened(sent.value)
         known: dict[tuple, list[tuple[float, int]]] = {}
-        for batch in (whole.slice(i, TOGETHER * 2) for whole in batches for i in range(0, whole.num_rows, TOGETHER * 2)):
+        for batch in (whole.slice(i, TOGETHER * 2) for whole in given_back(batches) for i in range(0, whole.num_rows, TOGETHER * 2)):
             vectors = list_vectors(batch)
             keys = [(t.tobytes(), c.tobytes()) for t, c in vectors]
             # equal vectors, copies among them, are looked up once as long as they are known
