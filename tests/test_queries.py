@@ -7,7 +7,7 @@ import re
 import duckdb
 import pytest
 
-from quillstone.operators import coverage, grounding
+from quillstone.operators import coverage, grounding, languages
 from quillstone.plans import registry, usage
 
 SF = "/root/testdata/sf0.001"
@@ -208,6 +208,27 @@ def events(duck):
     return by
 
 
+def brute_paper_languages(duck, found):
+    """The rules one after another over each whole text; words and letters by another engine's classes."""
+    import regex
+
+    en, es, other = (set(x.split()) for x in (languages.CHECKED["en"], languages.CHECKED["es"], languages.UNCHECKED))
+    words = lambda t: regex.findall(r"\p{L}+", t.lower())
+    out = []
+    for key, text in rows_of(duck, "SELECT doc_id, coalesce(text, '') FROM documents"):
+        letters, all_ = len(regex.findall(r"\p{L}", text)), words(text)
+        n_en, n_es, n_other = (sum(w in some for w in all_) for some in (en, es, other))
+        long = [words(text[a:b]) for a, b in coverage.sentences_of(text)]
+        long = [w for w in long if len(w) >= 5]
+        bare = sum(not any(x in en | es for x in w) for w in long)
+        ok = letters > 0 and len(regex.findall(r"\p{Script=Latin}", text)) >= 0.95 * letters and sum(c in languages.VIETNAMESE for c in text.lower()) <= 0.01 * letters
+        ok = ok and n_en + n_es + n_other > 0 and (n_other < 3 or n_other <= 0.2 * (n_en + n_es + n_other))
+        ok = ok and not any(sum(x in other for x in w) > sum(x in en | es for x in w) for w in long) and (bare <= 1 or bare <= 0.2 * len(long))
+        there = [k for k, n in (("en", n_en), ("es", n_es)) if n >= 3 and n >= 0.06 * len(all_)]
+        out.append((key, ",".join(there) if ok and there else None))
+    return out
+
+
 def brute_sliding_rate_limit(duck, found):
     out = []
     for u, es in events(duck).items():
