@@ -1,16 +1,18 @@
 """Mixing sources to target weights by Poisson replication.
 
 Every source s gets the mean repetition rate ``weight_s * total / size_s`` where size is a row count or a sum of
-UTF-8 bytes. A document's count is a Poisson draw with that mean, inverted from a uniform that is a hash of its id,
-so a rerun, a retry after a lost executor and another cluster size give the same rows. Documents are exploded by
-their counts, then dealt by a hash and sorted by another inside each partition: a global shuffle.
+UTF-8 bytes. A document's count is a Poisson draw with that mean, inverted from a uniform that is a hash of its id, source
+and text and of its number among equal rows, so a rerun, a retry after a lost executor and another cluster size give the
+same rows. Documents are exploded by their counts, then dealt by a hash and sorted by another inside each partition: a
+global shuffle. A hot row is counted before it is shuffled, numbered within input partitions and dealt by number and copy.
 
 Only DataFrame functions run on the rows.
 
 Defined results
 * null source: a source of its own, with the default weight unless ``weights`` holds the key None;
-* null doc_id: the seed is the text's MD5 instead; null text counts as empty;
-* repeated rows: each is drawn with the same seed, so all get the same count;
+* null doc_id: source and text make the seed; null text counts as empty;
+* repeated rows, and rows that share an id: each has a draw of its own, so shares hold whatever is repeated; among rows equal
+  in id, source and text it is open which has which draw where extra columns tell them apart;
 * a source of weight 0, or an empty table: no rows;
 * a text may be of any length that a row can hold; ties of the shuffle key leave equal rows in any order;
 * extra columns of any name pass through; a column called like an output column is replaced by it.
@@ -18,10 +20,10 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.session import shared_dir
+from quillstone.session import shared_dir, written
 
 #: A Poisson mean above this is drawn as a sum of independent Poisson draws of at most this mean.
 CHUNK = 16.0
@@ -29,6 +31,8 @@ CHUNK = 16.0
 TERMS = 72
 #: The rates are broadcast up to this many sources and joined by shuffle beyond.
 MAX_BROADCAST_SOURCES = 50_000
+#: Keys of repeated rows are broadcast up to so many (some 10 MB) and joined by shuffle beyond.
+MAX_BROADCAST_KEYS = 100_000
 
 
 def hashed_uniform(*parts: Column) -> Column:
@@ -37,6 +41,12 @@ def hashed_uniform(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def row_key() -> Column:
+    """The id, source and digest of the text of a row of documents; equal rows have equal keys."""
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.concat_ws("|", plain("doc_id"), plain("source"), F.md5(plain("text")))
+
+
 def poisson_table(mean: Column) -> Column:
     """array<double> of P(X <= 0), P(X <= 1), ... for a Poisson mean of at most CHUNK."""
     step = lambda s, k: F.struct(
@@ -69,6 +79,27 @@ def source_rates(
     return stats.select("source", "n_docs", "size", rate.alias("rate"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with number, from 0 among the rows of each key; only keys that repeat cost more than a count.
+
+    The rows of repeated keys are written with their input partition. They are numbered by key and partition, so a key that
+    holds a third of all rows is as many groups as it has partitions; the groups' sizes add up to where each begins.
+    """
+    repeats = written(rows.groupBy("key").count().where("count > 1").select("key"), "repeats")
+    n = repeats.limit(MAX_BROADCAST_KEYS + 1).count()
+    if n == 0:
+        return rows.withColumn("number", F.lit(0).cast("long"))
+    if n <= MAX_BROADCAST_KEYS:
+        repeats = F.broadcast(repeats)
+    held = written(rows.withColumn("part", F.spark_partition_id()).join(repeats, "key", "left_semi"), "repeated")
+    at = Window.partitionBy("key", "part").orderBy("part")
+    sizes = held.groupBy("key", "part").count()
+    begins = sizes.select("key", "part", (F.sum("count").over(Window.partitionBy("key").orderBy("part")) - F.col("count")).alias("begin"))
+    placed = held.withColumn("place", F.row_number().over(at) - 1).join(begins, ["key", "part"])
+    again = placed.select(*rows.columns, (F.col("begin") + F.col("place")).alias("number"))
+    return rows.join(repeats, "key", "left_anti").select(*rows.columns, F.lit(0).cast("long").alias("number")).unionByName(again)
+
+
 def mix_sources(
     docs: DataFrame,
     weights: dict[str | None, float] | None = None,
@@ -94,18 +125,18 @@ def mix_sources(
         rates = F.broadcast(rates)
     # the caller's columns stay in one struct, so no name of theirs can meet one of ours
     rows = docs.select(
-        F.struct(*docs.columns).alias("doc"), F.col("source").alias("source"), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))).alias("key")
+        F.struct(*docs.columns).alias("doc"), F.col("source").alias("source"), row_key().alias("key")
     )
-    joined = rows.join(rates, F.col("source").eqNullSafe(F.col("of")))
+    joined = numbered(rows).join(rates, F.col("source").eqNullSafe(F.col("of")))
     uniforms = F.transform(
-        F.sequence(F.lit(0), F.col("chunks") - 1), lambda chunk: hashed_uniform(F.lit(seed), chunk, F.col("key"))
+        F.sequence(F.lit(0), F.col("chunks") - 1), lambda chunk: hashed_uniform(F.lit(seed), chunk, F.col("key"), F.col("number"))
     )
     count = F.aggregate(uniforms, F.lit(0), lambda n, u: n + F.size(F.filter("cdf", lambda c: c <= u)))
     exploded = (
         joined.withColumn("n_copies", count)
         .where("n_copies > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-        .withColumn("shuffle_key", F.xxhash64(F.lit(seed), "key", F.col("copy")))
+        .withColumn("shuffle_key", F.xxhash64(F.lit(seed), "key", "number", F.col("copy")))
         .select("doc.*", *out)
     )
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -134,9 +165,10 @@ cdf AS (
         FROM parts, range(0, {TERMS} + 1) t(k) WHERE mean > 0)),
 draws AS (
   SELECT d.row, d.doc_id, d.source, d.lang, d.n_chars, d.text, chunk,
-         ('0x' || substr(md5(concat_ws('|', '17', chunk::VARCHAR, coalesce(d.doc_id::VARCHAR, md5(coalesce(d.text, ''))))), 1, 13))::BIGINT
+         ('0x' || substr(md5(concat_ws('|', '17', chunk::VARCHAR, d.key, d.number::VARCHAR)), 1, 13))::BIGINT
            / 4503599627370496.0::DOUBLE AS u
-  FROM (SELECT *, row_number() OVER () AS row FROM documents) d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source, range(0, p.chunks) t(chunk)),
+  FROM (SELECT *, row_number() OVER () AS row, row_number() OVER (PARTITION BY key) - 1 AS number
+        FROM (SELECT *, concat_ws('|', coalesce(doc_id::VARCHAR, ''), coalesce(source, ''), md5(coalesce(text, ''))) AS key FROM documents)) d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source, range(0, p.chunks) t(chunk)),
 counts AS (
   SELECT first(doc_id) AS doc_id, first(d.source) AS source, first(lang) AS lang, first(n_chars) AS n_chars, first(text) AS text,
          sum((SELECT count(*) FROM cdf c WHERE c.source IS NOT DISTINCT FROM d.source AND c.c <= d.u))::INT AS n_copies

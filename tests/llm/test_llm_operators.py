@@ -51,6 +51,20 @@ def test_mixing_edges(odd, none):
     assert {r.source for r in kept} == {None, "a", "b"}
 
 
+def test_mixing_a_hot_row(spark):
+    """A third of the rows are one row: it is drawn row by row, its source meets its share, and no partition is hot."""
+    hot = F.col("id") % 3 == 0
+    docs = spark.range(0, 30_000, 1, 12).select(F.when(hot, 7).otherwise(F.col("id")).alias("doc_id"), F.when(hot, "hot").otherwise("rest").alias("source"), F.lit("same words").alias("text"))
+    mixed = mixing.mix_sources(docs, {"hot": 1.0, "rest": 3.0}, by="rows", partitions=32)
+    n = {r.source: r["count"] for r in mixed.groupBy("source").count().collect()}
+    assert abs(n["hot"] - 7_500) < 5 * 7_500**0.5 and abs(n["rest"] - 22_500) < 5 * 22_500**0.5
+    sizes = [r["count"] for r in mixed.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 32 and max(sizes) < 1.3 * sum(sizes) / 32
+    again = mixing.mix_sources(docs.repartition(5), {"hot": 1.0, "rest": 3.0}, by="rows", partitions=32)
+    count = lambda m: sorted(map(tuple, m.groupBy("doc_id", "copy", "n_copies").count().collect()))
+    assert count(mixed) == count(again)  # wherever the rows lie
+
+
 @pytest.mark.parametrize("n", [0, 3, 8, 1003])
 def test_sharding_exact_and_gapless(spark, n):
     docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("s").alias("shard"))
