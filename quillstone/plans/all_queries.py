@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from quillstone.plans import cues, drafts, everyday, labs, papers, relational, text, usage  # noqa: F401
+from quillstone.plans import cues, drafts, everyday, labs, papers, relational, text, usage, views  # noqa: F401
