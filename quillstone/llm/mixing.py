@@ -79,13 +79,15 @@ def source_rates(
     return stats.select("source", "n_docs", "size", rate.alias("rate"))
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """rows with number, from 0 among the rows of each key; only keys that repeat cost more than a count.
+def numbered(rows: DataFrame, often: int = 1) -> DataFrame:
+    """rows with number, from 0 among the rows of each key that has more than often; 0 for all other rows.
 
-    The rows of repeated keys are written with their input partition. They are numbered by key and partition, so a key that
+    Only keys that repeat more often cost more than a count.
+
+    The rows of those keys are written with their input partition. They are numbered by key and partition, so a key that
     holds a third of all rows is as many groups as it has partitions; the groups' sizes add up to where each begins.
     """
-    repeats = written(rows.groupBy("key").count().where("count > 1").select("key"), "repeats")
+    repeats = written(rows.groupBy("key").count().where(F.col("count") > often).select("key"), "repeats")
     n = repeats.limit(MAX_BROADCAST_KEYS + 1).count()
     if n == 0:
         return rows.withColumn("number", F.lit(0).cast("long"))

@@ -1,6 +1,7 @@
 """Uniform sharding with exact shard sizes by a hypergeometric communication matrix.
 
-Rows fall into source blocks by a hash. How many rows of each block go to each cell (a lane of a shard) is drawn
+Rows fall into source blocks by a hash; rows that are equal very often are numbered first, and fall by hash and number, so
+that no block holds them all. How many rows of each block go to each cell (a lane of a shard) is drawn
 exactly: the matrix of counts with these row sums and column sums is multivariate hypergeometric, and is drawn by
 halving the blocks again and again, each half getting a hypergeometric share of every cell. Then each block permutes
 its rows, sends the first ones to cell 0, the next ones to cell 1 and so on (the exchange), and each cell permutes
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.mixing import hashed_uniform
+from quillstone.llm.mixing import hashed_uniform, numbered
 from quillstone.session import shared_dir, shared_path
 
 
@@ -31,6 +32,8 @@ from quillstone.session import shared_dir, shared_path
 ROWS = 2_000_000
 MAX_BLOCKS = 1_024
 MAX_CELLS = 1_024
+#: Up to so many equal rows may stay in one block.
+EQUAL = 1_000
 
 
 def let(value: Column, body) -> Column:
@@ -147,6 +150,13 @@ def communication_matrix(counts: DataFrame, blocks: int, shards: int, lanes: int
     return nodes.select(F.col("node").alias("block"), "total", upto.alias("upto"))
 
 
+def in_blocks(docs: DataFrame, blocks: int, seed: int) -> DataFrame:
+    """row (a struct of docs' columns, so no name of theirs can meet one of ours), key and block of every row."""
+    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("key", F.xxhash64(F.lit(seed), "row.*"))
+    keyed = numbered(rows, often=EQUAL).select("row", F.xxhash64("key", "number").alias("key"))
+    return keyed.withColumn("block", F.pmod(F.col("key"), F.lit(blocks)).cast("int"))
+
+
 def shard_uniform(docs: DataFrame, shards: int = 8, blocks: int | None = None, lanes: int | None = None, seed: int = 23) -> DataFrame:
     """docs with shard (0 to shards - 1) and slot (gapless from 0 in each shard), a uniform random order.
 
@@ -160,9 +170,7 @@ def shard_uniform(docs: DataFrame, shards: int = 8, blocks: int | None = None, l
         blocks = blocks or min(MAX_BLOCKS, max(64, 1 << max(0, parts - 1).bit_length()))
         lanes = lanes or max(1, min(MAX_CELLS // shards, max(8, -(-parts // shards))))
     cells = shards * lanes
-    # the caller's columns stay in one struct, so no name of theirs can meet one of ours
-    keyed = docs.select(F.struct(*docs.columns).alias("row")).withColumn("key", F.xxhash64(F.lit(seed), "row.*"))
-    keyed = keyed.withColumn("block", F.pmod(F.col("key"), F.lit(blocks)).cast("int"))
+    keyed = in_blocks(docs, blocks, seed)
     sizes = (
         keyed.groupBy("block")
         .agg(F.count(F.lit(1)).alias("n"))

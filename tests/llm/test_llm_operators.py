@@ -78,6 +78,17 @@ def test_sharding_exact_and_gapless(spark, n):
     assert max(sizes) - min(sizes) <= 1
 
 
+def test_sharding_splits_equal_rows(spark):
+    hot = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id"))
+    docs = spark.range(0, 12_000, 1, 6).select(hot.alias("doc_id"), F.lit("s").alias("text"))
+    sizes = [r["count"] for r in sharding.in_blocks(docs, 64, 23).groupBy("block").count().collect()]
+    assert sum(sizes) == 12_000 and max(sizes) < 3 * 12_000 / 64
+    rows = sharding.shard_uniform(docs, shards=8, blocks=64, lanes=2).collect()
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, i) for s in range(8) for i in range(1_500)]
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.collect())
+    assert all(400 < sum(r.doc_id == -1 for r in rows if r.shard == s) < 600 for s in range(8))
+
+
 def test_sharding_matrix_margins_and_law(spark):
     sizes = [5, 0, 40, 17]
     seen = collections.Counter()
