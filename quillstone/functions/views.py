@@ -22,11 +22,6 @@ def counted(n: Column, one: str, many: str) -> Column:
     return F.concat_ws(" ", n.cast("string"), F.when(n == 1, one).otherwise(many))
 
 
-def forbids(*texts: Column) -> Column:
-    """Whether any of the texts refuses or limits something, or cannot be read for that."""
-    return reduce(lambda a, b: a | b, [(F.size(C.refusals(F.coalesce(t, F.lit("")))) > 0) | T.unreadable(F.coalesce(t, F.lit(""))) for t in texts])
-
-
 def explanation_state(quote: Column, explanation: Column, numbers_blocked: Column, cue_blocked: Column, reader: Column, verdict: Column) -> Column:
     """numbers, negation, none, checking, check_failed, unclear, certified or flagged: what becomes of an explanation.
 
@@ -37,7 +32,7 @@ def explanation_state(quote: Column, explanation: Column, numbers_blocked: Colum
         F.when(F.coalesce(numbers_blocked, F.lit(False)), "numbers")
         .when(F.coalesce(cue_blocked, F.lit(False)), "negation")
         .when(F.coalesce(explanation, F.lit("")) == "", "none")
-        .when(forbids(quote, explanation), "negation")
+        .when(C.forbids(quote) | C.forbids(explanation), "negation")
         .when(reader.isin("idle", "loading"), "checking")
         .when(reader == "error", "check_failed")
         .when(verdict == "certified", "certified")
@@ -53,7 +48,7 @@ DIGITS_OF_A_PHONE = "(?:\\+?\\d[\\s().-]*){7,}"
 
 def must_see(kind: Column, quote: Column) -> Column:
     """A step that is never folded away: it refuses or limits something, cannot be read, or is about reaching somebody."""
-    return F.coalesce(kind == "call", F.lit(False)) | forbids(quote) | C.has(quote, REACH) | quote.rlike(DIGITS_OF_A_PHONE)
+    return F.coalesce(kind == "call", F.lit(False)) | C.forbids(quote) | C.has(quote, REACH) | quote.rlike(DIGITS_OF_A_PHONE)
 
 
 def closed_row(kind: Column, quote: Column) -> Column:
