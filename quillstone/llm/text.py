@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import ctypes
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.operators.slices import SLICE_BYTES, give_back, given_back, text_slices  # noqa: F401  the operators here take them from this module
 from quillstone.session import written
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-SLICE_BYTES = 4_000_000
 
 
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, memoryview]:
@@ -45,36 +43,6 @@ def split_words(texts: pa.Array, table: bytes = LOWER) -> tuple[np.ndarray, pa.A
     return counts, words
 
 
-def give_back() -> None:
-    """What this worker has freed goes back to the system; workers live on after their task and the next one needs it."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
-    if trim is not None:
-        trim(0)
-
-
-def given_back(batches):
-    """The batches; before the first and after each, memory that is free goes back to the system."""
-    give_back()
-    for batch in batches:
-        yield batch
-        give_back()
-
-
-def text_slices(batches, column: str = "text", most: int = SLICE_BYTES):
-    """Record batches cut so that the text column of each holds about most bytes; between them free memory goes back."""
-    return given_back(_cut(batches, column, most))
-
-
-def _cut(batches, column: str, most: int):
-    for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // most)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if b > a:
-                yield batch.slice(a, b - a)
-
-
 #: Ids of up to so many rows are broadcast (some 20 MB); more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
