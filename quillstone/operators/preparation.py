@@ -8,14 +8,17 @@ its time may belong to another action of the sentence, to another copy of the wo
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.number_words import numbered
 from quillstone.operators import coverage, grounding
+from quillstone.operators.slices import arrow_schema, items, text_slices
 
 SLOTS = ["days_before", "day_before", "evening_before", "day_of", "hours_before", "morning_of", "arrival", "after"]
 # Numbers before a unit, what a time may be relative to, clock times, line ends, ellipses, joining words.
@@ -143,23 +146,56 @@ def of_two_actions(sentence: str) -> bool:
     return len(told) > 1
 
 
+#: Sentences and quotes repeat; so many readings of them are remembered in a worker.
+REMEMBERED = 50_000
+
+
+@lru_cache(maxsize=REMEMBERED)
+def told(sentence: str) -> tuple[str | None, str, tuple[str, ...]]:
+    """read_when of a whole sentence."""
+    slot, reason, words = read_when(sentence, bool(LINE_END.search(sentence)))
+    return slot, reason, tuple(words)
+
+
+@lru_cache(maxsize=REMEMBERED)
+def doubtful_owner(sentence: str, start: int, end: int) -> bool:
+    """Whether the time of a sentence may belong to another action than that of its words from start to end."""
+    return of_two_actions(sentence) or of_other_clause(sentence, start, end, list(told(sentence)[2]))
+
+
+@lru_cache(maxsize=REMEMBERED)
+def one_part(quote: str) -> str | None:
+    """The normalised words of a quote; null if it is empty, too short or skips words."""
+    asked = quote.strip()
+    parts = grounding.parts(asked) if asked and not ELLIPSIS.search(asked) else []
+    return parts[0] if len(parts) == 1 else None
+
+
+def stands_again(source: grounding.Source, text: str, part: str, at: int, quote: str) -> bool:
+    """Whether the quote stands in the text from place at on, read as a text of its own; part: its normalised words."""
+    if source.norm.find(part, bisect_left(source.origin, at)) < 0:  # what is cut off is normalised as it was
+        return False
+    return grounding.find_span(grounding.Source(text[at:]), quote.strip()) is not None
+
+
 def placed(source: grounding.Source, text: str, sentences: list[tuple[int, int]], quote: str) -> dict | None:
     """The sentence of a step's quote, its slot, reason and words; null if the quote is not in the text or skips words."""
-    asked = quote.strip()
-    found = grounding.find_span(source, asked) if asked and not ELLIPSIS.search(asked) else None
-    if not found:
+    part = one_part(quote)
+    at = next(source.places(part, 0), -1) if part else -1
+    if at < 0:
         return None
-    around = [(a, b) for a, b in sentences if a < found[1] and b > found[0]] or [found]
+    found = source.origin[at], source.origin[at + len(part) - 1] + 1
+    # sentences follow each other: those that begin before the quote's end and end behind its beginning
+    around = sentences[bisect_right(sentences, found[0], key=lambda s: s[1]) : bisect_left(sentences, found[1], key=lambda s: s[0])] or [found]
     start, end = around[0][0], around[-1][1]
     sentence = text[start:end]
-    slot, reason, words = read_when(sentence, bool(LINE_END.search(sentence)))
+    slot, reason, words = told(sentence)
     if slot is not None:
-        again = grounding.find_span(grounding.Source(text[found[1] :]), asked)
-        why = "repeated" if again else "multi_sentence" if len(around) > 1 else None
-        if why is None and (of_two_actions(sentence) or of_other_clause(sentence, found[0] - start, found[1] - start, words)):
+        why = "repeated" if stands_again(source, text, part, found[1], quote) else "multi_sentence" if len(around) > 1 else None
+        if why is None and doubtful_owner(sentence, found[0] - start, found[1] - start):
             why = "other_clause"
         slot, reason = (None, why) if why else (slot, reason)
-    return {"start": start, "end": end, "slot": slot, "reason": reason, "words": words}
+    return {"start": start, "end": end, "slot": slot, "reason": reason, "words": list(words)}
 
 
 STEP = "row long, start int, end int, slot string, reason string, words array<string>, held boolean"
@@ -171,18 +207,22 @@ def prep_steps(papers: DataFrame, key: str) -> DataFrame:
     papers: key, text, steps array<struct<row,quote>>; a paper is mapped and cut into sentences once for all its steps.
     """
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    schema = f"{key} {dict(papers.dtypes)[key]}, {STEP}"
+    out = arrow_schema(schema)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            cuts, (numbers, quotes) = items(batch.column("steps"), ["row", "quote"])
             rows = []
-            for k, text, steps in zip(frame[key], frame["text"], frame["steps"], strict=True):
+            for i, (k, text) in enumerate(zip(batch.column(key).to_pylist(), batch.column("text").to_pylist(), strict=True)):
                 source, sentences = grounding.Source(text or ""), coverage.sentences_of(text or "")
-                for step in steps if steps is not None else []:
-                    got = placed(source, text or "", sentences, step["quote"] or "")
-                    rows.append((k, step["row"], *([got[c] for c in ("start", "end", "slot", "reason", "words")] if got else [None] * 5), got is None))
-            out = pd.DataFrame(rows, columns=[key, "row", "start", "end", "slot", "reason", "words", "held"])
-            yield out.astype({"start": "Int32", "end": "Int32"})
+                for n, quote in zip(numbers[cuts[i] : cuts[i + 1]], quotes[cuts[i] : cuts[i + 1]], strict=True):
+                    got = placed(source, text or "", sentences, quote or "")
+                    rows.append((k, n, got["start"], got["end"], got["slot"], got["reason"], got["words"], False) if got else (k, n, None, None, None, None, None, True))
+            columns = list(zip(*rows, strict=True)) or [[] for _ in out]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
-    return papers.select(key, "text", "steps").mapInPandas(place, f"{key} {dict(papers.dtypes)[key]}, {STEP}")
+    return papers.select(key, "text", "steps").mapInArrow(place, schema)
 
 
 def timeline(steps: DataFrame, key: str) -> DataFrame:
