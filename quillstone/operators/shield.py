@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as T
 from quillstone.operators import reading
 from quillstone.operators.automaton import Matcher, apart
+from quillstone.operators.slices import in_slices
 
 _D = r"\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4}"
 _NAME = r"[A-ZÀ-ÞĐ][\w'’-]+(?: [A-ZÀ-ÞĐ][\w'’-]+){0,3}"
@@ -40,6 +41,58 @@ PLAIN = {
 #: Kinds whose label must end in a colon, since their values look like any other words.
 COLON = {"NAME", "ADDRESS"}
 PATTERNS = [(kind, rf"(?i:(?<!\w)(?:{'|'.join(labels)})) ?{':' if kind in COLON else '[:#]?'} ?({value})") for kind, (labels, value) in LABELLED.items()] + list(PLAIN.items())
+LABEL_PATTERNS = {kind: re.compile(rf"(?i:(?<!\w)(?:{'|'.join(labels)})) ?{':' if kind in COLON else '[:#]?'} ?({value})") for kind, (labels, value) in LABELLED.items()}
+#: How the labels of each kind begin, in lower case, up to what may be left out.
+BEGINNINGS = [(re.match(r"[^(?\\]*(?![?])", label)[0], kind) for kind, (labels, _) in LABELLED.items() for label in labels]
+#: What a text holds that has a value of PLAIN, by kind; cheap to look for.
+SIGNS = {"EMAIL": "@", "SSN": r"\d-\d\d-\d{4}", "PHONE": r"\d{3}[ .-]\d{4}", "NAME": "M(?:rs?|s|iss|me)|Dr|Sr", "AGE": r"\d,?[ -]?[ya]"}
+PLAIN_PATTERNS = [(kind, re.compile(SIGNS[kind]), re.compile(pattern)) for kind, pattern in PLAIN.items()]
+#: Letters that a pattern takes for others when it ignores case, and lower() does not.
+SAME_LETTERS = {"ſ": "s", "İ": "i", "ı": "i"}
+
+
+def lowered(text: str) -> str:
+    """The text in lower case, character by character, as patterns see it that ignore case."""
+    for odd, plain in SAME_LETTERS.items() if not text.isascii() else ():
+        text = text.replace(odd, plain)
+    return text.lower()
+
+
+def has_label(text: str) -> bool:
+    """Whether a label may begin in a text."""
+    low = lowered(text)
+    for b, _ in BEGINNINGS:
+        if b in low:
+            return True
+    return False
+
+
+def beginnings(text: str) -> dict[str, set[int]]:
+    """Where a label of each kind may begin; kinds without a place are left out, the others are in the order of LABELLED."""
+    low, found = lowered(text), {}
+    for b, kind in BEGINNINGS:
+        if b in low:
+            at = low.find(b)
+            while at >= 0:
+                found.setdefault(kind, set()).add(at)
+                at = low.find(b, at + 1)
+    return found
+
+
+def matches_at(pattern: re.Pattern, text: str, places: set[int]) -> Iterator[re.Match]:
+    """pattern.finditer(text), for a pattern that can begin at these places only."""
+    done = 0
+    for at in sorted(places):
+        if at >= done and (m := pattern.match(text, at)):
+            yield m
+            done = m.end()
+
+
+def labelled(text: str) -> Iterator[tuple[str, re.Match]]:
+    """(kind, match) of the values behind labels, as the patterns find them."""
+    for kind, places in beginnings(text).items():
+        for m in matches_at(LABEL_PATTERNS[kind], text, places):
+            yield kind, m
 
 
 def letters(n: Column) -> Column:
@@ -66,7 +119,8 @@ def identified(text: str) -> Iterator[tuple[str, str, int]]:
     """(kind, value, place) of what a canonical text identifies, in its lines, by its layout, and the parts of names."""
     from quillstone.operators import layout
 
-    known = [(kind, m.group(m.lastindex), m.start(m.lastindex)) for kind, pattern in PATTERNS for m in re.finditer(pattern, text)]
+    found = [*labelled(text), *((kind, m) for kind, sign, pattern in PLAIN_PATTERNS if sign.search(text) for m in pattern.finditer(text))]
+    known = [(kind, m.group(m.lastindex), m.start(m.lastindex)) for kind, m in found]
     known += [(kind, text[a:b], a) for kind, a, b in layout.placed_values(text)]
     for kind, value, at in known:
         yield kind, value, at
@@ -90,7 +144,7 @@ def learnt(turns: DataFrame, session: str, order: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=[session, "kind", "value", "turn_at", "place"])
 
     kinds = dict(turns.dtypes)
-    found = turns.select(session, order, "text").mapInPandas(find, f"{session} {kinds[session]}, kind string, value string, turn_at {kinds[order]}, place int")
+    found = in_slices(turns.select(session, order, "text"), find, f"{session} {kinds[session]}, kind string, value string, turn_at {kinds[order]}, place int")
     first = found.groupBy(session, "kind", "value").agg(F.min(F.struct("turn_at", "place")).alias("first"))
     ranked = first.selectExpr("*", f"row_number() OVER (PARTITION BY {session}, kind ORDER BY first, length(value) DESC, value) - 1 AS n")
     return ranked.select(session, "kind", "value", F.concat(F.lit("⟦"), "kind", F.lit("_"), letters(F.col("n")), F.lit("⟧")).alias("token"))
@@ -153,7 +207,7 @@ def shield(turns: DataFrame, session: str, order: str) -> DataFrame:
             yield frame[[session, order]].assign(redacted=redacted, segments=segments, refused=refused)
 
     kinds = dict(turns.dtypes)
-    return rows.mapInPandas(hide, f"{session} {kinds[session]}, {order} {kinds[order]}, redacted string, segments {SEGMENTS}, refused string")
+    return in_slices(rows, hide, f"{session} {kinds[session]}, {order} {kinds[order]}, redacted string, segments {SEGMENTS}, refused string")
 
 
 def unredacted(hidden: DataFrame) -> DataFrame:
@@ -211,7 +265,7 @@ def planted(marked: DataFrame, key: str) -> DataFrame:
                 spans.append(here)
             yield frame[[key]].assign(text=texts, spans=spans)
 
-    return marked.select(key, "text").mapInPandas(unmark, f"{key} {dict(marked.dtypes)[key]}, text string, spans array<struct<kind:string,start:int,end:int,hide:boolean>>")
+    return in_slices(marked.select(key, "text"), unmark, f"{key} {dict(marked.dtypes)[key]}, text string, spans array<struct<kind:string,start:int,end:int,hide:boolean>>")
 
 
 def hide_rates(plants: DataFrame, hidden: DataFrame, key: str) -> DataFrame:
