@@ -12,12 +12,14 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators.coverage import sentences_of
+from quillstone.operators.slices import in_slices
 
 #: Marker words of the languages that papers are checked in, and of those that they are not.
 CHECKED = {
@@ -41,9 +43,14 @@ PHOTO_OTHER_SHARE, PHOTO_VIETNAMESE, PHOTO_VIETNAMESE_SHARE, PHOTO_HITS, LEAD =
 
 RUN = re.compile(r"[^\W\d_]+")
 BROKEN = re.compile("[-­‐‑][^\\S\n]*\n\\s*(?=\\S)")
+BEYOND_ASCII = re.compile("[^\x00-\x7f]+")
+LANGUAGE_OF = {w: k for k, some in CHECKED.items() for w in some.split()}
+OTHERS, RARE = frozenset(UNCHECKED.split()), frozenset(VIETNAMESE)
+MARKERS = [some.split() for some in ON_PHOTO.values()]
 TALLIES = ["letters", "latin", "vietnamese", "photo_letters", "photo_latin", "photo_vietnamese", "words", "en", "es", "other", "long", "unmarked", "foreign", "photo_es", "photo_en", "photo_fr"]
 
 
+@lru_cache(maxsize=65_536)
 def is_latin(letter: str) -> bool:
     return letter in "ªºKÅ" or "LATIN" in unicodedata.name(letter, "")
 
@@ -53,33 +60,34 @@ def letter_words(text: str) -> list[str]:
     return [p for w in RUN.findall(text.lower()) for p in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
-def letter_counts(text: str, vietnamese) -> tuple[int, int, int]:
+def letter_counts(characters: Counter, vietnamese) -> tuple[int, int, int]:
     """Letters, Latin ones and Vietnamese ones; different characters are looked up once."""
-    seen = [(c, n, is_latin(c)) for c, n in Counter(text).items() if c.isalpha()]
+    seen = [(c, n, is_latin(c)) for c, n in characters.items() if c.isalpha()]
     return sum(n for _, n, _ in seen), sum(n for _, n, latin in seen if latin), sum(n for c, n, latin in seen if latin and vietnamese(c))
 
 
 def tally(text: str) -> list[int]:
     """TALLIES of a text."""
-    checked = {w: k for k, some in CHECKED.items() for w in some.split()}
-    others, rare = set(UNCHECKED.split()), set(VIETNAMESE)
     hits, size = Counter(), 0
     for w, n in Counter(letter_words(text)).items():
         size += n
-        hits[checked.get(w)] += n
-        hits["other"] += n * (w in others)
+        hits[LANGUAGE_OF.get(w)] += n
+        hits["other"] += n * (w in OTHERS)
     long = unmarked = foreign = 0
     for a, b in sentences_of(text):
         words = letter_words(text[a:b])
         if len(words) >= LONG:
-            known, strange = sum(w in checked for w in words), sum(w in others for w in words)
+            known, strange = sum(map(LANGUAGE_OF.__contains__, words)), sum(map(OTHERS.__contains__, words))
             long, unmarked, foreign = long + 1, unmarked + (known == 0), foreign + (strange > known)
     composed = unicodedata.normalize("NFC", text)
-    photo = letter_counts(composed, lambda c: c in "ăĂđĐơƠưƯ" or "Ạ" <= c <= "ỹ")
-    bare = "".join(c for c in unicodedata.normalize("NFKD", BROKEN.sub("", text)) if not unicodedata.combining(c)).lower()
-    tokens = Counter("".join(c for c in w if c.isalnum()) for w in bare.split())
-    marked = [sum(tokens[w] for w in ON_PHOTO[k].split()) for k in ("es", "en", "fr")]
-    return [*letter_counts(text, lambda c: c.lower() in rare), *photo, size, hits["en"], hits["es"], hits["other"], long, unmarked, foreign, *marked]
+    characters = Counter(text)
+    photo = letter_counts(characters if composed == text else Counter(composed), lambda c: c in "ăĂđĐơƠưƯ" or "Ạ" <= c <= "ỹ")
+    unmarked_text = BEYOND_ASCII.sub(lambda m: "".join(c for c in m.group() if not unicodedata.combining(c)), unicodedata.normalize("NFKD", BROKEN.sub("", text)))
+    tokens: Counter = Counter()
+    for w, n in Counter(unmarked_text.lower().split()).items():
+        tokens[w if w.isalnum() else "".join(c for c in w if c.isalnum())] += n
+    marked = [sum(tokens[w] for w in words) for words in MARKERS]
+    return [*letter_counts(characters, lambda c: c.lower() in RARE), *photo, size, hits["en"], hits["es"], hits["other"], long, unmarked, foreign, *marked]
 
 
 def language_tallies(docs: DataFrame, key: str) -> DataFrame:
@@ -89,7 +97,7 @@ def language_tallies(docs: DataFrame, key: str) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame([[k, *tally(t or "")] for k, t in zip(frame[key], frame["text"], strict=True)], columns=[key, *TALLIES])
 
-    return docs.select(key, "text").mapInPandas(count, f"{key} {dict(docs.dtypes)[key]}, " + ", ".join(f"{t} long" for t in TALLIES))
+    return in_slices(docs.select(key, "text"), count, f"{key} {dict(docs.dtypes)[key]}, " + ", ".join(f"{t} long" for t in TALLIES))
 
 
 def checkable_languages() -> Column:
