@@ -22,7 +22,8 @@ at most FREQUENT, and are broadcast; the others are joined by a shuffle of (docu
 
 Defined results
 * null and empty texts are scored as an end alone; without training texts the model is the uniform one;
-* a text of any length is cut into pieces of PIECE bytes that overlap by a context, so memory does not follow it;
+* batches are read in slices of bounded text, and a text of any length is cut into pieces of PIECE bytes that overlap
+  by a context, so memory follows neither; what a slice took goes back before the next one;
 * rows of equal doc_id and text get equal scores; a null doc_id is held out of training by no rule, so it is learnt
   from; an empty table gives no rows; extra columns of any name pass through, but for those called like an output.
 """
@@ -43,9 +44,10 @@ SYMBOL = 9
 END = 256
 SYMBOLS = 257
 BLOCK = 2_000_000
-PIECE = 1_000_000
-#: Distinct strings that a task gathers before it hands them on.
+PIECE = 250_000
+#: Distinct strings that a task gathers before it hands them on, and the rows of a batch in which it does.
 HELD = 500_000
+HANDED = 100_000
 FREQUENT = 200_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,9 +111,13 @@ def merged_counts(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def string_counts(docs: DataFrame) -> DataFrame:
     """key, n_train (0 for strings of held-out texts only) of all strings of all texts; docs: text, is_train."""
 
+    def handed(keys, n):
+        for a in range(0, len(keys), HANDED):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + HANDED].astype(np.int64)), pa.array(n[a : a + HANDED])], names=["key", "n"])
+
     def count(batches):
-        held = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        for batch in batches:
+        held, more = [], 0  # more: rows beyond those that were merged last
+        for batch in text_slices(batches):
             train = batch.column("is_train").to_numpy(zero_copy_only=False).astype(bool)
             for first, symbols, keys in byte_strings(batch.column("text")):
                 # the training mark as the lowest bit: one sort counts both
@@ -119,12 +125,14 @@ def string_counts(docs: DataFrame) -> DataFrame:
                 both.sort()
                 starts = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
                 times, some = np.diff(starts, append=len(both)), both[starts]
-                own = merged_counts(some >> np.uint64(1), np.where(some & np.uint64(1), times, 0))
-                held = merged_counts(*(np.concatenate(x) for x in zip(held, own, strict=True)))
-                if len(held[0]) > HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(held[0].astype(np.int64)), pa.array(held[1])], names=["key", "n"])
-                    held = (held[0][:0], held[1][:0])
-        yield pa.RecordBatch.from_arrays([pa.array(held[0].astype(np.int64)), pa.array(held[1])], names=["key", "n"])
+                held.append(merged_counts(some >> np.uint64(1), np.where(some & np.uint64(1), times, 0)))
+                more += len(held[-1][0])
+                if more > HELD // 2:
+                    held, more = [merged_counts(*(np.concatenate(x) for x in zip(*held, strict=True)))], 0
+                    if len(held[0][0]) > HELD:
+                        yield from handed(*held.pop())
+        if held:
+            yield from handed(*merged_counts(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
     return docs.select("text", "is_train").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n_train"))
 
@@ -224,7 +232,7 @@ def model_scores(docs: DataFrame, table: DataFrame) -> DataFrame:
 
         def add(batches, sent=sent):
             slots, values, bits = sent.value
-            for batch in batches:
+            for batch in text_slices(batches):
                 score = np.zeros(batch.num_rows)
                 for first, symbols, keys in byte_strings(batch.column("text")):
                     score[first : first + len(symbols)] += np.add.reduceat(looked_up(keys, slots, values, bits), np.cumsum(symbols) - symbols)
