@@ -22,7 +22,8 @@ out. Before a group that does not fit into one block is dealt, the sets go that
 what no other set of the group holds is in no intersection. So no link between different components is left out, no
 list's pairs are written down, and rows grow with the lists' lengths.
 
-Components grow by star contraction with aggregations and joins only. Tables between steps go to the shared folder.
+Components grow by star contraction with aggregations and joins only. Tables between steps go to the shared folder. All
+joins shuffle: Spark takes exploded signatures and tables of ids for many times smaller than they are.
 
 Defined results
 * A-Z are lower-cased; [\\x20\\x09-\\x0D]+ parts words; fewer words than a shingle make one shingle;
@@ -46,7 +47,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.text import split_words, text_slices, without_ids
-from quillstone.session import shared_dir, written
+from quillstone.session import shared_dir, unsent, written
 
 COORDINATES = 32
 MATCHES = 11
@@ -129,7 +130,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             digests = [hashlib.blake2b(r, digest_size=16).digest() for r in raw]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests, pa.binary()), pa.array(raw, pa.binary())], names=["id", "digest", "shingles"])
 
-    some = docs.select(F.col("doc_id").alias("id"), "text").join(wanted.select("id").distinct(), "id", "left_semi")
+    some = docs.select(F.col("doc_id").alias("id"), "text").join(unsent(wanted.select("id").distinct()), "id", "left_semi")
     return some.mapInArrow(sets, f"id {docs.schema['doc_id'].dataType.simpleString()}, digest binary, shingles binary")
 
 
@@ -142,7 +143,7 @@ def postings(classes: DataFrame) -> DataFrame:
     tokens = k.select("id", F.xxhash64("at", "value").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # a class's shared tokens by rarity; tokens of one class only come before them
-    ranked = tokens.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("all"), F.sum("n").alias("central"))
+    ranked = tokens.join(unsent(shared), "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("all"), F.sum("n").alias("central"))
     room = F.greatest(F.lit(0), F.size("all") - (MATCHES - 1))
     return ranked.select("id", "central", F.explode(F.slice("all", F.lit(1), room)).alias("t")).select("t.token", "id", "central")
 
@@ -152,11 +153,11 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
     light = classes.select("id", "n_shingles", "signature")
     ab = pairs
     for side in ("a", "b"):
-        ab = ab.join(light.select(F.col("id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("signature").alias(f"s_{side}")), side)
+        ab = ab.join(unsent(light.select(F.col("id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("signature").alias(f"s_{side}"))), side)
     ab = ab.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     ab = ab.where(F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) >= MATCHES).select("a", "b")
     for side in ("a", "b"):
-        ab = ab.join(sets.select(F.col("id").alias(side), F.col("shingles").alias(f"x_{side}")), side)
+        ab = ab.join(unsent(sets.select(F.col("id").alias(side), F.col("shingles").alias(f"x_{side}"))), side)
     key = pairs.schema["a"].dataType.simpleString()
 
     def check(batches):
@@ -179,10 +180,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(unsent(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
+        small = large.join(unsent(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         edges = written(small.distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -202,11 +203,11 @@ def without_lone(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays(cells, names=["group", "id", "shingle"])
 
     key = members.schema["id"].dataType.simpleString()
-    held = members.select("group", "id").join(sets, "id").select("group", "id", "shingles").mapInArrow(apart, f"group {key}, id {key}, shingle long")
+    held = members.select("group", "id").join(unsent(sets), "id").select("group", "id", "shingles").mapInArrow(apart, f"group {key}, id {key}, shingle long")
     alone = held.groupBy("group", "shingle").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).where("n = 1")
     alone = alone.groupBy("group", "id").agg(F.count(F.lit(1)).alias("n_alone"))
     sized = sets.select("id", (F.octet_length("shingles") / 8).alias("n"))
-    rated = members.join(alone, ["group", "id"], "left").join(sized, "id")
+    rated = members.join(unsent(alone), ["group", "id"], "left").join(unsent(sized), "id")
     return rated.where(f"100 * (n - coalesce(n_alone, 0)) >= {percent} * n").select(*members.columns)
 
 
@@ -216,15 +217,15 @@ def counted(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     members: group, id, comp; outside are those whose component is not called like the group.
     """
     count = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    large = members.join(count.where(F.col("n") > GROUP_BLOCK).select("group"), "group", "left_semi")
-    small = members.join(count.where(F.col("n") <= GROUP_BLOCK).select("group"), "group", "left_semi")
+    large = members.join(unsent(count.where(F.col("n") > GROUP_BLOCK).select("group")), "group", "left_semi")
+    small = members.join(unsent(count.where(F.col("n") <= GROUP_BLOCK).select("group")), "group", "left_semi")
     members = written(small.unionByName(without_lone(large, sets, percent)), "members")
     outside = members.where("comp <> group")
     sized = lambda d, n: d.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).cast("int").alias(n))
-    blocks = sized(outside, "n_x").join(sized(members, "n_y"), "group")
+    blocks = sized(outside, "n_x").join(unsent(sized(members, "n_y")), "group")
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    with_sets = lambda d: d.join(blocks, "group").join(sets, "id")
+    with_sets = lambda d: d.join(unsent(blocks), "group").join(unsent(sets), "id")
     x = with_sets(outside).select("group", "id", "comp", "shingles", F.lit(True).alias("is_x"), deal("n_x").alias("bx"), every("n_y").alias("by"))
     y = with_sets(members).select("group", "id", "comp", "shingles", F.lit(False).alias("is_x"), every("n_x").alias("bx"), deal("n_y").alias("by"))
     key = members.schema["id"].dataType.simpleString()
@@ -257,7 +258,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int, percent: int)
     """id, label of the classes that are linked with another one."""
     posted = written(postings(classes), "postings")
     wanted = posted.select("id").distinct()
-    found = full_sets(docs, wanted, words).join(classes.select("id", "digest"), ["id", "digest"], "left_semi")
+    found = full_sets(docs, wanted, words).join(unsent(classes.select("id", "digest")), ["id", "digest"], "left_semi")
     sets = written(found.select("id", "shingles").dropDuplicates(["id"]), "shingles")
 
     # members that were hubs have been checked against their whole list
@@ -267,14 +268,14 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int, percent: int)
         draw = Window.partitionBy("token").orderBy(F.col("central").desc(), F.xxhash64(F.lit(1), "id"), "id")
         best = open_.where("NOT used" if turn == 0 else "NOT used AND comp <> main")
         hubs = written(best.withColumn("_n", F.row_number().over(draw)).where(F.col("_n") <= HUBS).select("token", F.col("id").alias("x")), "hubs")
-        pairs = hubs.join(open_.select("token", "id"), "token").where("x <> id").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+        pairs = hubs.join(unsent(open_.select("token", "id")), "token").where("x <> id").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
         links = confirmed(pairs, classes, sets, percent)
         labels = components(links if labels is None else links.unionByName(star()))
-        now = open_.select("token", "id", "central", "used").join(labels, "id", "left").select("token", "id", "central", "used", F.coalesce("label", "id").alias("comp"))
-        now = written(now.join(hubs.select("token", F.col("x").alias("id"), F.lit(True).alias("hub")), ["token", "id"], "left").withColumn("used", F.expr("used OR coalesce(hub, false)")).drop("hub"), "labelled")
+        now = open_.select("token", "id", "central", "used").join(unsent(labels), "id", "left").select("token", "id", "central", "used", F.coalesce("label", "id").alias("comp"))
+        now = written(now.join(unsent(hubs.select("token", F.col("x").alias("id"), F.lit(True).alias("hub"))), ["token", "id"], "left").withColumn("used", F.expr("used OR coalesce(hub, false)")).drop("hub"), "labelled")
         by_comp = now.where("NOT used").groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
         lists = by_comp.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        open_ = written(now.join(lists.select("token", "main"), "token"), "open")
+        open_ = written(now.join(unsent(lists.select("token", "main")), "token"), "open")
         outside = open_.where("NOT used AND comp <> main").groupBy("main").agg(F.count_distinct("id").alias("n")).agg(F.max("n")).first()[0]
         if not outside:
             return labels
@@ -295,9 +296,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
     classes = written(classes, "classes")
     labels = link_classes(docs, classes, words, percent)
-    named = classes.join(labels, "id", "left").select("digest", "id", "n_docs", F.coalesce("label", "id").alias("label"))
+    named = classes.join(unsent(labels), "id", "left").select("digest", "id", "n_docs", F.coalesce("label", "id").alias("label"))
     moved = named.where("n_docs > 1 OR label <> id").select("digest", "label")
-    whole = base.select("doc_id", "n_shingles", "digest").join(moved, "digest", "left")
+    whole = base.select("doc_id", "n_shingles", "digest").join(unsent(moved), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
     return whole.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -314,8 +315,8 @@ def remove_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -
     if again.isEmpty():
         return left
     order = Window.partitionBy("name").orderBy(F.xxhash64("row"))
-    one = keyed.join(again, "name", "left_semi").withColumn("n", F.row_number().over(order)).where("n = 1")
-    return keyed.join(again, "name", "left_anti").select("row.*").unionByName(one.select("row.*"))
+    one = keyed.join(unsent(again), "name", "left_semi").withColumn("n", F.row_number().over(order)).where("n = 1")
+    return keyed.join(unsent(again), "name", "left_anti").select("row.*").unionByName(one.select("row.*"))
 
 
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:
