@@ -38,7 +38,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in blocks, in ascending doc_id order; one row a document with its place and checksum."""
-    return token_output(docs)
+    # an executor still holds what the stages before have used of its heap, so its workers take small slices
+    return token_output(docs, slice_bytes=2_000_000)
 
 
 STAGES = [

@@ -22,8 +22,9 @@ out. Before a group that does not fit into one block is dealt, the sets go that
 what no other set of the group holds is in no intersection. So no link between different components is left out, no
 list's pairs are written down, and rows grow with the lists' lengths.
 
-Components grow by star contraction with aggregations and joins only. Tables between steps go to the shared folder. All
-joins shuffle: Spark takes exploded signatures and tables of ids for many times smaller than they are.
+Components grow by star contraction with aggregations and joins only. Tables between steps go to the shared folder.
+Joins shuffle whatever size Spark estimates, for it takes exploded signatures and tables of ids for many times smaller
+than they are; only tables of at most SENT_ROWS rows of ids may be broadcast.
 
 Defined results
 * A-Z are lower-cased; [\\x20\\x09-\\x0D]+ parts words; fewer words than a shingle make one shingle;
@@ -56,6 +57,8 @@ ROUNDS = 3
 #: What a round has left is checked by counting, in blocks of so many sets.
 GROUP_BLOCK = 4_096
 MIX = 0x9E3779B97F4A7C15
+#: Tables of a few ids a row may be broadcast up to so many rows (some 5 MB); all others are joined by shuffle.
+SENT_ROWS = 100_000
 #: Bytes of text whose shingles a task holds at once; it needs some 20 times as many.
 SLICE_BYTES = 2_000_000
 
@@ -173,22 +176,27 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
     return ab.select("a", "b", "x_a", "x_b").mapInArrow(check, f"a {key}, b {key}")
 
 
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df, of at most so many rows of ids, for a join that may broadcast it only if they are few."""
+    return df if rows <= SENT_ROWS else unsent(df)
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, label: the smallest id of each linked id's component. links: a, b. Star contraction until nothing moves."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+    before, rows = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-        large = both.join(unsent(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(bounded(least, 2 * rows), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(unsent(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
+        small = large.join(bounded(low, 2 * rows), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         edges = written(small.distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
-        before = now
+        before, rows = now, now[0]
 
 
 def without_lone(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -271,11 +279,12 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int, percent: int)
         pairs = hubs.join(unsent(open_.select("token", "id")), "token").where("x <> id").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
         links = confirmed(pairs, classes, sets, percent)
         labels = components(links if labels is None else links.unionByName(star()))
-        now = open_.select("token", "id", "central", "used").join(unsent(labels), "id", "left").select("token", "id", "central", "used", F.coalesce("label", "id").alias("comp"))
-        now = written(now.join(unsent(hubs.select("token", F.col("x").alias("id"), F.lit(True).alias("hub"))), ["token", "id"], "left").withColumn("used", F.expr("used OR coalesce(hub, false)")).drop("hub"), "labelled")
+        now = open_.select("token", "id", "central", "used").join(bounded(labels, labels.count()), "id", "left").select("token", "id", "central", "used", F.coalesce("label", "id").alias("comp"))
+        now = written(now.join(bounded(hubs.select("token", F.col("x").alias("id"), F.lit(True).alias("hub")), hubs.count()), ["token", "id"], "left").withColumn("used", F.expr("used OR coalesce(hub, false)")).drop("hub"), "labelled")
         by_comp = now.where("NOT used").groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
         lists = by_comp.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        open_ = written(now.join(unsent(lists.select("token", "main")), "token"), "open")
+        lists = written(lists.select("token", "main"), "lists")
+        open_ = written(now.join(bounded(lists, lists.count()), "token"), "open")
         outside = open_.where("NOT used AND comp <> main").groupBy("main").agg(F.count_distinct("id").alias("n")).agg(F.max("n")).first()[0]
         if not outside:
             return labels
@@ -296,7 +305,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
     classes = written(classes, "classes")
     labels = link_classes(docs, classes, words, percent)
-    named = classes.join(unsent(labels), "id", "left").select("digest", "id", "n_docs", F.coalesce("label", "id").alias("label"))
+    named = classes.join(bounded(labels, labels.count()), "id", "left").select("digest", "id", "n_docs", F.coalesce("label", "id").alias("label"))
     moved = named.where("n_docs > 1 OR label <> id").select("digest", "label")
     whole = base.select("doc_id", "n_shingles", "digest").join(unsent(moved), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
@@ -312,11 +321,12 @@ def remove_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -
     name = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.concat(F.lit("t"), F.md5(F.coalesce("text", F.lit("")))))
     keyed = left.select(F.struct(*names).alias("row"), name.alias("name"))
     again = written(keyed.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"), "repeated")
-    if again.isEmpty():
+    n_again = again.count()
+    if not n_again:
         return left
     order = Window.partitionBy("name").orderBy(F.xxhash64("row"))
-    one = keyed.join(unsent(again), "name", "left_semi").withColumn("n", F.row_number().over(order)).where("n = 1")
-    return keyed.join(unsent(again), "name", "left_anti").select("row.*").unionByName(one.select("row.*"))
+    one = keyed.join(bounded(again, n_again), "name", "left_semi").withColumn("n", F.row_number().over(order)).where("n = 1")
+    return keyed.join(bounded(again, n_again), "name", "left_anti").select("row.*").unionByName(one.select("row.*"))
 
 
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -189,8 +189,11 @@ class WordEncoder:
         return values[where], np.diff(upto[last], prepend=0)
 
 
-def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, partitions: int | None = None) -> None:
-    """Writes the ids of all texts in ascending doc_id order as a table of segments at path."""
+def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, partitions: int | None = None, slice_bytes: int = TEXT_BYTES) -> None:
+    """Writes the ids of all texts in ascending doc_id order as a table of segments at path.
+
+    slice_bytes: of text that a worker encodes at once; less takes less memory and more time, the ids are the same.
+    """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         model = spark.sparkContext.broadcast({"file": f.read()})  # the vocabulary file, a fixed size
@@ -224,7 +227,7 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types, strict=True)], names=names)
 
         id_type, size = None, 0
-        for batch in text_slices(batches, "text", TEXT_BYTES):
+        for batch in text_slices(batches, "text", slice_bytes):
             id_type = batch.column("doc_id").type
             ids, counts = encoder.texts(batch.column("text"))
             keys, at = batch.column("doc_id").to_pylist(), 0
@@ -279,7 +282,7 @@ def read_token_blocks(spark: SparkSession, path: str, with_ids: bool = False) ->
     return joined.select("doc_id", (F.col("_before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32", *["ids"][: int(with_ids)])
 
 
-def token_output(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1, path: str | None = None) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1, path: str | None = None, slice_bytes: int = TEXT_BYTES) -> DataFrame:
     """Writes the ids of docs to path (a fresh place in the shared folder if None) and reads the digests back."""
     if tokenizer_path is None:
         import public_tokenizers
@@ -287,7 +290,7 @@ def token_output(docs: DataFrame, tokenizer_path: str | None = None, end_id: int
         tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
     spark = docs.sparkSession
     path = path or shared_path(spark, "token-blocks")
-    write_token_blocks(docs, path, tokenizer_path, end_id)
+    write_token_blocks(docs, path, tokenizer_path, end_id, slice_bytes=slice_bytes)
     return read_token_blocks(spark, path)
 
 
