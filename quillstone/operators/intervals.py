@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def merged(df: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
-    """key, start, end of the unions of overlapping or touching intervals of a key."""
-    order = Window.partitionBy(key).orderBy(start, end)
+    """key, start, end of the unions of overlapping or touching intervals of a key; one without a start goes to the last union."""
+    order = Window.partitionBy(key).orderBy(F.col(start).asc_nulls_last(), F.col(end).asc_nulls_last())
     before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = (before.isNull() | (F.col(start) > before)).cast("int")
     islands = df.withColumn("_new", new).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
